@@ -1,121 +1,109 @@
 """Canonical JSON text and the content-addressed identifiers built on it.
 
-Everything here is a Column expression assembled while the plan is built, so
-the JSON rendering and the hash run inside the JVM next to the data.
+The helpers compose Spark SQL expression text, so a whole document renders and hashes as
+one expression inside the JVM.  Arguments are SQL expressions, usually column names; turn
+a result into a Column with `F.expr`.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Mapping
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-# --- fixed values: JSON escapes of the control characters that have a short form ---
-_SHORT_ESCAPES = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-# -----------------------------------------------------------------------------------
+def literal(value: str) -> str:
+    return "r'" + value + "'" if "'" not in value else 'r"' + value + '"'
 
 
-def _control_escape(code: Column) -> Column:
-    short = F.create_map(*[F.lit(x) for pair in _SHORT_ESCAPES.items() for x in pair])
-    long = F.concat(F.lit("\\u00"), F.lower(F.lpad(F.hex(code), 2, "0")))
-    return F.coalesce(F.try_element_at(short, code), long)
+def text(v: str) -> str:
+    """JSON string literal, or ``null``; control characters take their short or hex escape."""
+    short = r"map(8, r'\b', 9, r'\t', 10, r'\n', 12, r'\f', 13, r'\r')"
+    escape = rf"coalesce(try_element_at({short}, c), concat(r'\u00', lower(lpad(hex(c), 2, '0'))))"
+    start = rf"""replace(replace({v}, r'\', r'\\'), '"', r'\"')"""
+    escaped = f"aggregate(sequence(0, 31), {start}, (a, c) -> replace(a, chr(c), {escape}))"
+    body = rf"""CASE WHEN {v} RLIKE r'["\\\x00-\x1f]' THEN {escaped} ELSE {v} END"""
+    return f"""coalesce(concat('"', {body}, '"'), 'null')"""
 
 
-def text(value: Column) -> Column:
-    """JSON string literal, or ``null``."""
-    escaped = F.replace(F.replace(value, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    escaped = F.aggregate(
-        F.sequence(F.lit(0), F.lit(31)), escaped, lambda acc, code: F.replace(acc, F.char(code), _control_escape(code))
-    )
-    needs_escape = value.rlike(r'["\\\x00-\x1f]')
-    quoted = F.concat(F.lit('"'), F.when(needs_escape, escaped).otherwise(value), F.lit('"'))
-    return F.coalesce(quoted, F.lit("null"))
-
-
-def plain(value: Column) -> Column:
+def plain(v: str) -> str:
     """JSON string literal for values known to need no escaping (hashes, enum words)."""
-    return F.coalesce(F.concat(F.lit('"'), value, F.lit('"')), F.lit("null"))
+    return f"""coalesce(concat('"', {v}, '"'), 'null')"""
 
 
-def scalar(value: Column) -> Column:
+def scalar(v: str) -> str:
     """JSON integer or boolean literal, or ``null``."""
-    return F.coalesce(value.cast("string"), F.lit("null"))
+    return f"coalesce(cast({v} AS string), 'null')"
 
 
-def items(values: Column, render: Callable[[Column], Column]) -> Column:
-    return F.concat(F.lit("["), F.array_join(F.transform(values, render), ","), F.lit("]"))
+def items(values: str, variable: str, render: str) -> str:
+    return f"concat('[', array_join(transform({values}, {variable} -> {render}), ','), ']')"
 
 
-def obj(fields: Mapping[str, Column]) -> Column:
+def obj(fields: Mapping[str, str]) -> str:
     """JSON object with its keys in binary order."""
-    parts: list[Column] = []
+    parts = []
     for position, key in enumerate(sorted(fields)):
-        parts.append(F.lit(("{" if position == 0 else ",") + f'"{key}":'))
-        parts.append(fields[key])
-    return F.concat(*parts, F.lit("}"))
+        opening = "{" if position == 0 else ","
+        parts.append(f"""'{opening}"{key}":', {fields[key]}""")
+    return f"concat({', '.join(parts)}, '}}')" if parts else "'{}'"
 
 
-def digest(value: Column) -> Column:
-    return F.sha2(value, 256)
+def digest(v: str) -> str:
+    return f"sha2({v}, 256)"
 
 
-def short_id(prefix: str, value: Column) -> Column:
-    """Prefix plus the first 40 hex characters of the hash of ``value``."""
-    return F.concat(F.lit(prefix), F.substring(digest(value), 1, 40))
+def short_id(prefix: str, v: str) -> str:
+    """Prefix plus the first 40 hex characters of the hash of ``v``."""
+    return f"concat('{prefix}', substring(sha2({v}, 256), 1, 40))"
 
 
-def utf16_length(value: Column) -> Column:
+def utf16_length(v: str) -> str:
     """Length in UTF-16 units: characters outside the basic plane count twice."""
-    astral = F.length(F.regexp_replace(value, r"[\x{0}-\x{FFFF}]", ""))
-    return F.when(F.octet_length(value) == F.length(value), F.length(value)).otherwise(F.length(value) + astral)
+    astral = rf"length(regexp_replace({v}, r'[\x{{0}}-\x{{FFFF}}]', ''))"
+    return f"(CASE WHEN octet_length({v}) = length({v}) THEN length({v}) ELSE length({v}) + {astral} END)"
 
 
-def key(head: str, *parts: Column) -> Column:
+def key(head: str, *parts: str) -> str:
     """Length-prefixed key: ``head|len:part|len:part``."""
-    coded = [F.concat(utf16_length(p).cast("string"), F.lit(":"), p) for p in parts]
-    return F.concat_ws("|", F.lit(head), *coded)
+    coded = [f"concat(cast({utf16_length(p)} AS string), ':', {p})" for p in parts]
+    return f"concat_ws('|', '{head}', {', '.join(coded)})"
 
 
 # Two conventions exist for hashing a key: as a JSON string (with quotes) for events
 # and raw records, and bare for decisions.
 
 
-def event_key(source: Column, kind: Column, source_id: Column, version: Column) -> Column:
-    return key("event", source, kind, source_id, version.cast("string"))
+def event_key(source: str, kind: str, source_id: str, version: str) -> str:
+    return key("event", source, kind, source_id, f"cast({version} AS string)")
 
 
-def event_id(event_key_: Column) -> Column:
+def event_id(event_key_: str) -> str:
     return short_id("evt_", text(event_key_))
 
 
-def raw_key(source: Column, kind: Column, source_id: Column, version: Column) -> Column:
-    return key("raw", source, kind, source_id, version.cast("string"))
+def raw_key(source: str, kind: str, source_id: str, version: str) -> str:
+    return key("raw", source, kind, source_id, f"cast({version} AS string)")
 
 
-def raw_id(raw_key_: Column) -> Column:
+def raw_id(raw_key_: str) -> str:
     return short_id("raw_", text(raw_key_))
 
 
-def decision_key(trigger: Column, market: Column, version: Column, config_hash: Column | None = None) -> Column:
-    parts = [trigger, market, version] + ([] if config_hash is None else [config_hash])
-    return key("decision", *parts)
+def decision_key(trigger: str, market: str, version: str, config_hash: str | None = None) -> str:
+    return key("decision", trigger, market, version, *([] if config_hash is None else [config_hash]))
 
 
-def decision_id(decision_key_: Column) -> Column:
+def decision_id(decision_key_: str) -> str:
     return short_id("dec_", decision_key_)
 
 
-def market_id(
-    fixture: Column, in_running: Column, names: Column, parameters: Column, period: Column, type_: Column
-) -> Column:
+def market_id(fixture: str, in_running: str, names: str, parameters: str, period: str, type_: str) -> str:
     return short_id(
         "mkt_",
         obj(
             {
                 "fixtureId": text(fixture),
                 "inRunning": scalar(in_running),
-                "outcomeNames": items(F.sort_array(names), text),
+                "outcomeNames": items(f"sort_array({names})", "name", text("name")),
                 "parameters": text(parameters),
                 "period": text(period),
                 "type": text(type_),
@@ -124,13 +112,13 @@ def market_id(
     )
 
 
-def outcome_id(market: Column, name: Column) -> Column:
+def outcome_id(market: str, name: str) -> str:
     return short_id("out_", obj({"market": text(market), "name": text(name)}))
 
 
-def json_hash(payload: Column) -> Column:
+def json_hash(payload: str) -> str:
     """Hash of a JSON document in canonical form; text that is no JSON hashes as a JSON string.
 
     A VARIANT keeps object fields in key order, which is what the canonical form needs.
     """
-    return digest(F.coalesce(F.to_json(F.try_parse_json(payload)), text(payload)))
+    return digest(f"coalesce(to_json(try_parse_json({payload})), {text(payload)})")

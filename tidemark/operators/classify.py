@@ -1,13 +1,13 @@
-"""Classification of match events into protective signals, as one Column expression."""
+"""Classification of match events into protective signals, as one expression."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -----------------------------------------------------------------
 # Each rule: action, condition, kind, reason, protective action, severity, confirmation.
-# The first matching rule wins.  A condition names a test of `_conditions`; a
+# The first matching rule wins.  A condition names a test of `_tests`; a
 # confirmation of None keeps the event's own.
 RULES = (
     ("possible", "possible_goal", "possible_goal", "EVENT_POSSIBLE_GOAL", "pause", "critical", "unconfirmed"),
@@ -54,59 +54,50 @@ OUTCOMES = ("scored", "missed", "retake", "overturned", "stands")
 SIGNAL_FIELDS = ("kind", "reason_code", "protective_action", "severity", "confirmation")
 
 
-def canonical_action(value: Column) -> Column:
+def canonical_action(v: str) -> str:
     """Trimmed, lower-cased, with runs of white space and hyphens as one underscore."""
-    trimmed = F.regexp_replace(value, r"(?U)^[\s﻿]+|[\s﻿]+$", "")
-    return F.regexp_replace(F.lower(trimmed), r"(?U)[\s﻿-]+", "_")
+    trimmed = rf"regexp_replace({v}, r'(?U)^[\s\x{{FEFF}}]+|[\s\x{{FEFF}}]+$', '')"
+    return rf"regexp_replace(lower({trimmed}), r'(?U)[\s\x{{FEFF}}-]+', '_')"
 
 
-def _conditions(score: Column, details: Column, confirmation: Column) -> dict[str, Column]:
-    possible = details["possible"]
-    outcome = F.lower(details["outcome"])
-    review = canonical_action(details["review_type"])
+def _tests(score: str, details: str, own: str) -> dict[str, str]:
     tests = {
-        "possible_goal": possible["goal"],
-        "possible_penalty": possible["penalty"],
-        "possible_red_card": possible["red_card"],
-        "possible_review": possible["review"],
-        "unconfirmed": confirmation == "unconfirmed",
-        "reliable": details["reliable"],
-        "unsafe_phase": score["status_id"].isin(*UNSAFE_PHASES),
+        "possible_goal": f"{details}.possible.goal",
+        "possible_penalty": f"{details}.possible.penalty",
+        "possible_red_card": f"{details}.possible.red_card",
+        "possible_review": f"{details}.possible.review",
+        "unconfirmed": f"{own} = 'unconfirmed'",
+        "reliable": f"{details}.reliable",
+        "unsafe_phase": f"{score}.status_id IN {UNSAFE_PHASES}",
     }
-    tests |= {f"outcome_{o}": outcome == o for o in OUTCOMES}
-    tests |= {f"review_{r}": review == r for r in REVIEW_TYPES}
+    tests |= {f"outcome_{o}": f"lower({details}.outcome) = '{o}'" for o in OUTCOMES}
+    tests |= {f"review_{r}": f"{canonical_action(details + '.review_type')} = '{r}'" for r in REVIEW_TYPES}
     return tests
 
 
-def score_signal(score: Column, version: Column) -> Column:
+def score_signal(score: str = "score", version: str = "payload_version") -> str:
     """Signal struct of one score payload; payload version 1 carries no details."""
-    v2 = version == 2
-    details = F.when(v2, score["details"])
-    own = (
-        F.when(~v2 | score["confirmed"].isNull(), F.lit("unknown"))
-        .when(score["confirmed"], F.lit("confirmed"))
-        .otherwise(F.lit("unconfirmed"))
-    )
-    tests = _conditions(score, details, own)
-    action = canonical_action(score["action"])
+    details = f"(CASE WHEN {version} = 2 THEN {score}.details END)"
+    own = f"""(CASE WHEN {version} <> 2 OR {score}.confirmed IS NULL THEN 'unknown'
+        WHEN {score}.confirmed THEN 'confirmed' ELSE 'unconfirmed' END)"""
+    tests = _tests(score, details, own)
 
-    def result(kind, reason, protective, severity, confirmation) -> Column:
-        values = (F.lit(kind), F.lit(reason), F.lit(protective), F.lit(severity))
-        last = own if confirmation is None else F.lit(confirmation)
-        return F.struct(*[v.alias(n) for v, n in zip((*values, last), SIGNAL_FIELDS)])
+    def result(*values) -> str:
+        named = [f"'{n}', {own if v is None else repr(v)}" for n, v in zip(SIGNAL_FIELDS, values)]
+        return f"named_struct({', '.join(named)})"
 
-    chain = None
+    arms = []
     for name, condition, *outcome in RULES:
-        test = action == name if condition is None else (action == name) & tests[condition]
-        chain = (F.when if chain is None else chain.when)(test, result(*outcome))
-    return chain.otherwise(result(*NORMAL))
+        test = f"a = '{name}'" + ("" if condition is None else f" AND {tests[condition]}")
+        arms.append(f"WHEN {test} THEN {result(*outcome)}")
+    chain = f"CASE {' '.join(arms)} ELSE {result(*NORMAL)} END"
+    return f"transform(array({canonical_action(score + '.action')}), a -> {chain})[0]"
 
 
 def classify_scores(events: DataFrame) -> DataFrame:
     """Score events with their classification."""
     scored = events.filter(F.col("kind") == "score.observed")
-    signal = score_signal(F.col("score"), F.col("payload_version"))
-    return scored.withColumn("signal", signal).select(
+    return scored.withColumn("signal", F.expr(score_signal())).select(
         "fixture_id",
         "event_id",
         "source_timestamp_ms",

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 
 from tidemark.config import PROBABILITY_SCALE, SELECTION_VERSION, ConsensusConfig, MarketSelection
 from tidemark.functions import canonical as cj
-from tidemark.functions.integers import div, floor_median, ratio_ppm
 from tidemark.functions.scans import Running, chunk_of, running
 from tidemark.functions.staging import stage
 from tidemark.schemas import event_order
@@ -47,74 +46,48 @@ def quote_vectors(events: DataFrame) -> DataFrame:
     )
 
 
-def vector_diagnostic(outcomes: Column) -> Column:
+def vector_diagnostic(outcomes: str) -> str:
     """First failing validity code of a quote vector, or null."""
-    ids = F.transform(outcomes, lambda o: o["outcome_id"])
-    micros = F.transform(outcomes, lambda o: o["reported_micros"])
-    total = F.aggregate(micros, F.lit(0).cast("long"), lambda a, m: a + F.coalesce(m, F.lit(0)))
-    return (
-        F.when(F.size(outcomes) < 2, F.lit(VECTOR_CODES[0]))
-        .when(F.size(F.array_distinct(ids)) != F.size(ids), F.lit(VECTOR_CODES[1]))
-        .when(F.exists(micros, lambda m: m.isNull()), F.lit(VECTOR_CODES[2]))
-        .when(total <= 0, F.lit(VECTOR_CODES[3]))
-    )
+    total = f"aggregate({outcomes}, 0L, (a, o) -> a + coalesce(o.reported_micros, 0L))"
+    return f"""CASE
+        WHEN size({outcomes}) < 2 THEN '{VECTOR_CODES[0]}'
+        WHEN size(array_distinct({outcomes}.outcome_id)) <> size({outcomes}) THEN '{VECTOR_CODES[1]}'
+        WHEN exists({outcomes}, o -> o.reported_micros IS NULL) THEN '{VECTOR_CODES[2]}'
+        WHEN {total} <= 0 THEN '{VECTOR_CODES[3]}' END"""
 
 
-def apportion(parts: Column) -> Column:
+def apportion(parts: str) -> str:
     """Scale ``parts`` (structs with ``outcome_id``, ``name``, ``micros``) to exactly one million.
 
     Largest remainders win the leftover units, ties go to the smaller outcome id.  The
-    result is ordered by outcome id.
+    result is ordered by outcome id.  One-element transforms bind a value once.
     """
-    total = F.greatest(F.aggregate(parts, F.lit(0).cast("long"), lambda a, p: a + p["micros"]), F.lit(1))
-
-    def share(p: Column) -> Column:
-        scaled = p["micros"] * PROBABILITY_SCALE
-        return F.struct(
-            p["outcome_id"].alias("outcome_id"),
-            p["name"].alias("name"),
-            p["micros"].alias("micros"),
-            div(scaled, total).alias("units"),
-            (scaled % total).alias("rest"),
-        )
-
-    shares = F.transform(parts, share)
-
-    def allocate(s: Column) -> Column:
-        left = F.lit(PROBABILITY_SCALE) - F.aggregate(s, F.lit(0).cast("long"), lambda a, p: a + p["units"])
-        by_rest = F.array_sort(F.transform(s, lambda p: F.struct((-p["rest"]).alias("r"), p["outcome_id"].alias("id"))))
-        winners = F.transform(F.slice(by_rest, 1, left.cast("int")), lambda w: w["id"])
-        return F.array_sort(
-            F.transform(
-                s,
-                lambda p: F.struct(
-                    p["outcome_id"].alias("outcome_id"),
-                    p["name"].alias("name"),
-                    p["micros"].alias("micros"),
-                    (p["units"] + F.array_contains(winners, p["outcome_id"]).cast("long")).alias("probability_micros"),
-                ),
-            )
-        )
-
-    # a one-element transform binds the shares once, so they are not recomputed per use
-    return F.get(F.transform(F.array(shares), allocate), F.lit(0))
+    scale = PROBABILITY_SCALE
+    shares = f"""transform({parts}, p -> named_struct('outcome_id', p.outcome_id, 'name', p.name, 'micros', p.micros,
+        'units', p.micros * {scale}L div total, 'rest', p.micros * {scale}L % total))"""
+    winners = f"""slice(sort_array(transform(s, p -> struct(-p.rest AS r, p.outcome_id AS id))), 1,
+        cast({scale}L - aggregate(s, 0L, (a, p) -> a + p.units) AS int)).id"""
+    allocated = """sort_array(transform(s, p -> named_struct('outcome_id', p.outcome_id, 'name', p.name,
+        'micros', p.micros, 'probability_micros',
+        p.units + CASE WHEN array_contains(winners, p.outcome_id) THEN 1L ELSE 0L END)))"""
+    bind_winners = f"transform(array({winners}), winners -> {allocated})[0]"
+    bind_shares = f"transform(array({shares}), s -> {bind_winners})[0]"
+    total = f"greatest(aggregate({parts}, 0L, (a, p) -> a + p.micros), 1L)"
+    return f"transform(array({total}), total -> {bind_shares})[0]"
 
 
 def normalize_vectors(quotes: DataFrame) -> DataFrame:
     """Add validity, sum, overround, outcome-set signature and the normalized vector."""
-    checked = quotes.withColumn("code", vector_diagnostic(F.col("outcomes")))
-    valid = F.col("code").isNull()
-    parts = F.transform(
-        F.col("outcomes"),
-        lambda o: F.struct(o["outcome_id"].alias("outcome_id"), o["name"].alias("name"), o["reported_micros"].alias("micros")),
-    )
-    with_vector = checked.withColumn("vector", F.when(valid, apportion(parts)))
-    total = F.aggregate("vector", F.lit(0).cast("long"), lambda a, p: a + p["micros"])
+    parts = """transform(outcomes, o -> named_struct('outcome_id', o.outcome_id, 'name', o.name,
+        'micros', o.reported_micros))"""
+    checked = quotes.withColumn("code", F.expr(vector_diagnostic("outcomes")))
+    with_vector = checked.withColumn("vector", F.expr(f"CASE WHEN code IS NULL THEN {apportion(parts)} END"))
+    total = "aggregate(vector, 0L, (a, p) -> a + p.micros)"
     return with_vector.withColumns(
         {
-            "reported_sum_micros": total,
-            "overround_micros": total - PROBABILITY_SCALE,
-            "signature": F.array_join(F.transform("vector", lambda p: p["outcome_id"]), "|"),
+            "reported_sum_micros": F.expr(total),
+            "overround_micros": F.expr(f"{total} - {PROBABILITY_SCALE}L"),
+            "signature": F.expr("array_join(vector.outcome_id, '|')"),
         }
     )
 
@@ -165,15 +138,10 @@ def freshness(quotes: DataFrame, at_ms: Column, config: ConsensusConfig) -> Data
     return quotes.withColumns({"freshness": label, "age_ms": F.when(label == "fresh", age)})
 
 
-def preferred_signature(fresh: Column) -> Column:
+def preferred_signature(fresh: str) -> str:
     """Outcome set shared by most fresh quotes; ties go to the smallest signature."""
-    ranked = F.array_sort(
-        F.transform(
-            F.array_distinct(F.transform(fresh, lambda q: q["signature"])),
-            lambda s: F.struct((-F.size(F.filter(fresh, lambda q: q["signature"] == s))).alias("n"), s.alias("s")),
-        )
-    )
-    return F.get(ranked, F.lit(0))["s"]
+    counted = f"struct(-size(filter({fresh}, q -> q.signature = s)) AS n, s AS s)"
+    return f"get(sort_array(transform(array_distinct({fresh}.signature), s -> {counted})), 0).s"
 
 
 def assemble_snapshots(df: DataFrame, config: ConsensusConfig) -> DataFrame:
@@ -181,179 +149,124 @@ def assemble_snapshots(df: DataFrame, config: ConsensusConfig) -> DataFrame:
 
     Deltas need the previous snapshot and are added by `finish_snapshots`.
     """
-    age = lambda q: F.col("t") - q["observed_at_ms"]
-    is_future = lambda q: age(q) < 0
-    is_stale = lambda q: age(q) > config.stale_after_ms
-    timed = lambda q: ~is_future(q) & ~is_stale(q)
-    step1 = df.withColumns(
+    limit = f"{config.stale_after_ms}L"
+    in_time = f"t - q.observed_at_ms BETWEEN 0 AND {limit}"
+    by_bookmaker = """sort_array(transform(latest, q -> named_struct('bookmaker_id', q.bookmaker_id,
+        'event_id', q.event_id, 'observed_at_ms', q.observed_at_ms, 'code', q.code, 'signature', q.signature,
+        'vector', q.vector)))"""
+    timed = df.withColumn("latest", F.expr(by_bookmaker)).withColumns(
         {
-            "latest": F.array_sort(
-                F.transform(
-                    "latest",
-                    lambda q: F.struct(
-                        q["bookmaker_id"].alias("bookmaker_id"),
-                        q["event_id"].alias("event_id"),
-                        q["observed_at_ms"].alias("observed_at_ms"),
-                        q["code"].alias("code"),
-                        q["signature"].alias("signature"),
-                        q["vector"].alias("vector"),
-                    ),
-                )
-            )
+            "fresh": F.expr(f"filter(latest, q -> {in_time} AND q.code IS NULL)"),
+            "stale_bookmaker_count": F.expr(f"size(filter(latest, q -> t - q.observed_at_ms > {limit}))"),
         }
     )
-    step2 = step1.withColumns(
-        {
-            "fresh": F.filter("latest", lambda q: timed(q) & q["code"].isNull()),
-            "total_bookmaker_count": F.size("latest"),
-            "stale_bookmaker_count": F.size(F.filter("latest", is_stale)),
-        }
+    chosen = timed.withColumn("chosen", F.expr(preferred_signature("fresh"))).withColumn(
+        "preferred", F.expr("filter(fresh, q -> q.signature = chosen)")
     )
-    step3 = step2.withColumn("preferred_signature", preferred_signature(F.col("fresh")))
-    step4 = step3.withColumns(
+    label = f"""CASE WHEN t < q.observed_at_ms THEN 'future_quote' WHEN t - q.observed_at_ms > {limit} THEN 'stale_quote'
+        WHEN q.code IS NOT NULL THEN q.code WHEN q.signature <> chosen THEN 'outcome_set_mismatch' END"""
+    diagnostics = f"""sort_array(filter(transform(latest, q -> named_struct('code', {label},
+        'bookmaker_id', q.bookmaker_id, 'event_id', q.event_id)), d -> d.code IS NOT NULL))"""
+    # quotes of the preferred set list the same outcome ids in the same order
+    component = """transform(array(sort_array(transform(preferred, q -> q.vector[i].probability_micros))), v ->
+        named_struct('outcome_id', p.outcome_id, 'name', p.name, 'values', v,
+        'micros', (v[cast((size(v) - 1) div 2 AS int)] + v[cast(size(v) div 2 AS int)]) div 2))[0]"""
+    medians = f"""CASE WHEN size(preferred) >= {config.min_fresh_bookmakers}
+        THEN transform(preferred[0].vector, (p, i) -> {component}) END"""
+    middled = chosen.withColumns({"medians": F.expr(medians), "diagnostics": F.expr(diagnostics)})
+    ready = "coalesce(aggregate(medians, 0L, (a, m) -> a + m.micros) > 0, false)"
+    degenerate = "array(named_struct('code', 'degenerate_median', 'bookmaker_id', '', 'event_id', ''))"
+    judged = middled.withColumns(
         {
-            "preferred": F.filter("fresh", lambda q: q["signature"] == F.col("preferred_signature")),
-            "ages": F.transform("fresh", age),
-        }
-    )
-
-    def diagnostic(q: Column) -> Column:
-        code = (
-            F.when(is_future(q), F.lit("future_quote"))
-            .when(is_stale(q), F.lit("stale_quote"))
-            .when(q["code"].isNotNull(), q["code"])
-            .when(q["signature"] != F.col("preferred_signature"), F.lit("outcome_set_mismatch"))
-        )
-        return F.struct(code.alias("code"), q["bookmaker_id"].alias("bookmaker_id"), q["event_id"].alias("event_id"))
-
-    diagnostics = F.array_sort(F.filter(F.transform("latest", diagnostic), lambda d: d["code"].isNotNull()))
-    enough = F.size("preferred") >= config.min_fresh_bookmakers
-    template = F.get(F.col("preferred"), F.lit(0))["vector"]
-
-    def component(p: Column, i: Column) -> Column:
-        values = F.array_sort(F.transform("preferred", lambda q: F.get(q["vector"], i)["probability_micros"]))
-        mid = floor_median(values)
-        return F.struct(p["outcome_id"].alias("outcome_id"), p["name"].alias("name"), mid.alias("micros"), values.alias("values"))
-
-    step5 = step4.withColumns({"medians": F.when(enough, F.transform(template, component)), "diagnostics": diagnostics})
-    positive = F.aggregate("medians", F.lit(0).cast("long"), lambda a, m: a + m["micros"]) > 0
-    ready = F.coalesce(positive, F.lit(False))
-
-    def with_dispersion(p: Column, i: Column) -> Column:
-        values = F.get(F.col("medians"), i)["values"]
-        gaps = F.array_sort(F.transform(values, lambda v: F.abs(v - p["micros"])))
-        return F.struct(
-            p["outcome_id"].alias("outcome_id"),
-            p["name"].alias("name"),
-            p["probability_micros"].alias("probability_micros"),
-            floor_median(gaps).alias("dispersion_micros"),
-        )
-
-    parts = F.transform(
-        "medians", lambda m: F.struct(m["outcome_id"].alias("outcome_id"), m["name"].alias("name"), m["micros"].alias("micros"))
-    )
-    degenerate = F.array(
-        F.struct(F.lit("degenerate_median").alias("code"), F.lit("").alias("bookmaker_id"), F.lit("").alias("event_id"))
-    )
-    step6 = step5.withColumns(
-        {
-            "status": F.when(ready, F.lit("ready")).otherwise(F.lit("insufficient")),
-            "apportioned": F.when(ready, apportion(parts)),
-            "diagnostics": F.when(enough & ~ready, F.array_sort(F.concat("diagnostics", degenerate))).otherwise(
-                F.col("diagnostics")
+            "status": F.expr(f"CASE WHEN {ready} THEN 'ready' ELSE 'insufficient' END"),
+            "apportioned": F.expr(f"CASE WHEN {ready} THEN {apportion('medians')} END"),
+            "diagnostics": F.expr(
+                f"CASE WHEN medians IS NOT NULL AND NOT {ready} THEN sort_array(concat(diagnostics, {degenerate})) "
+                "ELSE diagnostics END"
             ),
         }
     )
-    base_type = (
-        "ARRAY<STRUCT<outcome_id: STRING, name: STRING, probability_micros: BIGINT, dispersion_micros: BIGINT>>"
-    )
-    carried = [c for c in df.columns if c not in ("latest",)]
-    return step6.select(
-        *carried,
+    base_outcome = """transform(array(sort_array(transform(medians[i].values, v -> abs(v - p.micros)))), g ->
+        named_struct('outcome_id', p.outcome_id, 'name', p.name, 'probability_micros', p.probability_micros,
+        'dispersion_micros', (g[cast((size(g) - 1) div 2 AS int)] + g[cast(size(g) div 2 AS int)]) div 2))[0]"""
+    empty = """cast(array() AS ARRAY<STRUCT<outcome_id: STRING, name: STRING, probability_micros: BIGINT,
+        dispersion_micros: BIGINT>>)"""
+    ages = "transform(fresh, q -> t - q.observed_at_ms)"
+    return judged.selectExpr(
+        *[c for c in df.columns if c != "latest"],
         "status",
-        F.size("fresh").alias("fresh_bookmaker_count"),
-        F.size("preferred").alias("valid_bookmaker_count"),
+        "size(fresh) AS fresh_bookmaker_count",
+        "size(preferred) AS valid_bookmaker_count",
         "stale_bookmaker_count",
-        "total_bookmaker_count",
-        ratio_ppm(F.col("stale_bookmaker_count").cast("long"), F.col("total_bookmaker_count").cast("long")).alias(
-            "stale_ppm"
-        ),
-        F.array_min("ages").alias("freshest_age_ms"),
-        F.array_max("ages").alias("oldest_fresh_age_ms"),
+        "size(latest) AS total_bookmaker_count",
+        f"""(2L * stale_bookmaker_count * {PROBABILITY_SCALE} + greatest(size(latest), 1))
+            div (2 * greatest(size(latest), 1)) AS stale_ppm""",
+        f"array_min({ages}) AS freshest_age_ms",
+        f"array_max({ages}) AS oldest_fresh_age_ms",
         "diagnostics",
-        F.sort_array(F.transform("preferred", lambda q: q["event_id"])).alias("quote_event_ids"),
-        F.coalesce(F.transform("apportioned", with_dispersion), F.array().cast(base_type)).alias("base_outcomes"),
+        "sort_array(preferred.event_id) AS quote_event_ids",
+        f"coalesce(transform(apportioned, (p, i) -> {base_outcome}), {empty}) AS base_outcomes",
     )
 
 
-def finish_snapshots(df: DataFrame, config: ConsensusConfig, previous: Column | None = None) -> DataFrame:
+def finish_snapshots(df: DataFrame, config: ConsensusConfig, previous: str | None = None) -> DataFrame:
     """Add deltas, velocities and the content-addressed id.
 
-    ``previous`` is a struct (status, t, base_outcomes) of the preceding snapshot of the
-    market; it counts only when it was ready.
+    ``previous`` names a struct column (status, t, base_outcomes) of the preceding snapshot
+    of the market; it counts only when it was ready.
     """
     if previous is None:
-        base = df.withColumns({"__prev_t": F.lit(None).cast("long"), "__prev": F.lit(None).cast(df.schema["base_outcomes"].dataType)})
+        base = df.selectExpr("*", "cast(NULL AS bigint) AS prev_t", "slice(base_outcomes, 1, 0) AS prev")
     else:
-        usable = previous["status"] == "ready"
-        base = df.withColumns(
-            {"__prev_t": F.when(usable, previous["t"]), "__prev": F.when(usable, previous["base_outcomes"])}
+        usable = f"{previous}.status = 'ready'"
+        base = df.selectExpr(
+            "*",
+            f"CASE WHEN {usable} THEN {previous}.t END AS prev_t",
+            f"CASE WHEN {usable} THEN {previous}.base_outcomes END AS prev",
         )
-    elapsed = F.col("t") - F.col("__prev_t")
-
-    def outcome(o: Column) -> Column:
-        before = F.get(F.filter("__prev", lambda p: p["outcome_id"] == o["outcome_id"]), F.lit(0))
-        delta = o["probability_micros"] - before["probability_micros"]
-        return F.struct(
-            o["outcome_id"].alias("outcome_id"),
-            o["name"].alias("name"),
-            o["probability_micros"].alias("probability_micros"),
-            o["dispersion_micros"].alias("dispersion_micros"),
-            delta.alias("delta_micros"),
-            F.when(elapsed > 0, div(delta * 1000, F.greatest(elapsed, F.lit(1)))).alias("velocity_micros_per_s"),
-        )
-
-    full = base.withColumn("outcomes", F.transform("base_outcomes", outcome))
+    before = "get(filter(prev, b -> b.outcome_id = o.outcome_id), 0).probability_micros"
+    outcome = f"""transform(array(o.probability_micros - {before}), d -> named_struct(
+        'outcome_id', o.outcome_id, 'name', o.name, 'probability_micros', o.probability_micros,
+        'dispersion_micros', o.dispersion_micros, 'delta_micros', d,
+        'velocity_micros_per_s', CASE WHEN t > prev_t THEN d * 1000L div (t - prev_t) END))[0]"""
+    full = base.withColumn("outcomes", F.expr(f"transform(base_outcomes, o -> {outcome})"))
+    configuration = cj.obj(
+        {
+            "formulaVersion": cj.plain(cj.literal(config.formula_version)),
+            "minFreshBookmakers": f"'{config.min_fresh_bookmakers}'",
+            "staleAfterMs": f"'{config.stale_after_ms}'",
+        }
+    )
+    diagnostic = cj.obj(
+        {
+            "bookmakerId": cj.text("d.bookmaker_id"),
+            "code": cj.plain("d.code"),
+            "eventId": cj.text("d.event_id"),
+        }
+    )
+    outcome_json = cj.obj(
+        {
+            "deltaMicros": cj.scalar("o.delta_micros"),
+            "dispersionMadMicros": cj.scalar("o.dispersion_micros"),
+            "name": cj.text("o.name"),
+            "outcomeId": cj.text("o.outcome_id"),
+            "probabilityMicros": cj.scalar("o.probability_micros"),
+            "velocityMicrosPerSecond": cj.scalar("o.velocity_micros_per_s"),
+        }
+    )
     identity = cj.obj(
         {
-            "configuration": cj.obj(
-                {
-                    "formulaVersion": cj.text(F.lit(config.formula_version)),
-                    "minFreshBookmakers": cj.scalar(F.lit(config.min_fresh_bookmakers)),
-                    "staleAfterMs": cj.scalar(F.lit(config.stale_after_ms)),
-                }
-            ),
-            "diagnostics": cj.items(
-                F.col("diagnostics"),
-                lambda d: cj.obj(
-                    {
-                        "bookmakerId": cj.text(d["bookmaker_id"]),
-                        "code": cj.plain(d["code"]),
-                        "eventId": cj.plain(d["event_id"]),
-                    }
-                ),
-            ),
-            "formulaVersion": cj.text(F.lit(config.formula_version)),
-            "logicalTimestampMs": cj.scalar(F.col("t")),
-            "marketId": cj.text(F.col("market_id")),
-            "outcomes": cj.items(
-                F.col("outcomes"),
-                lambda o: cj.obj(
-                    {
-                        "deltaMicros": cj.scalar(o["delta_micros"]),
-                        "dispersionMadMicros": cj.scalar(o["dispersion_micros"]),
-                        "name": cj.text(o["name"]),
-                        "outcomeId": cj.text(o["outcome_id"]),
-                        "probabilityMicros": cj.scalar(o["probability_micros"]),
-                        "velocityMicrosPerSecond": cj.scalar(o["velocity_micros_per_s"]),
-                    }
-                ),
-            ),
-            "quoteEventIds": cj.items(F.col("quote_event_ids"), cj.plain),
-            "status": cj.plain(F.col("status")),
+            "configuration": configuration,
+            "diagnostics": cj.items("diagnostics", "d", diagnostic),
+            "formulaVersion": cj.plain(cj.literal(config.formula_version)),
+            "logicalTimestampMs": cj.scalar("t"),
+            "marketId": cj.text("market_id"),
+            "outcomes": cj.items("outcomes", "o", outcome_json),
+            "quoteEventIds": cj.items("quote_event_ids", "e", cj.text("e")),
+            "status": cj.plain("status"),
         }
     )
-    return full.withColumn("consensus_id", cj.short_id("cns_", identity)).drop("__prev_t", "__prev", "base_outcomes")
+    return full.withColumn("consensus_id", F.expr(cj.short_id("cns_", identity))).drop("prev_t", "prev", "base_outcomes")
 
 
 def _current_quotes(quotes: DataFrame, config: ConsensusConfig) -> DataFrame:
@@ -418,7 +331,7 @@ def consensus_trace(events: DataFrame, config: ConsensusConfig) -> DataFrame:
     fresh = observed.filter(~F.col("superseded"))
     previous = Running("previous", "last", F.struct("status", "t", "base_outcomes"), inclusive=False)
     chained = running(fresh, ["market_id"], "ord", "chunk", [previous])
-    snapshots = finish_snapshots(chained, config, F.col("previous")).drop("previous")
+    snapshots = finish_snapshots(chained, config, "previous").drop("previous")
     payload = [c for c in snapshots.columns if c not in columns]
     observations = snapshots.select(*columns, F.col("t").alias("snapshot_t"), *payload)
     if observed.filter("superseded").isEmpty():

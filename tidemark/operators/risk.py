@@ -157,7 +157,7 @@ def attribute(
     ``fanout='all_markets'`` such events go to every market of the fixture observed so far.
     """
     observed = trace.select("event_id", F.col("market_id").alias("obs_market"), snapshot_features().alias("obs_features"))
-    signal = F.when(F.col("kind") == "score.observed", score_signal(F.col("score"), F.col("payload_version")))
+    signal = F.expr(f"CASE WHEN kind = 'score.observed' THEN {score_signal()} END")
     base = events.select(
         "event_id",
         "fixture_id",
@@ -191,13 +191,13 @@ def attribute(
     )
 
 
-def namespace_market(namespace: Column, market: Column) -> Column:
+def namespace_market(namespace: str, market: str) -> str:
     """Market id isolated inside an evaluation: namespace plus 32 hex of the market's hash."""
-    return F.concat_ws(":", namespace, F.substring(cj.digest(cj.text(market)), 1, 32))
+    return f"concat_ws(':', {namespace}, substring({cj.digest(cj.text(market))}, 1, 32))"
 
 
-def replay_resource(run_id: Column, resource: Column) -> Column:
-    return F.concat_ws(":", F.lit("replay"), run_id, resource)
+def replay_resource(run_id: str, resource: str) -> str:
+    return f"concat_ws(':', 'replay', {run_id}, {resource})"
 
 
 # --- the fold ----------------------------------------------------------------------
@@ -379,50 +379,51 @@ def _decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
             "used_signal": F.coalesce(s, normal),
         }
     )
-    key = cj.decision_key(F.col("event_id"), F.col("market_id"), version, F.col("policy_configuration_hash"))
+    key = cj.decision_key("event_id", "market_id", cj.literal(policy_version), "policy_configuration_hash")
     u = F.col("used_signal")
     feature_json = cj.obj(
         {
-            json_name: (cj.plain if name == "consensus_status" else cj.scalar)(f[name])
+            json_name: (cj.plain if name == "consensus_status" else cj.scalar)(f"features.{name}")
             for json_name, name in zip(_FEATURE_JSON, FEATURE_FIELDS)
         }
     )
     previous_json = cj.obj(
         {
-            "fixtureId": cj.text(F.col("fixture_id")),
-            "lastLogicalTimestampMs": cj.scalar(F.col("previous_t")),
-            "lastStateChangeAtMs": cj.scalar(F.col("previous_change_ms")),
-            "marketId": cj.text(F.col("market_id")),
-            "recoveryStableUpdates": cj.scalar(F.col("previous_stable_updates")),
-            "shockUntilMs": cj.scalar(F.col("previous_shock_ms")),
-            "state": cj.plain(F.col("previous_state")),
-            "stateVersion": cj.scalar(F.col("state_version")),
+            "fixtureId": cj.text("fixture_id"),
+            "lastLogicalTimestampMs": cj.scalar("previous_t"),
+            "lastStateChangeAtMs": cj.scalar("previous_change_ms"),
+            "marketId": cj.text("market_id"),
+            "recoveryStableUpdates": cj.scalar("previous_stable_updates"),
+            "shockUntilMs": cj.scalar("previous_shock_ms"),
+            "state": cj.plain("previous_state"),
+            "stateVersion": cj.scalar("state_version"),
         }
     )
     signal_json = cj.obj(
         {
-            "confirmation": cj.plain(u["confirmation"]),
-            "kind": cj.plain(u["kind"]),
-            "protectiveAction": cj.plain(u["protective_action"]),
-            "reasonCode": cj.plain(u["reason_code"]),
-            "severity": cj.plain(u["severity"]),
+            "confirmation": cj.plain("used_signal.confirmation"),
+            "kind": cj.plain("used_signal.kind"),
+            "protectiveAction": cj.plain("used_signal.protective_action"),
+            "reasonCode": cj.plain("used_signal.reason_code"),
+            "severity": cj.plain("used_signal.severity"),
         }
     )
     feature_hash = cj.digest(
         cj.obj(
             {
-                "evidenceEventIds": cj.items(F.col("evidence_event_ids"), cj.text),
+                "evidenceEventIds": cj.items("evidence_event_ids", "e", cj.text("e")),
                 "features": feature_json,
-                "fixtureId": cj.text(F.col("fixture_id")),
-                "logicalTimestampMs": cj.scalar(F.col("t")),
-                "marketId": cj.text(F.col("market_id")),
+                "fixtureId": cj.text("fixture_id"),
+                "logicalTimestampMs": cj.scalar("t"),
+                "marketId": cj.text("market_id"),
                 "previous": previous_json,
-                "proofStatus": cj.plain(F.col("proof_status")),
+                "proofStatus": cj.plain("proof_status"),
                 "scoreSignal": signal_json,
-                "triggerEventId": cj.text(F.col("event_id")),
+                "triggerEventId": cj.text("event_id"),
             }
         )
     )
+    named = named.withColumn("idempotency_key", F.expr(key))
     code = lambda table, col: F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), col).cast("long")
     metric = lambda name: F.coalesce(f[name], F.lit(-1)).cast("long")
     metrics = F.struct(
@@ -441,8 +442,8 @@ def _decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
         metric("unreacted_count").alias("unreacted_bookmaker_count"),
     )
     return named.select(
-        cj.decision_id(key).alias("decision_id"),
-        key.alias("idempotency_key"),
+        F.expr(cj.decision_id("idempotency_key")).alias("decision_id"),
+        "idempotency_key",
         "policy_id",
         "fixture_id",
         "market_id",
@@ -459,7 +460,7 @@ def _decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
         metrics.alias("metrics"),
         "policy_version",
         "policy_configuration_hash",
-        feature_hash.alias("input_feature_hash"),
+        F.expr(feature_hash).alias("input_feature_hash"),
         F.col("used_signal").alias("signal"),
     )
 

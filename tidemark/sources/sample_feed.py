@@ -176,10 +176,9 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         "*",
         kind.alias("kind"),
         source_id.alias("source_id"),
-        cj.event_key(F.lit(LABELS.live), kind, source_id, version).alias("idempotency_key"),
-    )
+    ).withColumn("idempotency_key", F.expr(cj.event_key(cj.literal(LABELS.live), "kind", "source_id", "2")))
     return keyed.select(
-        cj.event_id(F.col("idempotency_key")).alias("event_id"),
+        F.expr(cj.event_id("idempotency_key")).alias("event_id"),
         "idempotency_key",
         "fixture_id",
         "kind",
@@ -194,3 +193,150 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(odds, _odds_struct()).alias("odds"),
         F.when(~odds, _score_struct()).alias("score"),
     )
+
+
+# --- the same feed as raw JSON text, with planted bad records ------------------------
+
+COMPETITIONS = ("World Cup", "League", "Friendly world cup warm-up", "Cup")
+
+
+def _json_number_list(*columns: Column) -> Column:
+    return F.concat(F.lit("["), F.concat_ws(",", *[c.cast("string") for c in columns]), F.lit("]"))
+
+
+def _pct(micros: Column) -> Column:
+    """Micros as percent text with three decimals; null as NA."""
+    tenths = div(micros, 10)
+    whole = div(tenths, 1000).cast("string")
+    return F.coalesce(F.concat(whole, F.lit("."), F.lpad((tenths % 1000).cast("string"), 3, "0")), F.lit("NA"))
+
+
+def _odds_json(price: Column, short: Column) -> Column:
+    home, draw, away = _micros()
+    draw = F.when(F.col("k") != 97, draw)
+    quoted = lambda *cs: F.concat(F.lit('["'), F.concat_ws('","', *cs), F.lit('"]'))
+    full_prices, cut_prices = _json_number_list(price, price + 1, price + 2), _json_number_list(price, price + 1)
+    book = (F.col("k") % 5).cast("string")
+    return F.concat(
+        F.lit('{"Bookmaker":"Book '),
+        book,
+        F.lit('","BookmakerId":'),
+        book,
+        F.lit(',"FixtureId":'),
+        F.col("fixture_id"),
+        F.lit(',"GameState":"in_play","InRunning":true,"MarketParameters":"'),
+        F.col("market_id"),
+        F.lit('","MarketPeriod":"full_time","MessageId":"'),
+        F.col("n").cast("string"),
+        F.lit('","Pct":'),
+        quoted(_pct(home), _pct(draw), _pct(away)),
+        F.lit(',"PriceNames":["home","draw","away"],"Prices":'),
+        F.when(short, cut_prices).otherwise(full_prices),
+        F.lit(',"SuperOddsType":"1X2","Ts":'),
+        F.col("t").cast("string"),
+        F.lit("}"),
+    )
+
+
+def _score_json() -> Column:
+    """Match events: errors in the UpperCase dialect, status changes in the lowerCase one."""
+    n, k, j = F.col("n").cast("string"), F.col("k"), div(F.col("k"), 13)
+    home, away = (F.col("v") % 4).cast("string"), (k % 3).cast("string")
+    flag = F.when(k % 3 == 0, F.lit("true")).otherwise(F.lit("false"))
+    said = F.when(k % 3 == 2, F.lit("")).otherwise(F.concat(F.lit('"Confirmed":'), flag, F.lit(",")))
+    said_low = F.when(k % 3 == 2, F.lit("")).otherwise(F.concat(F.lit('"confirmed":'), flag, F.lit(",")))
+    data = F.concat(
+        F.lit('{"Goal":'),
+        (j % 4 == 0).cast("string"),
+        F.lit(',"Id":'),
+        (F.col("n") + 1).cast("string"),
+        F.lit(',"Outcome":"'),
+        _pick(j % 3, "Scored", "Overturned", "Stands"),
+        F.lit('","Reliable":'),
+        (j % 2 == 0).cast("string"),
+        F.lit("}"),
+    )
+    upper = F.concat(
+        F.lit('{"Action":"'), _pick(k % 13, *ACTIONS_BY_K), F.lit('",'), said, F.lit('"Data":'), data,
+        F.lit(',"FixtureId":'), F.col("fixture_id"), F.lit(',"Id":'), n, F.lit(',"Seq":'), n,
+        F.lit(',"Stats":[{"Key":1,"Period":0,"Value":'), home, F.lit('},{"Key":2,"Period":0,"Value":'), away,
+        F.lit('}],"Ts":'), F.col("t").cast("string"), F.lit("}"),
+    )
+    lower = F.concat(
+        F.lit('{"action":"status",'), said_low, F.lit('"fixtureId":'), F.col("fixture_id"), F.lit(',"followsAction":'), n,
+        F.lit(',"parti1StateSoccer":{"PossibleEvent":{"Goal":'), (j % 2 == 0).cast("string"),
+        F.lit('}},"parti2StateSoccer":{"PossibleEvent":{"Goal":true,"Penalty":false}},"period":null,'),
+        F.lit('"possibleEventSoccer":{"RedCard":false,"VAR":true},"seq":'), n,
+        F.lit(',"stats":{"1":'), home, F.lit(',"1001":'), home, F.lit(',"2":'), away, F.lit('},"statusSoccerId":"'),
+        _pick(k % 4, "H1", " h2 ", "HT", "??"), F.lit('","ts":'), F.col("t").cast("string"), F.lit("}"),
+    )
+    return F.when(F.col("event_type") == "error", upper).otherwise(lower)
+
+
+def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw odds and score records; `arrival` orders them, copies come right after.
+
+    Planted by n % 50: 0 loses its last price, 1 repeats, 2 repeats with another price,
+    3 has an unknown kind.
+    """
+    mod, odds = F.col("n") % 50, _is_odds()
+    repeats = (mod == 1) | ((mod == 2) & odds)
+    copies = F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = base(spark, sf_dir).withColumn("copy", F.explode(copies))
+    price = F.col("v") + F.when(mod == 2, F.col("copy")).otherwise(F.lit(0)) * 10
+    kind = F.when(mod == 3, F.lit("weather")).when(odds, F.lit("odds")).otherwise(F.lit("score"))
+    return rows.select(
+        (F.col("n") * 2 + F.col("copy")).alias("arrival"),
+        kind.alias("payload_kind"),
+        F.lit(None).cast("int").alias("payload_version"),
+        F.lit(LABELS.live).alias("source"),
+        F.col("t").alias("received_at_ms"),
+        F.lit(None).cast("long").alias("sequence"),
+        F.when(odds, _odds_json(price, mod == 0)).otherwise(_score_json()).alias("payload"),
+    )
+
+
+def raw_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixture observations derived from `orders`: one per order, for twelve fixtures."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        F.col("o_orderkey").alias("n"),
+        (F.col("o_custkey") % 12).alias("f"),
+        F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("d"),
+    )
+    text_ = lambda c: c.cast("string")
+    payload = F.concat(
+        F.lit('{"Competition":"'), _pick(F.col("f") % 4, *COMPETITIONS), F.lit('","CompetitionId":'), text_(F.col("f") % 4),
+        F.lit(',"FixtureId":'), text_(F.col("f")), F.lit(',"GameState":'), text_(F.col("n") % 7),
+        F.lit(',"Participant1":"Side '), text_(F.col("f") * 2), F.lit('","Participant1Id":'), text_(F.col("f") * 2),
+        F.lit(',"Participant1IsHome":'), text_(F.col("n") % 2 == 0),
+        F.lit(',"Participant2":"Side '), text_(F.col("f") * 2 + 1), F.lit('","Participant2Id":'), text_(F.col("f") * 2 + 1),
+        F.lit(',"StartTime":'), text_(F.col("d") + F.col("f") * 3_600_000), F.lit(',"Ts":'), text_(F.col("d") + F.col("n")),
+        F.lit("}"),
+    )
+    return orders.select(
+        F.col("n").alias("arrival"),
+        F.lit("fixture").alias("payload_kind"),
+        F.lit(1).alias("payload_version"),
+        F.lit(LABELS.snapshot).alias("source"),
+        (F.col("d") + F.col("n")).alias("received_at_ms"),
+        F.lit(None).cast("long").alias("sequence"),
+        payload.alias("payload"),
+    )
+
+
+def order_requests(spark: SparkSession, sf_dir: str, decisions: DataFrame) -> DataFrame:
+    """Order requests from click rows; each quotes its market's first decision."""
+    first = decisions.groupBy("market_id").agg(F.min_by("decision_id", "expected_state_version").alias("expected_decision_id"))
+    clicks = base(spark, sf_dir).filter("event_type = 'click'").select(
+        "fixture_id",
+        "market_id",
+        F.concat(F.lit("order-"), F.col("n").cast("string")).alias("idempotency_key"),
+        F.lit("live").alias("namespace"),
+        _pick(F.col("k") % 3, "home", "draw", "away").alias("outcome_id"),
+        F.col("v").alias("price"),
+        (F.col("t") - F.col("k") * 60_000).alias("quote_observed_at_ms"),
+        (F.col("t") + 1_800_000).alias("requested_at_ms"),
+        F.when(F.col("k") % 2 == 0, F.lit("back")).otherwise(F.lit("lay")).alias("side"),
+        (F.col("v") * 10_000 + 1).alias("stake_micros"),
+    )
+    return clicks.join(first, "market_id", "left").withColumn("expected_state_version", F.lit(1).cast("long"))
