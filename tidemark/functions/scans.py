@@ -20,7 +20,7 @@ from tidemark.functions.integers import div
 
 @dataclass(frozen=True)
 class Running:
-    """One running value. ``kind``: ``last`` (ignoring nulls) or ``sum``."""
+    """One running value. ``kind``: ``last`` or ``first`` (both ignoring nulls), ``max`` or ``sum``."""
 
     name: str
     kind: str
@@ -32,6 +32,14 @@ def chunk_of(time_ms: Column, chunk_ms: int) -> Column:
     return div(time_ms, chunk_ms)
 
 
+def _frame_value(kind: str, col: Column, frame) -> Column:
+    if kind == "last":
+        return F.last(col, ignorenulls=True).over(frame)
+    if kind == "first":
+        return F.first(col, ignorenulls=True).over(frame)
+    return (F.max if kind == "max" else F.sum)(col).over(frame)
+
+
 def running(
     df: DataFrame, keys: Sequence[str], order: str, chunk: str, specs: Sequence[Running]
 ) -> DataFrame:
@@ -47,12 +55,15 @@ def running(
     before = Window.partitionBy(*keys).orderBy(chunk).rowsBetween(Window.unboundedPreceding, -1)
     for s in specs:
         col = F.col(values[s.name])
-        if s.kind == "last":
-            summary_aggs.append(F.max_by(col, F.when(col.isNotNull(), F.col(order))).alias(f"__s_{s.name}"))
-            carry_cols.append(F.last(f"__s_{s.name}", ignorenulls=True).over(before).alias(f"__c_{s.name}"))
-        else:
-            summary_aggs.append(F.sum(col).alias(f"__s_{s.name}"))
-            carry_cols.append(F.sum(f"__s_{s.name}").over(before).alias(f"__c_{s.name}"))
+        known = F.when(col.isNotNull(), F.col(order))
+        summary = {
+            "last": lambda: F.max_by(col, known),
+            "first": lambda: F.min_by(col, known),
+            "max": lambda: F.max(col),
+            "sum": lambda: F.sum(col),
+        }[s.kind]()
+        summary_aggs.append(summary.alias(f"__s_{s.name}"))
+        carry_cols.append(_frame_value(s.kind, F.col(f"__s_{s.name}"), before).alias(f"__c_{s.name}"))
     summary = staged.groupBy(*group).agg(*summary_aggs)
     carry = summary.select(*group, *carry_cols)
     joined = staged.join(carry, group, "left")
@@ -61,9 +72,12 @@ def running(
         frame = Window.partitionBy(*group).orderBy(order)
         frame = frame.rowsBetween(Window.unboundedPreceding, 0 if s.inclusive else -1)
         col, carried = F.col(values[s.name]), F.col(f"__c_{s.name}")
-        if s.kind == "last":
-            out.append(F.coalesce(F.last(col, ignorenulls=True).over(frame), carried).alias(s.name))
-        else:
-            local = F.coalesce(F.sum(col).over(frame), F.lit(0))
-            out.append((local + F.coalesce(carried, F.lit(0))).alias(s.name))
+        local = _frame_value(s.kind, col, frame)
+        combined = {
+            "last": lambda: F.coalesce(local, carried),
+            "first": lambda: F.coalesce(carried, local),
+            "max": lambda: F.greatest(local, carried),
+            "sum": lambda: F.coalesce(local, F.lit(0)) + F.coalesce(carried, F.lit(0)),
+        }[s.kind]()
+        out.append(combined.alias(s.name))
     return joined.select(*out)

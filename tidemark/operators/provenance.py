@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import FeedLabels, ReplayConfig, canonical_text
 from tidemark.functions import canonical as cj
+from tidemark.functions.integers import div
 from tidemark.functions.scans import Running, chunk_of, running
+from tidemark.operators import digests
 from tidemark.schemas import event_order
 
+cloudpickle.register_pickle_by_value(digests)
+
 # --- fixed values -----------------------------------------------------------------
 RUN_MOVES = {
     "completed": ("completed",),
@@ -133,30 +133,6 @@ def fact_json(labels: FeedLabels = FeedLabels()) -> str:
     )
 
 
-def _list_digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Hash the JSON arrays of each fixture row by row; input is sorted by fixture and order."""
-    names = ["fixture_id", "event_count", "event_sequence_hash", "input_hash"]
-    current, ids, facts, count = None, None, None, 0
-
-    def closed() -> pd.DataFrame:
-        ids.update(b"]")
-        facts.update(b"]")
-        return pd.DataFrame([[current, count, ids.hexdigest(), facts.hexdigest()]], columns=names)
-
-    for batch in batches:
-        for fixture, event_id, fact in zip(batch["fixture_id"], batch["id_json"], batch["fact_json"]):
-            if fixture != current:
-                if current is not None:
-                    yield closed()
-                current, ids, facts, count = fixture, hashlib.sha256(b"["), hashlib.sha256(b"["), 0
-            separator = b"," if count else b""
-            ids.update(separator + event_id.encode())
-            facts.update(separator + fact.encode())
-            count += 1
-    if current is not None:
-        yield closed()
-
-
 def sequence_hash(events: DataFrame, labels: FeedLabels = FeedLabels()) -> DataFrame:
     """Per fixture: event count, hash of the ordered ids, hash of the ordered facts.
 
@@ -169,8 +145,7 @@ def sequence_hash(events: DataFrame, labels: FeedLabels = FeedLabels()) -> DataF
     )
     arranged = rendered.repartition("fixture_id").sortWithinPartitions("fixture_id", "ord")
     schema = "fixture_id string, event_count long, event_sequence_hash string, input_hash string"
-    digest = cloudpickle.loads(cloudpickle.dumps(_list_digests))
-    return arranged.select("fixture_id", "id_json", "fact_json").mapInPandas(digest, schema)
+    return arranged.select("fixture_id", "id_json", "fact_json").mapInPandas(digests.list_digests, schema)
 
 
 def manifests(events: DataFrame, fixtures: DataFrame, config: ReplayConfig, labels: FeedLabels = FeedLabels()) -> DataFrame:
@@ -252,10 +227,11 @@ def manifest_violations(events: DataFrame, manifest_rows: DataFrame, labels: Fee
 
 def run_violations(run_log: DataFrame, manifest_rows: DataFrame) -> DataFrame:
     """Run updates that break the lifecycle.  ``run_log`` carries `update_seq` per run."""
-    w = Window.partitionBy("run_id").orderBy("update_seq")
-    previous = F.lag(F.struct("status", "event_count", *[c for c in RUN_CONSTANTS if c != "run_id"])).over(w)
+    previous = F.struct("status", "event_count", *[c for c in RUN_CONSTANTS if c != "run_id"])
+    chunked = run_log.withColumn("__chunk", div(F.col("update_seq"), 1000))
+    chained = running(chunked, ["run_id"], "update_seq", "__chunk", [Running("p", "last", previous, inclusive=False)])
     limits = manifest_rows.select("manifest_id", F.col("event_count").alias("manifest_count"))
-    joined = run_log.withColumn("p", previous).join(limits, "manifest_id", "left")
+    joined = chained.join(limits, "manifest_id", "left")
     moves = " OR ".join(
         f"(p.status = '{a}' AND status IN ({', '.join(repr(b) for b in after)}))" for a, after in RUN_MOVES.items()
     )
