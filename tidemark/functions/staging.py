@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> bool:
@@ -35,3 +36,12 @@ def stage(df: DataFrame) -> DataFrame:
     if df.isStreaming or not ensure_checkpoint_dir(df.sparkSession):
         return df
     return df.checkpoint(eager=True)
+
+
+def fence(df: DataFrame) -> DataFrame:
+    """Keep later predicates from being rewritten in terms of what computes ``df``.
+
+    A filter on a derived column is otherwise pushed below its projection and re-evaluates
+    the whole expression behind the column; through a generator it is not.
+    """
+    return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeedLabels
 from tidemark.functions import canonical as cj
+from tidemark.functions.staging import fence
 from tidemark.schemas import FIXTURE_DDL, ODDS_DDL, SCORE_DDL
 
 # --- fixed values -----------------------------------------------------------------
@@ -43,6 +44,7 @@ MAX_SAFE_INTEGER = 9_007_199_254_740_991
 
 # JSON text of every field the checks look at, extracted once per record: path -> column.
 _FIELDS: dict[str, str] = {}
+_INTEGERS: dict[str, str] = {}
 
 
 def _json(path: str) -> str:
@@ -68,7 +70,9 @@ def _boolean(path: str) -> str:
 
 
 def _integer(path: str) -> str:
-    return f"({_integer_of(_json(path))})"
+    """Column holding a field's integer value, null unless it is an integral number."""
+    _json(path)
+    return _INTEGERS.setdefault(path, "int_" + _json(path))
 
 
 def _array(path: str) -> str:
@@ -121,6 +125,8 @@ def _nullable_text(path: str) -> tuple[str, str]:
 # --- odds -------------------------------------------------------------------------
 
 _NAMES, _PRICES, _PCT = _array("PriceNames"), _array("Prices"), _array("Pct")
+_BOUND = {"names_array": _NAMES, "prices_array": _PRICES, "pct_array": _PCT}
+_NAMES, _PRICES, _PCT = _BOUND
 _PCT_TEXT = "try_variant_get(x, '$', 'string')"
 _PCT_OK = r"""to_json(x) RLIKE r'^"(NA|\d+\.\d{3})"$'"""
 
@@ -341,12 +347,15 @@ _FIXTURE_STRUCT = f"""named_struct('fixture_id', cast({_integer('FixtureId')} AS
 def odds_issues(raw: DataFrame) -> DataFrame:
     """Validation messages of odds payloads; an empty array means valid."""
     parsed = _with_fields(raw.withColumn("v", F.try_parse_json("payload")))
-    return parsed.withColumn("issues", F.expr(ODDS_ISSUES)).drop("v", *_FIELDS.values())
+    return parsed.withColumn("issues", F.expr(ODDS_ISSUES)).drop("v", *_FIELDS.values(), *_INTEGERS.values(), *_BOUND)
 
 
 def _with_fields(df: DataFrame) -> DataFrame:
     """Bind the JSON text of every inspected field as a column."""
-    return df.withColumns({c: F.expr(f"to_json(variant_get(v, '$.{p}', 'variant'))") for p, c in _FIELDS.items()})
+    texts = {c: F.expr(f"to_json(variant_get(v, '$.{p}', 'variant'))") for p, c in _FIELDS.items()}
+    numbers = {c: F.expr(_integer_of(_json(p))) for p, c in _INTEGERS.items()}
+    arrays = {c: F.expr(sql) for c, sql in _BOUND.items()}
+    return fence(fence(df).withColumns(texts)).withColumns(numbers | arrays)
 
 
 def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0) -> DataFrame:
@@ -372,7 +381,7 @@ def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0
             ),
         }
     )
-    coded = checked.withColumn(
+    coded = fence(checked).withColumn(
         "kind_issues",
         F.expr(
             """CASE WHEN payload_kind <> 'score' THEN own_issues
@@ -402,7 +411,7 @@ def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0
         _string("MarketPeriod"),
         _string("SuperOddsType"),
     )
-    shaped = coded.withColumns(
+    shaped = fence(coded).withColumns(
         {
             "s": F.expr(
                 f"""CASE WHEN {good} AND payload_kind = 'score' THEN CASE WHEN size(issues_upper) = 0
@@ -431,7 +440,7 @@ def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0
         concat('sha256:', payload_hash))"""
     priorities = ", ".join(f"'{k}', {p}" for k, p in labels.priorities.items())
     identified = (
-        shaped.withColumns({"payload_hash": F.expr(cj.json_hash("payload"))})
+        fence(shaped).withColumns({"payload_hash": F.expr(cj.json_hash("payload"))})
         .withColumns(
             {
                 "fixture": F.expr(f"CASE WHEN {good} AND payload_kind = 'fixture' THEN {_FIXTURE_STRUCT} END").cast(FIXTURE_DDL),
@@ -460,7 +469,7 @@ def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0
         )
     )
     extra = [c for c in raw.columns if c not in _CORE_RAW]
-    return identified.selectExpr(
+    return fence(identified).selectExpr(
         *extra,
         f"{cj.raw_id('raw_key')} AS ingest_id",
         "raw_key",
