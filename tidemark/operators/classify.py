@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.functions.staging import fence
+
 # --- fixed values -----------------------------------------------------------------
 # Each rule: action, condition, kind, reason, protective action, severity, confirmation.
 # The first matching rule wins.  A condition names a test of `_tests`; a
@@ -97,7 +99,7 @@ def score_signal(score: str = "score", version: str = "payload_version") -> str:
 def classify_scores(events: DataFrame) -> DataFrame:
     """Score events with their classification."""
     scored = events.filter(F.col("kind") == "score.observed")
-    return scored.withColumn("signal", F.expr(score_signal())).select(
+    return fence(scored.withColumn("signal", F.expr(score_signal()))).select(
         "fixture_id",
         "event_id",
         "source_timestamp_ms",

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tidemark.config import EvaluationConfig, RiskPolicy, canonical_text
 from tidemark.functions import canonical as cj
 from tidemark.functions.integers import div, mean_rounded
+from tidemark.functions.staging import stage
 from tidemark.operators.classify import classify_scores
 from tidemark.operators.consensus import max_delta, normalize_vectors, quote_vectors, reaction_latency
 from tidemark.operators.orders import order_ids
@@ -317,10 +318,11 @@ def report_facts(
     with_latencies: bool = True,
 ) -> DataFrame:
     """Every diagnostic and metric, one row per (fixture, policy) that has decisions."""
-    sig = signals(events)
-    base = baseline(trace, sig)
+    # one row per fixture each, and read by almost every step below
+    sig = stage(signals(events))
+    base = stage(baseline(trace, sig))
     move = first_move(trace, sig, base, config)
-    conv = convergence(trace, sig, base, config)
+    conv = stage(convergence(trace, sig, base, config))
     ends = events.groupBy("fixture_id").agg(F.max("source_timestamp_ms").alias("end_t"))
     keys = ["fixture_id", "policy_id"]
     last = F.max_by("next_state", "ord").alias("last_state")

@@ -114,6 +114,29 @@ class FeedTables:
     def baseline(self) -> DataFrame:
         return stage(evaluation.baseline(self.trace, self.signals))
 
+    @cached_property
+    def anchor_signals(self) -> DataFrame:
+        """A later anchor per fixture, so that a baseline exists: the last pausing signal before mid-month."""
+        pausing = classify_scores(self.events).filter("protective_action = 'pause'")
+        scored = pausing.filter(F.col("source_timestamp_ms") < MID_MS)
+        last = F.max_by(
+            F.struct("event_id", "source_timestamp_ms", "kind", "confirmation"), F.struct("source_timestamp_ms", "event_id")
+        )
+        rows = scored.groupBy("fixture_id").agg(last.alias("s"))
+        return stage(
+            rows.select(
+                "fixture_id",
+                F.col("s.event_id").alias("signal_event_id"),
+                F.col("s.source_timestamp_ms").alias("signal_t"),
+                F.col("s.kind").alias("signal_kind"),
+                F.col("s.confirmation").alias("signal_confirmation"),
+            )
+        )
+
+    @cached_property
+    def anchor_baseline(self) -> DataFrame:
+        return stage(evaluation.baseline(self.trace, self.anchor_signals))
+
     @cached_property
     def selections(self) -> DataFrame:
         """One replay selection per fixture: from its first event to the middle of the month."""
@@ -144,6 +167,15 @@ class FeedTables:
     def probes(self) -> DataFrame:
         return stage(evaluation.probe_orders(self.events, self.sweep_decisions, self.signals))
 
+    @cached_property
+    def reports(self) -> DataFrame:
+        changes = {"short_hold": {"criticalShockHoldMs": 6_912_000}, "slow_reopen": {"recoveryStableUpdates": 4}}
+        return stage(
+            evaluation.evaluate(
+                self.events, self.trace, self.sweep_decisions, self.manifest_rows, POLICIES, EVALUATION, self.probes, "base", changes
+            )
+        )
+
     @cached_property
     def runs(self) -> DataFrame:
         """A replay run log derived from `orders`: one run per order, some left open."""
@@ -703,14 +735,7 @@ def signal_baselines(t: FeedTables) -> DataFrame:
 
 
 def _anchors(t: FeedTables) -> tuple[DataFrame, DataFrame]:
-    """A later anchor per fixture, so that a baseline exists: the last signal before mid-month."""
-    scored = classify_scores(t.events).filter(F.col("protective_action") == "pause").filter(F.col("source_timestamp_ms") < MID_MS)
-    last = F.max_by(F.struct("event_id", "source_timestamp_ms", "kind", "confirmation"), F.struct("source_timestamp_ms", "event_id"))
-    sig = scored.groupBy("fixture_id").agg(last.alias("s")).select(
-        "fixture_id", F.col("s.event_id").alias("signal_event_id"), F.col("s.source_timestamp_ms").alias("signal_t"),
-        F.col("s.kind").alias("signal_kind"), F.col("s.confirmation").alias("signal_confirmation"),
-    )
-    return sig, evaluation.baseline(t.trace, sig)
+    return t.anchor_signals, t.anchor_baseline
 
 
 def first_moves(t: FeedTables) -> DataFrame:
@@ -769,19 +794,12 @@ def evaluation_timeline(t: FeedTables) -> DataFrame:
     return evaluation.timeline(t.facts, t.probes).select("fixture_id", "policy_id", "at_ms", "kind", "event_id")
 
 
-def _reports(t: FeedTables) -> DataFrame:
-    return evaluation.evaluate(
-        t.events, t.trace, t.sweep_decisions, t.manifest_rows, POLICIES, EVALUATION, t.probes, "base",
-        {"short_hold": {"criticalShockHoldMs": 6_912_000}, "slow_reopen": {"recoveryStableUpdates": 4}},
-    )
-
-
 def evaluation_reports(t: FeedTables) -> DataFrame:
-    return _reports(t).select("fixture_id", "policy_id", "evaluation_hash", "final_state", "flap_count", "pause_duration_ms", "reopen_latency_ms")
+    return t.reports.select("fixture_id", "policy_id", "evaluation_hash", "final_state", "flap_count", "pause_duration_ms", "reopen_latency_ms")
 
 
 def report_audit(t: FeedTables) -> DataFrame:
-    bent = _reports(t).withColumn(
+    bent = t.reports.withColumn(
         "report_json", F.when(F.col("policy_id") == "slow_reopen", F.concat("report_json", F.lit(" "))).otherwise(F.col("report_json"))
     )
     return bent.join(evaluation.report_violations(bent), "evaluation_hash").select("fixture_id", "policy_id")
