@@ -353,6 +353,29 @@ def decide(
     return _decision_rows(folded, policy_version)
 
 
+def fold_inputs(inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status: str = "unavailable") -> DataFrame:
+    """Stateless half of the fold for the streaming processor, one row per input and policy."""
+    variants = F.array(*[policy_struct(policy, label) for label, policy in policies.items()])
+    rows = inputs.withColumns({"policy": F.explode(variants), "proof_status": F.lit(proof_status)})
+    s, p = F.col("signal"), F.col("policy")
+    pause, widen = market_reasons(F.col("features"), p, F.col("proof_status"))
+    is_pause = F.coalesce(s["protective_action"] == "pause", F.lit(False))
+    return rows.select(
+        "market_id",
+        p["policy_id"].alias("policy_id"),
+        "event_id",
+        "t",
+        F.col("ord.sequence").alias("sequence"),
+        F.col("ord.source_id").alias("source_id"),
+        is_pause.alias("pause_signal"),
+        (is_pause & (s["confirmation"] == "reversal")).alias("reversal"),
+        (F.size(pause) > 0).alias("market_pause"),
+        ((F.size(widen) > 0) | F.coalesce(s["protective_action"] == "widen", F.lit(False))).alias("widen"),
+        recovery_healthy(F.col("features"), p, F.col("proof_status")).alias("healthy"),
+        *[p[n].alias(n) for n in ("critical_shock_hold_ms", "reversal_shock_hold_ms", *automaton.FOLD_LIMITS)],
+    )
+
+
 def _decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
     s, f = F.col("signal"), F.col("features")
     normal = F.struct(*[F.lit(v).alias(n) for v, n in zip(NORMAL, SIGNAL_FIELDS)])

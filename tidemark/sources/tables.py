@@ -46,7 +46,8 @@ def write_batch(normalized: DataFrame, raw_path: str, events_path: str, batch_id
     retried after a failure between the two writes neither loses nor repeats a record.
     """
     spark = normalized.sparkSession
-    labelled = label_arrivals(normalized, read_table(spark, raw_path), arrival).withColumn("batch_id", F.lit(batch_id))
+    distinct = normalized.dropDuplicates(["raw_key", "payload_hash"])
+    labelled = label_arrivals(distinct, read_table(spark, raw_path), arrival).withColumn("batch_id", F.lit(batch_id))
     kept = labelled.filter("append_status IN ('inserted', 'quarantined')").persist()
     try:
         write_events(accepted_events(kept), events_path)
