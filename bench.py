@@ -16,20 +16,16 @@ from tidemark.plans import feed_queries  # noqa: E402
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
 CPUS = os.environ.get("BENCH_CPUS", "8")
 HEADLINES = (
-    "consensus_trace",
-    "consensus_at_time",
     "normalized_vectors",
-    "risk_decisions",
-    "policy_sweep_decisions",
-    "order_admissions",
-    "decision_receipts",
-    "normalized_odds",
-    "append_labels",
+    "consensus_at_time",
     "latest_market_rows",
-    "evaluation_facts",
-    "replay_hashes",
-    "markets_view",
     "latency_percentiles",
+    "dispatch_order",
+    "replay_hashes",
+    "score_classes",
+    "consensus_trace",
+    "risk_decisions",
+    "normalized_odds",
 )
 
 
@@ -59,6 +55,7 @@ def main() -> None:
         start = time.time()
         queries[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
         timings[name] = round(time.time() - start, 3)
+        print(f"{name} {timings[name]}", file=sys.stderr, flush=True)
     total = round(sum(timings.values()), 3)
     sf = os.path.basename(SF_DIR.rstrip("/")).removeprefix("sf")
     print(json.dumps({"metric": "feed_queries_total", "value": total, "unit": "sec", "queries": timings, "sf": sf}))

@@ -45,3 +45,15 @@ def fence(df: DataFrame) -> DataFrame:
     the whole expression behind the column; through a generator it is not.
     """
     return df.select(F.inline(F.array(F.struct(*[F.col(c) for c in df.columns]))))
+
+
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Use all cores for the work that follows a scan of too few splits.
+
+    A table of many files is left as it is; only a scan with fewer partitions than the
+    cluster has cores is shuffled by ``key``.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    if scan.isStreaming or scan.rdd.getNumPartitions() >= cores:
+        return scan
+    return scan.repartition(cores, key)

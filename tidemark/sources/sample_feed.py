@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.config import ConsensusConfig, FeedLabels, RiskPolicy
 from tidemark.functions import canonical as cj
 from tidemark.functions.integers import div
+from tidemark.functions.staging import spread
 from tidemark.schemas import DETAILS_DDL, FIXTURE_DDL, ODDS_DDL, SCORE_DDL
 
 LABELS = FeedLabels()
@@ -67,7 +68,8 @@ def _pick(index: Column, *choices) -> Column:
 
 def base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The `events` table with the derived integer columns `t`, `k`, `v`."""
-    return spark.read.parquet(f"{sf_dir}/events.parquet").select(
+    scan = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return spread(scan, "event_id").select(
         F.col("event_id").alias("n"),
         F.unix_millis(F.col("ts").cast("timestamp")).alias("t"),
         "user_id",
