@@ -562,7 +562,27 @@ FINAL: dict[str, str] = {
         CAST(sum(d) AS BIGINT) AS total_duration_ms, max(d) AS maximum_duration_ms FROM reqs""",
     "latency_percentiles": """SELECT max(d) FILTER (r = least(c - 1, CAST(floor(c * 0.5) AS BIGINT))) AS p50, max(d) FILTER (r = least(c - 1, CAST(floor(c * 0.95) AS BIGINT))) AS p95,
         max(d) AS maximum FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS c FROM reqs)""",
-    "replay_hashes": """SELECT fixture_id, count(*) AS event_count, sha256('[' || string_agg('"' || event_id || '"', ',' ORDER BY t, sequence, source_id) || ']') AS event_sequence_hash FROM keyed GROUP BY 1""",
+    "sequence_hashes": """SELECT fixture_id, count(*) AS event_count, sha256('[' || string_agg('"' || event_id || '"', ',' ORDER BY t, sequence, source_id) || ']') AS event_sequence_hash FROM keyed GROUP BY 1""",
+    "consensus_at_time": f"SELECT market_id, {_SNAP} FROM n_ids",
+    "core_markets": """SELECT fixture_id, market_id, r AS selection_rank, CAST(r = 1 AS INTEGER) AS selected FROM (SELECT e.fixture_id, s.market_id,
+        row_number() OVER (PARTITION BY e.fixture_id ORDER BY valid_books DESC, ppm, s.market_id) AS r
+        FROM n_snap s JOIN (SELECT DISTINCT market_id, fixture_id FROM qv) e USING (market_id) WHERE s.status = 'ready')""",
+    "markets_view": """SELECT m.market_id, m.fixture_id, m.t AS updated_at_ms, d.s1 AS state, d.v0 + 1 AS state_version, n.consensus_id, n.status AS consensus_status,
+        n.valid_books AS valid_bookmaker_count FROM (SELECT market_id, any_value(fixture_id) AS fixture_id, max(t) AS t FROM qv GROUP BY 1) m
+        LEFT JOIN (SELECT * FROM base QUALIFY v0 = max(v0) OVER (PARTITION BY market_id)) d USING (market_id) LEFT JOIN n_ids n USING (market_id)
+        ORDER BY updated_at_ms DESC, m.market_id LIMIT 20""",
+    "fixture_detail": """SELECT CAST(f AS VARCHAR) AS fixture_id, ['World Cup','League','Friendly world cup warm-up','Cup'][f % 4 + 1] AS competition, s.action, s.v % 4 AS home_score,
+        m.market_id, d.s1 AS state, n.consensus_id FROM lfx
+        LEFT JOIN (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY fixture_id ORDER BY t DESC, n DESC) = 1) s ON s.fixture_id = CAST(f AS VARCHAR)
+        LEFT JOIN (SELECT DISTINCT market_id, fixture_id FROM qv) m ON m.fixture_id = CAST(f AS VARCHAR)
+        LEFT JOIN (SELECT * FROM base QUALIFY v0 = max(v0) OVER (PARTITION BY market_id)) d ON d.market_id = m.market_id LEFT JOIN n_ids n ON n.market_id = m.market_id WHERE f = 3""",
+    "reaction_latencies": """SELECT a.fixture_id AS signal_id, a.b.market_id AS market_id, k.bookmaker_id, x.first.id AS first_reaction_event_id, x.first.t - a.signal_t AS latency_ms,
+        CASE WHEN a.b.status = 'ready' THEN 'measured' ELSE 'baseline_not_ready' END AS status
+        FROM pbase a JOIN (SELECT DISTINCT market_id, bookmaker_id FROM qv) k ON k.market_id = a.b.market_id
+        LEFT JOIN (SELECT fixture_id, bookmaker_id, min(struct_pack(t := t, id := event_id)) AS first FROM (
+            SELECT a.fixture_id, q.bookmaker_id, q.t, q.event_id, max(abs(n.p - o.p)) AS d FROM pbase a JOIN qv q ON q.market_id = a.b.market_id AND q.t >= a.signal_t
+            JOIN sets z ON z.trig = a.b.trig AND z.sig = q.sig JOIN norm n ON n.event_id = q.event_id JOIN t_out0 o ON o.trig = a.b.trig AND o.outcome_id = n.outcome_id
+            GROUP BY ALL) WHERE d >= 20000 GROUP BY ALL) x ON x.fixture_id = a.fixture_id AND x.bookmaker_id = k.bookmaker_id""",
 }
 
 

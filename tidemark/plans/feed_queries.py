@@ -816,6 +816,10 @@ def replay_hashes(t: FeedTables) -> DataFrame:
     return provenance.sequence_hash(t.events)
 
 
+def sequence_hashes(t: FeedTables) -> DataFrame:
+    return provenance.sequence_hash(t.events).drop("input_hash")
+
+
 def replay_manifests(t: FeedTables) -> DataFrame:
     return t.manifest_rows.select("manifest_id", "fixture_id", "event_count", "source_start_ms", "source_end_ms", "strategy_hash")
 
@@ -972,7 +976,7 @@ NAMED: tuple[Callable[[FeedTables], DataFrame], ...] = (
     protective_signals, signal_baselines, first_moves, convergences, market_lifecycles, state_transitions,
     state_transition_summary, control_windows, false_pauses, price_error_proxy, probe_order_rows, evaluation_facts,
     evaluation_timeline, evaluation_reports, report_audit, report_summaries,
-    replay_hashes, replay_manifests, manifest_audit, dispatch_order, run_log_audit, reconciled_runs, append_counts,
+    replay_hashes, sequence_hashes, replay_manifests, manifest_audit, dispatch_order, run_log_audit, reconciled_runs, append_counts,
     overview, fixtures_view, markets_view, fixture_detail, timeline_view, decisions_view, receipts_view, orders_view, runs_view,
     event_page, market_maxima,
     purged_records, feed_health, tracked_fixtures, bucketed_feed_health, request_metrics, latency_percentiles,
