@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 
-NOW_MS, MID_MS = 1_706_745_600_000, 1_705_276_800_000
+NOW_MS, MID_MS = 1_706_659_200_000, 1_705_276_800_000
 STALE, MIN_BOOKS = 86_400_000, 2
 
 # policy: critical hold, reversal hold, min pause, min widened, cooldown, stable updates, configuration hash

@@ -20,7 +20,7 @@ from tidemark.operators.classify import classify_scores
 from tidemark.sources import raw as raw_source
 from tidemark.sources import sample_feed as feed
 
-NOW_MS = 1_706_745_600_000  # 2024-02-01, just after the feed's month
+NOW_MS = 1_706_659_200_000  # 2024-01-31, just after the feed's month
 MID_MS = 1_705_276_800_000  # 2024-01-15
 POLICIES = {
     "base": feed.POLICY,
