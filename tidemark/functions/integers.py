@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidemark.config import PROBABILITY_SCALE
-
 
 def div(numerator: Column, denominator) -> Column:
     """Integer division truncating toward zero."""
@@ -14,30 +12,7 @@ def div(numerator: Column, denominator) -> Column:
     return F.call_function("div", numerator, other)
 
 
-def ratio_ppm(part: Column, whole: Column) -> Column:
-    """``part / whole`` in millionths, rounded half up; 0 when ``whole`` is 0."""
-    safe = F.greatest(whole, F.lit(1))
-    rounded = div(part * (2 * PROBABILITY_SCALE) + safe, safe * 2)
-    return F.when(whole <= 0, F.lit(0)).otherwise(rounded).cast("long")
-
-
 def mean_rounded(total: Column, count: Column) -> Column:
     """Mean of non-negative integers rounded half up; null for no values."""
     safe = F.greatest(count, F.lit(1))
     return F.when(count > 0, div(total * 2 + safe, safe * 2))
-
-
-def floor_median(sorted_values: Column) -> Column:
-    """Median of a non-empty ascending array of non-negative integers, floored."""
-    size = F.size(sorted_values)
-    low = F.get(sorted_values, div(size - 1, 2).cast("int"))
-    high = F.get(sorted_values, div(size, 2).cast("int"))
-    return div(low + high, 2)
-
-
-def pct_to_micros(value: Column) -> Column:
-    """Percent text with three decimals to millionths without floats; ``NA`` is null."""
-    whole = F.regexp_extract(value, r"^(\d+)\.(\d{3})$", 1)
-    part = F.regexp_extract(value, r"^(\d+)\.(\d{3})$", 2)
-    ok = value.rlike(r"^\d+\.\d{3}$")
-    return F.when(ok, whole.try_cast("long") * 10_000 + part.try_cast("long") * 10)

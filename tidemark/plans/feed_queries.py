@@ -220,10 +220,6 @@ def forget() -> None:
     _TABLES.clear()
 
 
-def _join_text(column: str) -> str:
-    return f"array_join({column}, ',')"
-
-
 # --- sources -------------------------------------------------------------------------
 
 
