@@ -8,10 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import staged, table
 from tidemark.llm.decontaminate import uncontaminated
+from tidemark.llm.mixing import sampled
+from tidemark.llm.quality import kept
 from tidemark.llm.secret_scan import redacted
 from tidemark.llm.simhash import deduplicated
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that both views of co-training together take for low quality go."""
+    return kept(docs, table(spark, sf_dir, "labels"))
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return deduplicated(docs)
@@ -27,10 +34,17 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return redacted(docs)
 
 
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixture: the documents drawn at least once, with their rate and number of copies."""
+    return sampled(docs, table(spark, sf_dir, "labels"))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality_classifier", quality),
     ("simhash_near_dedup", near_duplicates),
     ("benchmark_decontamination", decontamination),
     ("secret_scan", secrets),
+    ("mixing", mixing),
 ]
 
 # The quality classifier and the mixing rates are fitted iteratively, which SQL cannot express.

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, secret_scan, simhash
+from tidemark.llm import decontaminate, mixing, quality, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 
@@ -15,6 +15,22 @@ def _count(spans: str, kind: str) -> Column:
     return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("bigint")
 
 
+def op1_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out)
+    held_out = F.coalesce(held_out, F.lit(False)).alias("held_out")
+    return toxicity.toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
+
+
+def op4_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -47,6 +63,9 @@ def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_soft_mixing": op1_soft_mixing,
+        "op2_toxicity": op2_toxicity,
+        "op4_cotrained_quality": op4_cotrained_quality,
         "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
         "op9_benchmark_contamination": op9_benchmark_contamination,
