@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, quality, secret_scan, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, nearest, quality, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 
@@ -61,6 +61,11 @@ def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest.search(nearest.index(vectors), vectors.where("vec_id % 50 = 0"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
@@ -69,4 +74,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
         "op9_benchmark_contamination": op9_benchmark_contamination,
+        "op10_nearest_neighbours": op10_nearest_neighbours,
     }
