@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, nearest, quality, secret_scan, simhash, toxicity
+from tidemark.llm import decontaminate, mixing, nearest, pii, quality, secret_scan, simhash, toxicity
 from tidemark.llm.common import table
 
 
@@ -48,6 +48,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.personal_data(docs, pii.fit(docs))
+    return found.select(
+        "doc_id",
+        *[_count("pii.base", k).alias(f"n_{k}") for k in pii.KINDS],
+        F.sha2(secret_scan.listed(F.col("pii.base")), 256).alias("base_sha256"),
+        secret_scan.listed(F.col("pii.spans")).alias("spans"),
+    )
+
+
 def op9_benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     n_hit = F.aggregate("found.hits", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
@@ -73,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_cotrained_quality": op4_cotrained_quality,
         "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
         "op7_secret_scan": op7_secret_scan,
+        "op8_personal_data": op8_personal_data,
         "op9_benchmark_contamination": op9_benchmark_contamination,
         "op10_nearest_neighbours": op10_nearest_neighbours,
     }
