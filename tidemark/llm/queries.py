@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontaminate, mixing, nearest, pii, quality, secret_scan, simhash, toxicity
+from tidemark.llm import (
+    decontaminate,
+    html_text,
+    mixing,
+    nearest,
+    pii,
+    pseudo_likelihood,
+    quality,
+    secret_scan,
+    simhash,
+    toxicity,
+)
 from tidemark.llm.common import table
 
 
@@ -27,6 +38,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", held_out, "score", "predicted")
 
 
+def op3_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudo_likelihood.pseudo_likelihood(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -36,6 +51,12 @@ def op5_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op6_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    found = html_text.main_text(pages, html_text.fit(pages))
+    return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("bigint").alias("n_chars"))
+
+
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.secrets(table(spark, sf_dir, "documents"))
     kinds = [r.kind for r in secret_scan.BASE]
@@ -81,8 +102,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
         "op2_toxicity": op2_toxicity,
+        "op3_pseudo_likelihood": op3_pseudo_likelihood,
         "op4_cotrained_quality": op4_cotrained_quality,
         "op5_simhash_near_duplicates": op5_simhash_near_duplicates,
+        "op6_main_text": op6_main_text,
         "op7_secret_scan": op7_secret_scan,
         "op8_personal_data": op8_personal_data,
         "op9_benchmark_contamination": op9_benchmark_contamination,
