@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, FloatType, StructType
 
 from tidemark.llm.common import fit_logistic, labelled, sigmoid, staged, utf8
 
@@ -82,7 +83,7 @@ def _views(texts, langs, sources, sizes) -> tuple[np.ndarray, np.ndarray]:
     return a, np.array([meta_view(*row) for row in zip(texts, langs, sources, sizes, strict=True)])
 
 
-@F.pandas_udf("struct<a:array<float>,b:array<float>>")
+@F.pandas_udf(StructType().add("a", ArrayType(FloatType())).add("b", ArrayType(FloatType())))
 def views(texts: pd.Series, langs: pd.Series, sources: pd.Series, sizes: pd.Series) -> pd.DataFrame:
     a, b = _views(texts, langs, sources, sizes)
     return pd.DataFrame({"a": list(a.astype(np.float32)), "b": list(b.astype(np.float32))})

@@ -135,9 +135,8 @@ def _spans(text: Column, rule: Rule) -> Column:
 
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
     """The inverted index of ``grams``: (gram, row_key)."""
-    lower = F.lower("text")
-    present = F.array_compact(F.array(*[F.when(lower.contains(g), F.lit(g)) for g in grams]))
-    return texts.select("row_key", F.explode(present).alias("gram"))
+    present = F.array_compact(F.array(*[F.when(F.col("lower").contains(g), F.lit(g)) for g in grams]))
+    return texts.select("row_key", F.lower("text").alias("lower")).select("row_key", F.explode(present).alias("gram"))
 
 
 def candidates(index: DataFrame, queries: dict[str, Query]) -> DataFrame:
