@@ -103,7 +103,7 @@ def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, ro
     share = share / share.sum()
     steps = np.zeros((0, len(DOMAINS)))
     available = target = totals = None
-    for _ in range(rounds + 1):
+    for number in range(rounds + 1):
 
         def summed(frames: Iterator[pd.DataFrame], steps=steps) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -119,7 +119,7 @@ def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, ro
             available, target = totals, share * budget * row["tokens"]
         reach = available > 1e-9
         error = np.where(reach, (totals - target) / np.where(reach, available, 1.0), 0.0)
-        if np.abs(totals - target)[reach].max(initial=0.0) <= tolerance * max(row["tokens"], 1.0):
+        if number == rounds or np.abs(totals - target)[reach].max(initial=0.0) <= tolerance * max(row["tokens"], 1.0):
             break
         steps = np.vstack([steps, error])
     return steps, dict(zip(DOMAINS, totals.tolist(), strict=True)), dict(zip(DOMAINS, target.tolist(), strict=True))
