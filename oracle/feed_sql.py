@@ -116,7 +116,7 @@ def _snapshots(triggers: str, prefix: str) -> None:
 
 
 _snapshots("SELECT event_id AS trig, market_id, t AS tt FROM qv", "t_")
-_snapshots(f"SELECT DISTINCT market_id AS trig, market_id, {NOW_MS} AS tt FROM qv", "n_")
+_snapshots(f"SELECT DISTINCT market_id AS trig, market_id, {MID_MS} AS tt FROM qv WHERE t <= {MID_MS}", "n_")
 
 CTES["sc"] = """SELECT *, CASE WHEN event_type = 'error' THEN ['possible','goal','penalty','penalty_outcome','red_card','var','var_end',
         'action_discarded','action_amend','score_adjustment','suspend','disconnected','corner'][k % 13 + 1] ELSE 'status' END AS action,
@@ -284,15 +284,15 @@ CTES["life"] = """SELECT p.fixture_id, p.policy_id, p.p.t AS paused_t, x.exit_t,
 
 # --- the raw feed --------------------------------------------------------------------------
 CTES["rawrows"] = """SELECT m.*, c.copy, n * 2 + c.copy AS arrival, CASE WHEN n % 50 = 3 THEN 'weather' WHEN is_odds THEN 'odds' ELSE 'score' END AS payload_kind,
-    v + CASE WHEN n % 50 = 2 THEN c.copy * 10 ELSE 0 END AS price FROM micros m, (SELECT 0 AS copy UNION ALL SELECT 1) c
+    v + CASE WHEN n % 50 = 2 THEN c.copy * 10 WHEN n % 50 = 5 THEN 3000000000 ELSE 0 END AS price FROM micros m, (SELECT 0 AS copy UNION ALL SELECT 1) c
     WHERE c.copy = 0 OR n % 50 = 1 OR (n % 50 = 2 AND is_odds)"""
 _PCT = "coalesce((({m}) // 10) // 1000 || '.' || lpad(CAST((({m}) // 10) % 1000 AS VARCHAR), 3, '0'), 'NA')"
 _OJ = (
     """'{"Bookmaker":"Book ' || (k % 5) || '","BookmakerId":' || (k % 5) || ',"FixtureId":' || fixture_id || ',"GameState":"in_play","InRunning":true,"MarketParameters":"'
     || market_id || '","MarketPeriod":"full_time","MessageId":"' || n || '","Pct":["' || """
-    + _PCT.format(m="home") + """ || '","' || """ + _PCT.format(m="CASE WHEN k <> 97 THEN draw END") + """ || '","' || """
+    + "CASE WHEN n % 50 = 4 THEN '99999999999999999999.000' ELSE " + _PCT.format(m="home") + """ END || '","' || """ + _PCT.format(m="CASE WHEN k <> 97 THEN draw END") + """ || '","' || """
     + _PCT.format(m="1000000 - home - draw + k * 100")
-    + """ || '"],"PriceNames":["home","draw","away"],"Prices":[' || price || ',' || (price + 1) || CASE WHEN n % 50 = 0 THEN '' ELSE ',' || (price + 2) END
+    + """ || '"],"PriceNames":["home","draw","away"],"Prices":[' || CASE WHEN n % 50 = 7 THEN '99999999999999999999' ELSE CAST(price AS VARCHAR) END || ',' || (price + 1) || CASE WHEN n % 50 = 0 THEN '' ELSE ',' || (price + 2) END
     || '],"SuperOddsType":"1X2","Ts":' || t || '}'"""
 )
 _SAID = "CASE WHEN k % 3 = 2 THEN '' ELSE '\"{}\":' || CASE WHEN k % 3 = 0 THEN 'true' ELSE 'false' END || ',' END"
@@ -305,7 +305,7 @@ _UJ = (
 _LJ = (
     """'{"action":"status",' || """ + _SAID.format("confirmed") + """ || '"fixtureId":' || fixture_id || ',"followsAction":' || n
     || ',"parti1StateSoccer":{"PossibleEvent":{"Goal":' || (k // 13 % 2 = 0) || '}},"parti2StateSoccer":{"PossibleEvent":{"Goal":true,"Penalty":false}},"period":null,"possibleEventSoccer":{"RedCard":false,"VAR":true},"seq":' || n
-    || ',"stats":{"1":' || (v % 4) || ',"1001":' || (v % 4) || ',"2":' || (k % 3) || '},"statusSoccerId":"' || ['H1',' h2 ','HT','??'][k % 4 + 1] || '","ts":' || t || '}'"""
+    || ',"stats":{"1":' || (v % 4) || ',"1001":' || (v % 4) || ',"2":' || (k % 3) || CASE WHEN n % 50 = 6 THEN ',"99999999999999999999":1' ELSE '' END || '},"statusSoccerId":"' || ['H1',' h2 ','HT','??'][k % 4 + 1] || '","ts":' || t || '}'"""
 )
 CTES["raw"] = f"""SELECT *, sha256(payload) AS phash FROM (SELECT *, CASE WHEN is_odds THEN {_OJ} WHEN event_type = 'error' THEN {_UJ} ELSE {_LJ} END AS payload FROM rawrows)"""
 CTES["nrm"] = """SELECT *, 'raw_' || substr(sha256('"' || rkey || '"'), 1, 40) AS ingest_id,
@@ -313,12 +313,21 @@ CTES["nrm"] = """SELECT *, 'raw_' || substr(sha256('"' || rkey || '"'), 1, 40) A
     SELECT *, 'raw|4:live|' || length(payload_kind) || ':' || payload_kind || '|' || length(sid) || ':' || sid || '|1:' || ver AS rkey,
         '|4:live|' || (length(payload_kind) + 9) || ':' || payload_kind || '.observed|' || length(sid) || ':' || sid || '|1:' || ver AS ekind FROM (
         SELECT *, CASE WHEN payload_kind = 'weather' THEN 1 ELSE 2 END AS ver,
-            CASE WHEN payload_kind = 'weather' THEN 'unknown_payload_kind' WHEN payload_kind = 'odds' AND n % 50 = 0 THEN 'malformed_payload' END AS code,
-            CASE WHEN is_odds THEN CAST(n AS VARCHAR) WHEN payload_kind = 'score' OR event_type = 'error' THEN fixture_id || ':' || n
+            CASE WHEN payload_kind = 'weather' THEN 'unknown_payload_kind' WHEN (payload_kind = 'odds' AND n % 50 IN (0, 4, 7)) OR (payload_kind = 'score' AND event_type <> 'error' AND n % 50 = 6) THEN 'malformed_payload' END AS code,
+            CASE WHEN is_odds THEN CAST(n AS VARCHAR) WHEN event_type = 'error' OR (payload_kind = 'score' AND n % 50 <> 6) THEN fixture_id || ':' || n
                 ELSE 'sha256:' || phash END AS sid FROM raw))"""
 CTES["lab"] = """SELECT *, CASE WHEN arrival = first_arrival THEN CASE WHEN code IS NULL THEN 'inserted' ELSE 'quarantined' END
     WHEN phash = first_hash THEN 'duplicate' ELSE 'conflict' END AS append_status FROM (
     SELECT *, min(arrival) OVER (PARTITION BY rkey) AS first_arrival, first_value(phash) OVER (PARTITION BY rkey ORDER BY arrival) AS first_hash FROM nrm)"""
+CTES["hsel"] = f"""SELECT fixture_id AS sel, CASE fixture_id WHEN '3' THEN 0 WHEN '4' THEN {MID_MS + 1} ELSE min(t) END AS lo, {MID_MS} AS hi
+    FROM (SELECT CAST(fixture_id AS VARCHAR) AS fixture_id, t FROM feed) WHERE fixture_id <> '1' GROUP BY fixture_id"""
+CTES["hyd"] = """SELECT *, CASE WHEN arrival = first_arrival THEN CASE WHEN code IS NULL THEN 'inserted' ELSE 'quarantined' END
+    WHEN phash = first_hash THEN 'duplicate' ELSE 'conflict' END AS append_status FROM (
+    SELECT n.* EXCLUDE (fixture_id), sel, CAST(n.fixture_id AS VARCHAR) AS own, replace(ekind, '|4:live|', '|10:historical|') AS ek,
+        CASE WHEN code IS NULL OR is_odds OR event_type = 'error' THEN CAST(n.fixture_id AS VARCHAR) END AS known,
+        min(arrival) OVER (PARTITION BY rkey) AS first_arrival, first_value(phash) OVER (PARTITION BY rkey ORDER BY arrival) AS first_hash
+    FROM nrm n JOIN hsel ON sel = CASE WHEN CAST(n.fixture_id AS VARCHAR) = '1' THEN '2' ELSE CAST(n.fixture_id AS VARCHAR) END AND t BETWEEN lo AND hi
+    WHERE payload_kind <> 'weather')"""
 CTES["fx"] = """SELECT *, 'fixture:' || f || ':' || ts AS sid, 'evt_' || substr(sha256('"' || 'event|8:snapshot|16:fixture.observed|'
     || length('fixture:' || f || ':' || ts) || ':fixture:' || f || ':' || ts || '|1:1"'), 1, 40) AS event_id FROM (
     SELECT o_orderkey AS n, o_custkey % 12 AS f, epoch_us(o_orderdate) // 1000 AS d, epoch_us(o_orderdate) // 1000 + o_orderkey AS ts FROM orders)"""
@@ -389,7 +398,7 @@ FINAL: dict[str, str] = {
     "latest_quotes": """SELECT market_id, bookmaker_id, arg_max(event_id, struct_pack(t, event_id)) AS event_id, max(t) AS observed_at_ms FROM qv GROUP BY 1, 2""",
     "quote_freshness": f"""SELECT market_id, bookmaker_id, event_id, CASE WHEN t > {MID_MS} THEN 'future_quote' WHEN {MID_MS} - t > {STALE} THEN 'stale_quote'
         ELSE 'fresh' END AS freshness, CASE WHEN {MID_MS} - t BETWEEN 0 AND {STALE} THEN {MID_MS} - t END AS age_ms FROM (
-        SELECT market_id, bookmaker_id, arg_max(event_id, struct_pack(t, event_id)) AS event_id, max(t) AS t FROM qv GROUP BY 1, 2)""",
+        SELECT market_id, bookmaker_id, arg_max(event_id, struct_pack(t, event_id)) AS event_id, max(t) AS t FROM qv WHERE t <= {MID_MS + 43_200_000} GROUP BY 1, 2)""",
     "score_classes": "SELECT event_id, action, kind2 AS kind, reason AS reason_code, prot AS protective_action, sev AS severity, conf2 AS confirmation FROM sig",
     "snapshot_risk_features": """SELECT trig AS event_id, status AS consensus_status, fresh_books AS fresh_bookmaker_count, vel AS max_abs_velocity,
         mad AS max_dispersion, oldest AS oldest_fresh_age_ms, ppm AS stale_ppm FROM t_feat""",
@@ -443,10 +452,17 @@ FINAL: dict[str, str] = {
         code AS quarantine_code, phash AS payload_hash, 1 AS issues FROM nrm WHERE code IS NOT NULL""",
     "raw_identity": """SELECT ingest_id, sid AS source_id, payload_kind, CASE WHEN code IS NULL OR is_odds OR event_type = 'error' THEN t END AS source_timestamp_ms,
         CASE WHEN code IS NULL THEN 'accepted' ELSE 'quarantined' END AS status, phash AS raw_payload_hash FROM nrm""",
-    "odds_issue_counts": "SELECT 'Prices: PriceNames and Prices differ in length' AS issue, count(*) AS records FROM raw WHERE payload_kind = 'odds' AND n % 50 = 0",
+    "odds_issue_counts": """SELECT CASE n % 50 WHEN 0 THEN 'Prices: PriceNames and Prices differ in length' WHEN 4 THEN 'Pct: above 100.000'
+        ELSE 'Prices: expected integers' END AS issue, count(*) AS records FROM raw WHERE payload_kind = 'odds' AND n % 50 IN (0, 4, 7) GROUP BY 1""",
     "raw_event_audit": "SELECT ingest_id, event_id FROM lab WHERE append_status = 'inserted' AND t % 25 = 0",
     "world_cup_fixtures": """SELECT f AS fixture_id, ['World Cup','','Friendly world cup warm-up',''][f % 4 + 1] AS competition, 'Side ' || CASE WHEN n % 2 = 0 THEN f * 2 ELSE f * 2 + 1 END AS home,
         'Side ' || CASE WHEN n % 2 = 0 THEN f * 2 + 1 ELSE f * 2 END AS away, count(*) AS observations, min(d + f * 3600000) AS first_start_ms FROM fx WHERE f % 2 = 0 GROUP BY 1, 2, 3, 4""",
+    "hydration_events": """SELECT 'evt_' || substr(sha256('"event' || substr(ek, 1) || '"'), 1, 40) AS event_id, own AS fixture_id, payload_kind || '.observed' AS kind,
+        'historical' AS source, t AS source_timestamp_ms, CASE WHEN is_odds THEN 0 ELSE n END AS sequence FROM hyd WHERE append_status = 'inserted' AND own = sel""",
+    "hydration_counts": """SELECT sel AS selected_fixture, lo > hi AS refused, count(append_status) FILTER (append_status = 'inserted') AS inserted,
+        count(append_status) FILTER (append_status = 'duplicate') AS duplicate, count(append_status) FILTER (append_status = 'quarantined') AS quarantined,
+        count(append_status) FILTER (append_status = 'conflict') AS conflict, count(known) FILTER (known <> sel) AS "foreign"
+        FROM hsel LEFT JOIN hyd USING (sel) GROUP BY ALL""",
     "append_labels": "SELECT arrival, ingest_id, append_status FROM lab",
     "payload_conflicts": "SELECT rkey AS raw_key, count(*) AS records FROM nrm GROUP BY 1 HAVING count(DISTINCT phash) > 1",
     "event_key_conflicts": """SELECT 'event' || ekind AS event_key, count(*) AS records FROM (SELECT *, rkey || CASE WHEN arrival % 7 = 0 THEN '|moved' ELSE '' END AS rk FROM nrm WHERE code IS NULL)

@@ -32,7 +32,6 @@ LEGAL_TRANSITIONS = (
     ("widen", "OPEN", "WIDENED"),
 )
 BUCKET_MS = 300_000  # the five-minute grid used for backfill and for chunked scans
-MAX_PLANNED_BUCKETS = 10_000
 # ----------------------------------------------------------------------------
 
 

@@ -359,8 +359,13 @@ def consensus_trace(events: DataFrame, config: ConsensusConfig) -> DataFrame:
 
 
 def consensus_at(quotes: DataFrame, at_ms: int, config: ConsensusConfig) -> DataFrame:
-    """Point-in-time consensus of every market over the latest quote per bookmaker."""
-    latest = latest_by_bookmaker(normalize_vectors(quotes).select("market_id", *_latest_columns()))
+    """Point-in-time consensus of every market over the latest quote per bookmaker at ``at_ms``.
+
+    Later quotes take no part; a market whose every quote is later has no row.  Only the
+    latest quotes are normalized.
+    """
+    known = latest_by_bookmaker(quotes.filter(F.col("observed_at_ms") <= at_ms))
+    latest = normalize_vectors(known).select("market_id", *_latest_columns())
     grouped = latest.groupBy("market_id").agg(F.collect_list(_quote_struct()).alias("latest"))
     return finish_snapshots(assemble_snapshots(grouped.withColumn("t", F.lit(at_ms).cast("long")), config), config)
 
@@ -396,8 +401,11 @@ def reaction_latency(signals: DataFrame, quotes: DataFrame, threshold_micros: in
     bookmaker that ever quoted the market stays in the result; those that never reacted carry
     nulls, and a baseline that is not ready gives `baseline_not_ready`.
     """
-    vectors = normalize_vectors(quotes).select("market_id", *_latest_columns())
-    books = vectors.groupBy("market_id", "bookmaker_id").agg(F.max("observed_at_ms").alias("last_quote_ms"))
+    first = signals.groupBy("market_id").agg(F.min("signal_t").alias("first_signal_t"))
+    asked = quotes.join(first, "market_id")
+    books = asked.groupBy("market_id", "bookmaker_id").agg(F.max("observed_at_ms").alias("last_quote_ms"))
+    later = asked.filter(F.col("observed_at_ms") >= F.col("first_signal_t")).drop("first_signal_t")
+    vectors = normalize_vectors(later).select("market_id", *_latest_columns())
     everyone = signals.join(books, "market_id")
     candidate = (
         (F.col("q.observed_at_ms") >= F.col("s.signal_t"))

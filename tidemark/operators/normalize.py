@@ -127,14 +127,16 @@ def _nullable_text(path: str) -> tuple[str, str]:
 _NAMES, _PRICES, _PCT = _array("PriceNames"), _array("Prices"), _array("Pct")
 _BOUND = {"names_array": _NAMES, "prices_array": _PRICES, "pct_array": _PCT}
 _NAMES, _PRICES, _PCT = _BOUND
+_PRICE_OK = rf"coalesce(to_json(x) RLIKE r'^-?\d{{1,16}}$' AND abs(try_cast(to_json(x) AS bigint)) <= {MAX_SAFE_INTEGER}, false)"
 _PCT_TEXT = "try_variant_get(x, '$', 'string')"
 _PCT_OK = r"""to_json(x) RLIKE r'^"(NA|\d+\.\d{3})"$'"""
 
 
 def pct_micros(value: str) -> str:
-    """Percent text with three decimals to millionths, exactly; ``NA`` is null."""
-    return rf"""CASE WHEN {value} RLIKE r'^\d+\.\d{{3}}$' THEN
-        try_cast(split_part({value}, '.', 1) AS bigint) * 10000 + try_cast(split_part({value}, '.', 2) AS bigint) * 10 END"""
+    """Percent text with three decimals to millionths, exactly; null for ``NA`` and from 1000 on."""
+    whole = f"ltrim('0', split_part({value}, '.', 1))"
+    return rf"""CASE WHEN {value} RLIKE r'^0*\d{{1,3}}\.\d{{3}}$' THEN
+        coalesce(try_cast({whole} AS bigint), 0L) * 10000 + try_cast(split_part({value}, '.', 2) AS bigint) * 10 END"""
 
 
 ODDS_ISSUES = _checks(
@@ -150,7 +152,7 @@ ODDS_ISSUES = _checks(
         "PriceNames: expected non-empty texts",
         f"forall({_NAMES}, x -> to_json(x) LIKE '\"%' AND length(to_json(x)) > 2)",
     ),
-    ("Prices: expected integers", f"forall({_PRICES}, x -> to_json(x) RLIKE r'^-?\\d{{1,16}}$')"),
+    ("Prices: expected integers", f"forall({_PRICES}, x -> {_PRICE_OK})"),
     ("Pct: expected NA or three decimals", f"{_absent('Pct')} OR forall({_PCT}, x -> {_PCT_OK})"),
     _text_rule("SuperOddsType"),
     _int_rule("Ts", least=0),
@@ -158,7 +160,7 @@ ODDS_ISSUES = _checks(
     ("Pct: Pct and PriceNames differ in length", f"{_absent('Pct')} OR size({_PCT}) = size({_NAMES})"),
     (
         "Pct: above 100.000",
-        f"{_absent('Pct')} OR NOT exists({_PCT}, x -> coalesce({pct_micros(_PCT_TEXT)} > 1000000, false))",
+        f"{_absent('Pct')} OR NOT exists({_PCT}, x -> {_PCT_OK} AND {_PCT_TEXT} <> 'NA' AND coalesce({pct_micros(_PCT_TEXT)} > 1000000, true))",
     ),
     (
         "PriceNames: names repeat",
@@ -167,7 +169,7 @@ ODDS_ISSUES = _checks(
 )
 
 _NAME = "try_variant_get(x, '$', 'string')"
-_PRICE_I = f"try_variant_get(({_PRICES})[i], '$', 'int')"
+_PRICE_I = f"try_variant_get(({_PRICES})[i], '$', 'bigint')"
 _PCT_I = f"try_variant_get(get({_PCT}, i), '$', 'string')"
 _ODDS_OUTCOMES = f"""transform({_NAMES}, (x, i) -> named_struct('name', {_NAME},
     'outcome_id', {cj.outcome_id('mid', _NAME)}, 'price', {_PRICE_I},
@@ -248,7 +250,8 @@ LOWER_ISSUES = _checks(
     (
         "stats: expected map of digits to integers",
         f"{_absent('stats')} OR ({_is_object('stats')} AND forall(map_entries({_STATS_MAP}), "
-        r"e -> e.key RLIKE r'^\d+$' AND to_json(e.value) RLIKE r'^-?\d{1,16}$'))",
+        rf"e -> e.key RLIKE r'^0*\d{{1,15}}$' AND coalesce(to_json(e.value) RLIKE r'^-?\d{{1,16}}$' "
+        f"AND abs(try_cast(to_json(e.value) AS bigint)) <= {MAX_SAFE_INTEGER}, false)))",
     ),
     _optional("statusId", _int_rule("statusId"), nullable=True),
     _phase_rule("statusSoccerId"),
@@ -268,7 +271,7 @@ _UPPER_STATS = f"""transform({_array('Stats')}, x -> named_struct(
     'period', coalesce({_member('Period')}, {_member('period')}),
     'value', coalesce({_member('Value')}, {_member('value')})))"""
 _LOWER_STATS = f"""transform(sort_array(transform(map_entries(coalesce({_STATS_MAP}, cast(map() AS map<string,variant>))),
-        e -> named_struct('key', cast(e.key AS bigint), 'value', try_variant_get(e.value, '$', 'bigint')))),
+        e -> named_struct('key', try_cast(e.key AS bigint), 'value', try_variant_get(e.value, '$', 'bigint')))),
     e -> named_struct('key', e.key, 'period', CASE WHEN e.key < 1000 THEN 0L ELSE e.key div 1000 END, 'value', e.value))"""
 
 

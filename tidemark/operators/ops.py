@@ -78,21 +78,24 @@ def request_metrics(log: DataFrame) -> DataFrame:
     )
 
 
+RANGE_MS = 4_096
+
+
 def latency_percentiles(log: DataFrame, fractions: tuple[tuple[str, float], ...] = (("p50", 0.5), ("p95", 0.95))) -> DataFrame:
     """Value at index floor(n * f), at most n - 1, of the sorted durations, and the maximum.
 
-    Exact without a global sort: durations are counted per distinct value first, so the one
-    ordered window sees at most one row per distinct millisecond.
+    Exact without a global sort: durations are counted per distinct value, values are summed
+    up inside ranges of ``RANGE_MS``, and only the ranges' totals meet in one window.
     """
-    histogram = log.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("c"))
-    ordered = Window.orderBy("duration_ms")
-    everything = Window.partitionBy(F.lit(0))
-    ranked = histogram.withColumns(
-        {
-            "upto": F.sum("c").over(ordered.rowsBetween(Window.unboundedPreceding, 0)),
-            "n": F.sum("c").over(everything),
-        }
-    )
+    histogram = log.groupBy("duration_ms").agg(F.count(F.lit(1)).alias("c")).withColumn("span", F.floor(F.col("duration_ms") / RANGE_MS))
+    totals = histogram.groupBy("span").agg(F.sum("c").alias("own"))
+    before = Window.orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+    spans = totals.select("span", F.coalesce(F.sum("own").over(before), F.lit(0)).alias("below"))
+    everything = totals.agg(F.sum("own").alias("n"))
+    inside = Window.partitionBy("span").orderBy("duration_ms").rowsBetween(Window.unboundedPreceding, 0)
+    # one row holds the grand total
+    ranked = histogram.join(spans, "span").withColumn("upto", F.col("below") + F.sum("c").over(inside)).join(everything, F.lit(True))
+
     def at(fraction: float):
         index = F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(fraction)))
         return F.min(F.when(F.col("upto") > index, F.col("duration_ms")))

@@ -285,18 +285,16 @@ def _segments(judged: DataFrame) -> DataFrame:
 
     A row is a sync row when it may start a recovery, the last pausing row lies at least
     the minimum pause time back, and no row in between may start one: the market is then
-    PAUSED, for long enough, whatever came before.  Only sync rows visible inside one
-    chunk are used, so finding them needs no carry; a subset of them is just as exact.
+    PAUSED, for long enough, whatever came before.  The last pausing row and the last row
+    that may start a recovery are carried over chunks, so a pause may be of any length.
     """
-    group = ["market_id", "policy_id", "chunk"]
-    before = Window.partitionBy(*group).orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
+    key = ["market_id", "policy_id"]
     can_start = ~F.col("pause") & F.col("healthy")
-    local = judged.withColumns(
-        {
-            "__p": F.last(F.when(F.col("pause"), F.struct("ord", "t")), ignorenulls=True).over(before),
-            "__h": F.last(F.when(can_start, F.col("ord")), ignorenulls=True).over(before),
-        }
-    )
+    seen = [
+        Running("__p", "last", F.when(F.col("pause"), F.struct("ord", "t")), inclusive=False),
+        Running("__h", "last", F.when(can_start, F.col("ord")), inclusive=False),
+    ]
+    local = running(judged, key, "ord", "chunk", seen)
     sync = (
         can_start
         & F.col("__p").isNotNull()
@@ -307,7 +305,7 @@ def _segments(judged: DataFrame) -> DataFrame:
     # the sync row itself still belongs to the segment before it, whose fold knows its entry
     cut = running(
         marked,
-        ["market_id", "policy_id"],
+        key,
         "ord",
         "chunk",
         [Running("entry", "last", F.when(F.col("__sync"), F.struct("event_id", "t")), inclusive=False)],

@@ -89,9 +89,9 @@ def markets_view(
 def fixture_detail(
     fixture_id: str, fixtures: DataFrame, scores: DataFrame, markets: DataFrame, control: DataFrame, snapshots: DataFrame
 ) -> DataFrame:
-    """One fixture with its (at most a hundred newest) markets, one row per market."""
+    """One fixture with all its markets, one row per market."""
     head = fixtures_view(_where(fixtures, fixture_id=fixture_id), scores, n=None)
-    listed = markets_view(markets, control, snapshots, fixture_id).select(
+    listed = markets_view(markets, control, snapshots, fixture_id, n=None).select(
         "fixture_id", "market_id", "market_type", F.col("status").alias("market_status"), "state", "state_version",
         "consensus_id", "consensus_status",
     )

@@ -22,6 +22,7 @@ from tidemark.sources import sample_feed as feed
 
 NOW_MS = 1_706_659_200_000  # 2024-01-31, just after the feed's month
 MID_MS = 1_705_276_800_000  # 2024-01-15
+HALF_DAY_MS = 43_200_000
 POLICIES = {
     "base": feed.POLICY,
     "short_hold": feed.POLICY.but(critical_shock_hold_ms=6_912_000),
@@ -66,7 +67,7 @@ class FeedTables:
 
     @cached_property
     def decisions(self) -> DataFrame:
-        return self.sweep_decisions.filter("policy_id = 'base'")
+        return stage(risk.decide(self.inputs, {"base": feed.POLICY}))
 
     @cached_property
     def hashed_decisions(self) -> DataFrame:
@@ -104,7 +105,7 @@ class FeedTables:
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        return con.consensus_at(self.quotes, NOW_MS, feed.CONSENSUS)
+        return con.consensus_at(self.quotes, MID_MS, feed.CONSENSUS)
 
     @cached_property
     def signals(self) -> DataFrame:
@@ -260,7 +261,11 @@ def _hydrate(t: FeedTables):
     raw = raw.withColumn("fixture_id", F.coalesce("fixture_id", F.get_json_object("payload", "$.fixtureId")))
     scores = raw.filter("payload_kind = 'score'")
     odds = raw.filter("payload_kind = 'odds'").withColumns(raw_source.bucket_cols(F.col("received_at_ms")))
-    return raw_source.hydrate(scores, odds, t.selections, LABELS, NOW_MS)
+    # records of fixture 1 filed under fixture 2, a selection from the epoch on, and a reversed one
+    moved = lambda df: df.withColumn("fixture_id", F.when(F.col("fixture_id") == "1", F.lit("2")).otherwise(F.col("fixture_id")))
+    start = F.when(F.col("fixture_id") == "3", F.lit(0)).when(F.col("fixture_id") == "4", F.lit(MID_MS + 1)).otherwise(F.col("source_start_ms"))
+    selections = t.selections.filter("fixture_id <> '1'").withColumn("source_start_ms", start)
+    return raw_source.hydrate(moved(scores), moved(odds), selections, LABELS, NOW_MS)
 
 
 def hydration_events(t: FeedTables) -> DataFrame:
@@ -441,7 +446,8 @@ def latest_quotes(t: FeedTables) -> DataFrame:
 
 
 def quote_freshness(t: FeedTables) -> DataFrame:
-    latest = con.latest_by_bookmaker(t.quotes.drop("ord"))
+    # quotes up to half a day later are known, so all three labels occur
+    latest = con.latest_by_bookmaker(t.quotes.drop("ord").filter(F.col("observed_at_ms") <= MID_MS + HALF_DAY_MS))
     return con.freshness(latest, F.lit(MID_MS), feed.CONSENSUS).select("market_id", "bookmaker_id", "event_id", "freshness", "age_ms")
 
 

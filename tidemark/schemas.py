@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-OUTCOME_DDL = "ARRAY<STRUCT<name: STRING, outcome_id: STRING, price: INT, reported_probability_micros: BIGINT>>"
+OUTCOME_DDL = "ARRAY<STRUCT<name: STRING, outcome_id: STRING, price: BIGINT, reported_probability_micros: BIGINT>>"
 FIXTURE_DDL = (
     "STRUCT<fixture_id: STRING, competition: STRING, competition_id: STRING, "
     "participants: ARRAY<STRUCT<id: STRING, name: STRING, role: STRING>>, scheduled_at_ms: BIGINT, status: STRING>"

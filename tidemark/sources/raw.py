@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.config import BUCKET_MS, MAX_PLANNED_BUCKETS, FeedLabels
+from tidemark.config import BUCKET_MS, FeedLabels
 from tidemark.functions.integers import div
 from tidemark.operators.dedup import label_arrivals
 from tidemark.operators.normalize import accepted_events, normalize, quarantined
@@ -67,27 +67,28 @@ def bucket_cols(time_ms: Column) -> dict[str, Column]:
     }
 
 
-def plan_buckets(spark: SparkSession, start_ms: int, end_ms: int) -> DataFrame:
-    """All buckets that intersect the closed range ``[start_ms, end_ms]``."""
+def plan_buckets(spark: SparkSession, start_ms: int, end_ms: int, most: int | None = None) -> DataFrame:
+    """All buckets that intersect the closed range ``[start_ms, end_ms]``; more than ``most`` are refused."""
     if start_ms < 0 or end_ms < start_ms:
         raise ValueError("range must be non-negative and not reversed")
     first, last = start_ms // BUCKET_MS * BUCKET_MS, end_ms // BUCKET_MS * BUCKET_MS
-    if (last - first) // BUCKET_MS + 1 > MAX_PLANNED_BUCKETS:
-        raise ValueError(f"range exceeds {MAX_PLANNED_BUCKETS} buckets")
+    if most is not None and (last - first) // BUCKET_MS + 1 > most:
+        raise ValueError(f"range exceeds {most} buckets")
     starts = spark.range(first, last + 1, BUCKET_MS).withColumnRenamed("id", "t")
     return starts.select(*[c.alias(n) for n, c in bucket_cols(F.col("t")).items()])
 
 
-def plan_selection_buckets(selections: DataFrame) -> DataFrame:
+def plan_selection_buckets(selections: DataFrame, most: int | None = None) -> DataFrame:
     """Buckets of many selections at once: one row per (fixture, bucket), without a driver loop.
 
-    ``valid`` is false for a reversed range or one beyond the planning limit; such a
+    ``valid`` is false for a reversed range or one of more than ``most`` buckets; such a
     selection yields a single row.
     """
     first = div(F.col("source_start_ms"), BUCKET_MS) * BUCKET_MS
     last = div(F.col("source_end_ms"), BUCKET_MS) * BUCKET_MS
-    count = div(last - first, BUCKET_MS) + 1
-    valid = (F.col("source_end_ms") >= F.col("source_start_ms")) & (count <= MAX_PLANNED_BUCKETS)
+    valid = F.col("source_end_ms") >= F.col("source_start_ms")
+    if most is not None:
+        valid = valid & (div(last - first, BUCKET_MS) + 1 <= most)
     starts = F.when(valid, F.sequence(first, last, F.lit(BUCKET_MS).cast("long"))).otherwise(F.array(first))
     rows = selections.select("fixture_id", valid.alias("valid"), F.explode(starts).alias("t"))
     return rows.select("fixture_id", "valid", *[c.alias(n) for n, c in bucket_cols(F.col("t")).items()])
@@ -112,19 +113,23 @@ def hydrate(
     """Historical backfill of many fixtures: (events, quarantine, summary).
 
     ``scores`` and ``odds`` carry `fixture_id` and `payload` (and `arrival`); odds stored by
-    bucket also carry `epoch_day`, `hour`, `interval`, on which the plan prunes.
+    bucket also carry `epoch_day`, `hour`, `interval`, by which buckets outside a selection's
+    range are skipped.  Ranges may be of any length.  A reversed selection is `refused`: its
+    summary row has no records.  Records of another fixture than the selected one are counted
+    as `foreign` and are not returned.
     """
-    wanted = selections.filter("source_end_ms >= source_start_ms")
+    valid = F.col("source_end_ms") >= F.col("source_start_ms")
+    wanted = selections.select("fixture_id", "source_start_ms", "source_end_ms").filter(valid)
     if {"epoch_day", "hour", "interval"} <= set(odds.columns):
-        grid = plan_selection_buckets(wanted).filter("valid").select("fixture_id", "epoch_day", "hour", "interval")
-        odds = odds.join(grid, ["fixture_id", "epoch_day", "hour", "interval"], "left_semi")
+        start = F.col("epoch_day") * DAY_MS + F.col("hour") * HOUR_MS + F.col("interval") * BUCKET_MS
+        inside = (start <= F.col("source_end_ms")) & (start + BUCKET_MS > F.col("source_start_ms"))
+        odds = odds.join(wanted, "fixture_id").filter(inside).drop("source_start_ms", "source_end_ms")
     parts = [
         df.select("fixture_id", "arrival", "payload", F.lit(kind).alias("payload_kind"))
         for df, kind in ((scores, "score"), (odds, "odds"))
     ]
-    limits = wanted.select("fixture_id", "source_start_ms", "source_end_ms")
     selected = in_source_range(
-        parts[0].unionByName(parts[1]).join(limits, "fixture_id"), F.col("source_start_ms"), F.col("source_end_ms")
+        parts[0].unionByName(parts[1]).join(wanted, "fixture_id"), F.col("source_start_ms"), F.col("source_end_ms")
     )
     raw = selected.select(
         F.col("fixture_id").alias("selected_fixture"),
@@ -137,13 +142,14 @@ def hydrate(
         "payload",
     )
     labelled = label_arrivals(normalize(raw, labels, hydrated_at_ms))
-    summary = labelled.groupBy("selected_fixture").agg(
-        F.count_if(F.col("append_status") == "inserted").alias("inserted"),
-        F.count_if(F.col("append_status") == "duplicate").alias("duplicate"),
-        F.count_if(F.col("append_status") == "quarantined").alias("quarantined"),
-        F.count_if(F.col("append_status") == "conflict").alias("conflict"),
-        F.count_if(F.col("fixture_id") != F.col("selected_fixture")).alias("foreign"),
+    foreign = F.col("fixture_id") != F.col("selected_fixture")
+    counted = labelled.groupBy("selected_fixture").agg(
+        *[F.count_if(F.col("append_status") == c).alias(c) for c in ("inserted", "duplicate", "quarantined", "conflict")],
+        F.count_if(foreign).alias("foreign"),
     )
-    fresh = labelled.filter(F.col("append_status") == "inserted")
-    rejected = quarantined(labelled).filter(F.col("append_status") == "quarantined")
+    asked = selections.select(F.col("fixture_id").alias("selected_fixture"), (~valid).alias("refused"))
+    summary = asked.join(counted, "selected_fixture", "left").fillna(0)
+    own = labelled.filter(F.coalesce(~foreign, F.lit(True)))
+    fresh = own.filter(F.col("append_status") == "inserted")
+    rejected = quarantined(own).filter(F.col("append_status") == "quarantined")
     return accepted_events(fresh), rejected, summary

@@ -99,7 +99,7 @@ def _odds_struct() -> Column:
         return F.struct(
             F.lit(name).alias("name"),
             F.lit(name).alias("outcome_id"),
-            F.col("v").cast("int").alias("price"),
+            F.col("v").alias("price"),
             micros.cast("long").alias("reported_probability_micros"),
         )
 
@@ -199,6 +199,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # --- the same feed as raw JSON text, with planted bad records ------------------------
 
+LONG_DIGITS = "99999999999999999999"
 COMPETITIONS = ("World Cup", "League", "Friendly world cup warm-up", "Cup")
 
 
@@ -213,7 +214,7 @@ def _pct(micros: Column) -> Column:
     return F.coalesce(F.concat(whole, F.lit("."), F.lpad((tenths % 1000).cast("string"), 3, "0")), F.lit("NA"))
 
 
-def _odds_json(price: Column, short: Column) -> Column:
+def _odds_json(price: Column, short: Column, long_pct: Column, long_price: Column) -> Column:
     home, draw, away = _micros()
     draw = F.when(F.col("k") != 97, draw)
     quoted = lambda *cs: F.concat(F.lit('["'), F.concat_ws('","', *cs), F.lit('"]'))
@@ -231,16 +232,16 @@ def _odds_json(price: Column, short: Column) -> Column:
         F.lit('","MarketPeriod":"full_time","MessageId":"'),
         F.col("n").cast("string"),
         F.lit('","Pct":'),
-        quoted(_pct(home), _pct(draw), _pct(away)),
+        quoted(F.when(long_pct, F.lit(LONG_DIGITS + ".000")).otherwise(_pct(home)), _pct(draw), _pct(away)),
         F.lit(',"PriceNames":["home","draw","away"],"Prices":'),
-        F.when(short, cut_prices).otherwise(full_prices),
+        F.when(short, cut_prices).when(long_price, _json_number_list(F.lit(LONG_DIGITS), price + 1, price + 2)).otherwise(full_prices),
         F.lit(',"SuperOddsType":"1X2","Ts":'),
         F.col("t").cast("string"),
         F.lit("}"),
     )
 
 
-def _score_json() -> Column:
+def _score_json(long_key: Column) -> Column:
     """Match events: errors in the UpperCase dialect, status changes in the lowerCase one."""
     n, k, j = F.col("n").cast("string"), F.col("k"), div(F.col("k"), 13)
     home, away = (F.col("v") % 4).cast("string"), (k % 3).cast("string")
@@ -269,7 +270,8 @@ def _score_json() -> Column:
         F.lit(',"parti1StateSoccer":{"PossibleEvent":{"Goal":'), (j % 2 == 0).cast("string"),
         F.lit('}},"parti2StateSoccer":{"PossibleEvent":{"Goal":true,"Penalty":false}},"period":null,'),
         F.lit('"possibleEventSoccer":{"RedCard":false,"VAR":true},"seq":'), n,
-        F.lit(',"stats":{"1":'), home, F.lit(',"1001":'), home, F.lit(',"2":'), away, F.lit('},"statusSoccerId":"'),
+        F.lit(',"stats":{"1":'), home, F.lit(',"1001":'), home, F.lit(',"2":'), away,
+        F.when(long_key, F.lit(f',"{LONG_DIGITS}":1')).otherwise(F.lit("")), F.lit('},"statusSoccerId":"'),
         _pick(k % 4, "H1", " h2 ", "HT", "??"), F.lit('","ts":'), F.col("t").cast("string"), F.lit("}"),
     )
     return F.when(F.col("event_type") == "error", upper).otherwise(lower)
@@ -279,13 +281,14 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw odds and score records; `arrival` orders them, copies come right after.
 
     Planted by n % 50: 0 loses its last price, 1 repeats, 2 repeats with another price,
-    3 has an unknown kind.
+    3 has an unknown kind, 4 a percent, 7 a price and 6 a statistic key of twenty digits, 5 a
+    price beyond 32 bits, which is kept.
     """
     mod, odds = F.col("n") % 50, _is_odds()
     repeats = (mod == 1) | ((mod == 2) & odds)
     copies = F.when(repeats, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     rows = base(spark, sf_dir).withColumn("copy", F.explode(copies))
-    price = F.col("v") + F.when(mod == 2, F.col("copy")).otherwise(F.lit(0)) * 10
+    price = F.col("v") + F.when(mod == 2, F.col("copy") * 10).when(mod == 5, F.lit(3_000_000_000)).otherwise(F.lit(0))
     kind = F.when(mod == 3, F.lit("weather")).when(odds, F.lit("odds")).otherwise(F.lit("score"))
     return rows.select(
         (F.col("n") * 2 + F.col("copy")).alias("arrival"),
@@ -294,7 +297,7 @@ def raw_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(LABELS.live).alias("source"),
         F.col("t").alias("received_at_ms"),
         F.lit(None).cast("long").alias("sequence"),
-        F.when(odds, _odds_json(price, mod == 0)).otherwise(_score_json()).alias("payload"),
+        F.when(odds, _odds_json(price, mod == 0, mod == 4, mod == 7)).otherwise(_score_json(mod == 6)).alias("payload"),
     )
 
 
