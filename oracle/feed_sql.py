@@ -463,6 +463,8 @@ FINAL: dict[str, str] = {
         count(append_status) FILTER (append_status = 'duplicate') AS duplicate, count(append_status) FILTER (append_status = 'quarantined') AS quarantined,
         count(append_status) FILTER (append_status = 'conflict') AS conflict, count(known) FILTER (known <> sel) AS "foreign"
         FROM hsel LEFT JOIN hyd USING (sel) GROUP BY ALL""",
+    "append_conflicts": """SELECT DISTINCT rkey AS idempotency_key, sid AS source_id, phash AS raw_payload_hash, CASE WHEN code IS NULL THEN 'accepted' ELSE 'quarantined' END AS status
+        FROM (SELECT *, first_value(phash) OVER (PARTITION BY rkey ORDER BY arrival % 3 <> 0, arrival) AS held FROM nrm) WHERE phash <> held""",
     "append_labels": "SELECT arrival, ingest_id, append_status FROM lab",
     "payload_conflicts": "SELECT rkey AS raw_key, count(*) AS records FROM nrm GROUP BY 1 HAVING count(DISTINCT phash) > 1",
     "event_key_conflicts": """SELECT 'event' || ekind AS event_key, count(*) AS records FROM (SELECT *, rkey || CASE WHEN arrival % 7 = 0 THEN '|moved' ELSE '' END AS rk FROM nrm WHERE code IS NULL)

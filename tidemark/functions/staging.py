@@ -8,23 +8,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> bool:
-    """True when reliable checkpoints can be written.
+def ensure_checkpoint_dir(spark: SparkSession) -> str:
+    """The folder of reliable checkpoints.
 
-    The cluster's own ``spark.checkpoint.dir`` always wins.  Only a local session that
-    names none gets a scratch folder; a cluster that names none gets no checkpoints.
+    The cluster's own ``spark.checkpoint.dir`` always wins.  Only a local session that names
+    none gets a scratch folder; on a cluster that names none this is an error, because plans
+    without their stage boundaries would be computed over and over.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir():
-        return True
-    configured = context.getConf().get("spark.checkpoint.dir", None)
-    if configured:
-        context.setCheckpointDir(configured)
-        return True
-    if context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-        return True
-    return False
+    if not context.getCheckpointDir():
+        configured = context.getConf().get("spark.checkpoint.dir", None)
+        if not configured and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
+    return context.getCheckpointDir()
 
 
 def stage(df: DataFrame) -> DataFrame:
@@ -33,8 +30,9 @@ def stage(df: DataFrame) -> DataFrame:
     Reliable checkpoints survive the loss of executors, cut the lineage and keep the
     physical partitioning for what follows.
     """
-    if df.isStreaming or not ensure_checkpoint_dir(df.sparkSession):
+    if df.isStreaming:
         return df
+    ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

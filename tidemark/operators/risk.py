@@ -321,6 +321,15 @@ def _segments(judged: DataFrame) -> DataFrame:
     ).drop("entry", "__sync", "i_state", "i_version", "i_change", "i_stable", "i_shock", "i_last_t")
 
 
+def segments(inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status: str = "unavailable", initial: DataFrame | None = None) -> DataFrame:
+    """Judged inputs of every policy, cut into the segments (``seg_key``) that fold on their own."""
+    variants = F.array(*[policy_struct(policy, label) for label, policy in policies.items()])
+    on_time = inputs if initial is None else _not_late(inputs, initial)
+    proofs = on_time if "proof_status" in inputs.columns else on_time.withColumn("proof_status", F.lit(proof_status))
+    # every row meets every policy of the literal list; nothing is shuffled for it
+    return _segments(_judge(proofs.withColumn("policy", F.explode(variants)), initial))
+
+
 def decide(
     inputs: DataFrame,
     policies: dict[str, RiskPolicy],
@@ -334,12 +343,7 @@ def decide(
     literal in the plan, so a sweep over many policies is one job.  Rows older than the
     restored state of their market yield no decision; see `late_inputs`.
     """
-    variants = F.array(*[policy_struct(policy, label) for label, policy in policies.items()])
-    on_time = inputs if initial is None else _not_late(inputs, initial)
-    proofs = on_time if "proof_status" in inputs.columns else on_time.withColumn("proof_status", F.lit(proof_status))
-    # every row meets every policy of the literal list; nothing is shuffled for it
-    variant_rows = proofs.withColumn("policy", F.explode(variants))
-    segmented = _segments(_judge(variant_rows, initial))
+    segmented = segments(inputs, policies, proof_status, initial)
     flat = segmented.select(
         "*",
         F.col("policy.configuration_hash").alias("policy_configuration_hash"),
@@ -363,8 +367,7 @@ def fold_inputs(inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status
         p["policy_id"].alias("policy_id"),
         "event_id",
         "t",
-        F.col("ord.sequence").alias("sequence"),
-        F.col("ord.source_id").alias("source_id"),
+        "ord",
         is_pause.alias("pause_signal"),
         (is_pause & (s["confirmation"] == "reversal")).alias("reversal"),
         (F.size(pause) > 0).alias("market_pause"),

@@ -5,6 +5,7 @@ Results hold integers and text only, so they compare exactly with plain SQL.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -12,13 +13,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import EvaluationConfig, FeedLabels, MarketSelection, ReplayConfig
-from tidemark.functions.staging import stage
+from tidemark.functions.staging import ensure_checkpoint_dir, stage
 from tidemark.operators import consensus as con
 from tidemark.operators import dedup, evaluation, ops, orders, projections, provenance, receipts, risk, views
 from tidemark.operators import normalize as norm
 from tidemark.operators.classify import classify_scores
 from tidemark.sources import raw as raw_source
 from tidemark.sources import sample_feed as feed
+from tidemark.sources import tables as stored
 
 NOW_MS = 1_706_659_200_000  # 2024-01-31, just after the feed's month
 MID_MS = 1_705_276_800_000  # 2024-01-15
@@ -278,6 +280,14 @@ def hydration_counts(t: FeedTables) -> DataFrame:
     return summary
 
 
+def append_conflicts(t: FeedTables) -> DataFrame:
+    """Records that re-use a key with another payload, as two appends set them aside."""
+    path = f"{ensure_checkpoint_dir(t.spark)}/appends-{uuid.uuid4().hex}"
+    for part in ("arrival % 3 = 0", "arrival % 3 <> 0"):
+        stored.write_raw(t.normalized.filter(part), path)
+    return t.spark.read.parquet(f"{path}_conflicts").select("idempotency_key", "source_id", "raw_payload_hash", "status")
+
+
 # --- normalization -------------------------------------------------------------------
 
 
@@ -967,7 +977,7 @@ NAMED: tuple[Callable[[FeedTables], DataFrame], ...] = (
     quote_freshness, reaction_latencies, core_markets, score_classes, snapshot_risk_features, threshold_reasons,
     attributed_events, risk_decisions, decision_payloads, policy_sweep_decisions, fanned_out_decisions, resumed_decisions,
     restart_states, late_inputs, transition_audit, namespaced_markets,
-    feed_messages, bucket_coordinates, planned_buckets, source_range, hydration_events, hydration_counts,
+    feed_messages, bucket_coordinates, planned_buckets, source_range, hydration_events, hydration_counts, append_conflicts,
     normalized_odds, normalized_scores, normalized_fixtures, quarantine, raw_identity, odds_issue_counts, envelope_audit,
     raw_event_audit, event_shape_audit, world_cup_fixtures,
     append_labels, payload_conflicts, event_key_conflicts, decision_payload_conflicts, version_audit,

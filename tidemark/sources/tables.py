@@ -20,40 +20,79 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
-def _append_new(df: DataFrame, path: str, key: str) -> None:
-    existing = read_table(df.sparkSession, path)
-    fresh = df.dropDuplicates([key])
-    if existing is not None:
-        fresh = fresh.join(existing.select(key), key, "left_anti")
+EVENT_CONTENT = ("kind", "fixture_id", "source_timestamp_ms", "sequence", "fixture", "odds", "score")
+
+
+def _append_conflicts(rows: DataFrame, path: str, keys: list[str]) -> None:
+    """Append rows whose ``keys`` are not stored yet, once each."""
+    fresh = rows.dropDuplicates(keys)
+    stored = read_table(rows.sparkSession, path)
+    if stored is not None:
+        fresh = fresh.join(stored.select(*keys), keys, "left_anti")
     fresh.write.mode("append").parquet(path)
 
 
-def write_raw(normalized: DataFrame, path: str, arrival: str = "arrival") -> None:
-    """Append accepted and quarantined raw records, one per key; conflicts are left out."""
-    labelled = label_arrivals(normalized, read_table(normalized.sparkSession, path), arrival)
+def _write_labelled(labelled: DataFrame, path: str, conflicts_path: str | None) -> None:
+    clashing = raw_records(labelled.filter("append_status = 'conflict'"))
+    _append_conflicts(clashing, conflicts_path or f"{path.rstrip('/')}_conflicts", ["idempotency_key", "raw_payload_hash"])
     raw_records(labelled.filter("append_status IN ('inserted', 'quarantined')")).write.mode("append").parquet(path)
 
 
-def write_events(events: DataFrame, path: str) -> None:
-    """Append events whose key is not stored yet."""
-    _append_new(events, path, "idempotency_key")
+def write_raw(normalized: DataFrame, path: str, arrival: str = "arrival", conflicts_path: str | None = None) -> None:
+    """Append accepted and quarantined raw records, one per key.
+
+    A record that re-uses a stored or earlier key with another payload goes to the conflict
+    table instead, by default beside ``path``.
+    """
+    labelled = label_arrivals(normalized, read_table(normalized.sparkSession, path), arrival).persist()
+    try:
+        _write_labelled(labelled, path, conflicts_path)
+    finally:
+        labelled.unpersist()
+
+
+def write_events(events: DataFrame, path: str, conflicts_path: str | None = None) -> None:
+    """Append events whose key is not stored yet.
+
+    Of several events with one key the first received stays, ties by content.  Events with
+    other content than the one stored under their key go to the conflict table.
+    """
+    key = "idempotency_key"
+    rated = events.withColumn("content", F.sha2(F.to_json(F.struct(*EVENT_CONTENT)), 256))
+    first = rated.groupBy(key).agg(F.min_by(F.struct(*rated.columns), F.struct("received_at_ms", "content")).alias("first"))
+    stored = read_table(events.sparkSession, path)
+    if stored is None:
+        known = first.withColumn("stored", F.lit(None).cast("string"))
+    else:
+        # only the keys of this batch are looked up and compared
+        content = F.sha2(F.to_json(F.struct(*EVENT_CONTENT)), 256)
+        held = stored.join(first.select(key), key, "left_semi").select(key, content.alias("stored"))
+        known = first.join(held, key, "left")
+    known = known.persist()
+    try:
+        kept = known.select(key, F.coalesce("stored", "first.content").alias("kept"))
+        clashing = rated.join(kept, key).filter(F.col("content") != F.col("kept")).drop("kept")
+        _append_conflicts(clashing, conflicts_path or f"{path.rstrip('/')}_conflicts", [key, "content"])
+        fresh = known.filter(F.col("stored").isNull()).select("first.*").select(*events.columns)
+        fresh.write.mode("append").parquet(path)
+    finally:
+        known.unpersist()
 
 
 def write_batch(normalized: DataFrame, raw_path: str, events_path: str, batch_id: int, arrival: str = "arrival") -> None:
-    """Both tables of one micro-batch.
+    """Both tables of one micro-batch, and their conflict tables.
 
-    The events go first and both appends skip keys that are stored, so a batch that is
-    retried after a failure between the two writes neither loses nor repeats a record.
+    The events go first and all appends skip what is stored, so a batch that is retried
+    after a failure between the writes neither loses nor repeats a record.
     """
     spark = normalized.sparkSession
     distinct = normalized.dropDuplicates(["raw_key", "payload_hash"])
-    labelled = label_arrivals(distinct, read_table(spark, raw_path), arrival).withColumn("batch_id", F.lit(batch_id))
-    kept = labelled.filter("append_status IN ('inserted', 'quarantined')").persist()
+    labelled = label_arrivals(distinct, read_table(spark, raw_path), arrival).withColumn("batch_id", F.lit(batch_id)).persist()
     try:
-        write_events(accepted_events(kept), events_path)
-        raw_records(kept).write.mode("append").parquet(raw_path)
+        write_events(accepted_events(labelled.filter("append_status IN ('inserted', 'quarantined')")), events_path)
+        _write_labelled(labelled, raw_path, None)
     finally:
-        kept.unpersist()
+        labelled.unpersist()
 
 
 def save_reports(reports: DataFrame, path: str) -> DataFrame:

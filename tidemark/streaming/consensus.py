@@ -18,13 +18,18 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.config import ConsensusConfig
 from tidemark.operators.consensus import assemble_snapshots, finish_snapshots, normalize_vectors, quote_vectors
+from tidemark.schemas import ORDER_FIELDS
 
 # processors travel inside the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _VECTOR = "ARRAY<STRUCT<outcome_id: STRING, name: STRING, micros: BIGINT, probability_micros: BIGINT>>"
 QUOTE_DDL = f"observed_at_ms BIGINT, event_id STRING, bookmaker_id STRING, code STRING, signature STRING, vector {_VECTOR}"
-CURRENT_DDL = "market_id STRING, event_id STRING, t BIGINT, superseded BOOLEAN, latest_json STRING"
+# the event order of a row travels with it: rows of one millisecond need all of its fields
+_ORDER = [f"ord_{f}" for f in ORDER_FIELDS]
+_NUMBERS = ("source_timestamp_ms", "sequence", "source_priority")
+_ORDER_DDL = ", ".join(f"ord_{f} {'BIGINT' if f in _NUMBERS else 'STRING'}" for f in ORDER_FIELDS)
+CURRENT_DDL = f"market_id STRING, event_id STRING, t BIGINT, superseded BOOLEAN, latest_json STRING, {_ORDER_DDL}"
 _QUOTE = ("observed_at_ms", "event_id", "bookmaker_id")
 
 
@@ -40,7 +45,7 @@ class CurrentQuotes(StatefulProcessor):
         self.last = handle.getValueState("last", "t BIGINT")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["observed_at_ms", "sequence", "source_id"])
+        batch = pd.concat(list(rows)).sort_values(_ORDER)
         current = {k[0]: v for k, v in self.quotes.iterator()}
         last_t = self.last.get()[0] if self.last.exists() else None
         out = []
@@ -52,9 +57,9 @@ class CurrentQuotes(StatefulProcessor):
                 self.quotes.updateValue((row.bookmaker_id,), current[row.bookmaker_id])
                 last_t = int(row.observed_at_ms)
             latest = "[" + ",".join(q[2] for q in current.values()) + "]"
-            out.append((key[0], row.event_id, last_t, superseded, latest))
+            out.append((key[0], row.event_id, last_t, superseded, latest, *[getattr(row, c) for c in _ORDER]))
         self.last.update((last_t,))
-        yield pd.DataFrame(out, columns=["market_id", "event_id", "t", "superseded", "latest_json"])
+        yield pd.DataFrame(out, columns=["market_id", "event_id", "t", "superseded", "latest_json", *_ORDER])
 
     def close(self) -> None:
         pass
@@ -67,7 +72,7 @@ class PreviousSnapshots(StatefulProcessor):
         self.state = handle.getValueState("previous", "snapshot STRING, before STRING")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["t", "event_id"])
+        batch = pd.concat(list(rows)).sort_values(_ORDER)
         last, before = self.state.get() if self.state.exists() else (None, None)
         out = []
         for row in batch.itertuples(index=False):
@@ -86,7 +91,7 @@ def current_quote_stream(events: DataFrame) -> DataFrame:
     vectors = normalize_vectors(quote_vectors(events))
     quote = F.struct("observed_at_ms", "event_id", "bookmaker_id", "code", "signature", "vector")
     keyed = vectors.select(
-        "market_id", *_QUOTE, F.col("ord.sequence").alias("sequence"), F.col("ord.source_id").alias("source_id"),
+        "market_id", *_QUOTE, *[F.col(f"ord.{f}").cast("long" if f in _NUMBERS else "string").alias(f"ord_{f}") for f in ORDER_FIELDS],
         F.to_json(quote).alias("quote"),
     )
     return keyed.groupBy("market_id").transformWithStateInPandas(
@@ -118,7 +123,7 @@ def consensus_stream(events: DataFrame, config: ConsensusConfig) -> DataFrame:
         "fresh_bookmaker_count", "valid_bookmaker_count", "stale_bookmaker_count", "total_bookmaker_count", "stale_ppm",
         "freshest_age_ms", "oldest_fresh_age_ms", "diagnostics", "quote_event_ids",
     ]
-    packed = snaps.select("market_id", "event_id", "t", "superseded", F.to_json(F.struct(*body)).alias("snapshot"))
+    packed = snaps.select("market_id", "event_id", "superseded", *_ORDER, F.to_json(F.struct(*body)).alias("snapshot"))
     chained = packed.groupBy("market_id").transformWithStateInPandas(
         statefulProcessor=PreviousSnapshots(),
         outputStructType="market_id STRING, event_id STRING, snapshot STRING, superseded BOOLEAN, previous STRING",

@@ -1,6 +1,6 @@
 """Stateful risk fold of a stream: the batch automaton kept per (market, policy).
 
-The stream carries judged features (see `risk_input_stream`); state holds the automaton, the
+The stream carries judged features (see `risk.fold_inputs`); state holds the automaton, the
 shock hold and the last applied time.  Nothing fires on a timer: a hold expires when the
 next input of the market arrives.  A key's state lives on one partition by nature, but it is
 a few numbers and each row costs constant time.
@@ -14,15 +14,17 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidemark.operators.automaton import FOLD_LIMITS, STATE_NAMES, Automaton
+from tidemark.schemas import ORDER_FIELDS
 
 # processors travel inside the task, so executors need no copy of this package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 INPUT_COLUMNS = (
-    "market_id", "policy_id", "event_id", "t", "sequence", "source_id", "pause_signal", "reversal", "market_pause",
+    "market_id", "policy_id", "event_id", "t", "ord", "pause_signal", "reversal", "market_pause",
     "widen", "healthy", "critical_shock_hold_ms", "reversal_shock_hold_ms", *FOLD_LIMITS,
 )
 OUTPUT_DDL = (
@@ -32,6 +34,7 @@ OUTPUT_DDL = (
 )
 STATE_DDL = "state STRING, change_ms BIGINT, stable BIGINT, shock_until_ms BIGINT, version BIGINT, last_t BIGINT"
 INITIAL_DDL = "market_id STRING, policy_id STRING, " + STATE_DDL
+_ORDER = [f"ord_{f}" for f in ORDER_FIELDS]
 _OUTPUT = [c.split()[0] for c in OUTPUT_DDL.split(", ")]
 
 
@@ -45,7 +48,7 @@ class RiskFold(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         market, policy = key
         # rows of a micro-batch come in any order; only those of one key and batch are sorted
-        batch = pd.concat(list(rows)).sort_values(["t", "sequence", "source_id"])
+        batch = pd.concat(list(rows)).sort_values(_ORDER)
         stored = self.state.get() if self.state.exists() else None
         auto, shock, version, last_t = None, 0, 0, 0
         if stored is not None:
@@ -94,7 +97,8 @@ def initial_states(restored: DataFrame, policy_id: str) -> DataFrame:
 
 def fold_stream(inputs: DataFrame, initial: DataFrame | None = None) -> DataFrame:
     """Decisions core of a stream of `INPUT_COLUMNS`; needs the RocksDB state store."""
-    keyed = inputs.select(*INPUT_COLUMNS).groupBy("market_id", "policy_id")
+    flat = inputs.select(*INPUT_COLUMNS).select("*", *[F.col(f"ord.{f}").alias(c) for f, c in zip(ORDER_FIELDS, _ORDER)]).drop("ord")
+    keyed = flat.groupBy("market_id", "policy_id")
     seed = None if initial is None else initial.groupBy("market_id", "policy_id")
     return keyed.transformWithStateInPandas(
         statefulProcessor=RiskFold(), outputStructType=OUTPUT_DDL, outputMode="Append", timeMode="None", initialState=seed

@@ -24,9 +24,12 @@ def start_ingest(
     checkpoint: str,
     labels: FeedLabels = FeedLabels(),
     now_ms: int = 0,
+    trigger: dict[str, str | bool] | None = None,
 ) -> StreamingQuery:
     """Persist raw records and events; decisions read the event table, never the feed.
 
+    ``trigger`` holds the arguments of the writer's trigger; by default what is there is
+    taken in and the query ends, ``{"processingTime": "5 seconds"}`` keeps it running.
     Resume after a failure relies on the checkpoint and on both appends skipping keys that
     are already stored.
     """
@@ -37,4 +40,4 @@ def start_ingest(
         write_batch(batch.withColumn("arrival", arrival), raw_path, events_path, batch_id)
 
     stream = normalized_stream(odds, scores, labels, now_ms)
-    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
