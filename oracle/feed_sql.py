@@ -241,9 +241,10 @@ CTES["resr"] = _reasoned("res")
 CTES["ords"] = """SELECT o.*, 'ord_' || substr(rhash, 1, 40) AS order_id FROM (SELECT o.*, sha256('{"expectedDecisionId":"' || expected || '","expectedStateVersion":1,"fixtureId":"' || fixture_id
     || '","idempotencyKey":"' || ikey || '","marketId":"' || market_id || '","namespace":"live","outcomeId":"' || outcome_id || '","payloadVersion":1,"price":' || v
     || ',"quoteObservedAtMs":' || quoted || ',"requestedAtMs":' || requested || ',"side":"' || side || '","stakeMicros":' || (v * 10000 + 1) || '}') AS rhash
-    FROM (SELECT f.*, 'order-' || n AS ikey, ['home','draw','away'][k % 3 + 1] AS outcome_id, t - k * 60000 AS quoted, t + 1800000 AS requested,
+    FROM (SELECT f.*, 'order-' || n AS ikey, ['home','draw','away'][k % 3 + 1] AS outcome_id, CASE WHEN k % 10 < 2 AND d.t IS NOT NULL THEN d.t - k % 10 ELSE f.t - k * 60000 END AS quoted,
+        CASE k % 10 WHEN 0 THEN coalesce(d.t + 1, f.t + 1800000) WHEN 1 THEN coalesce(d.t - 1, f.t + 1800000) ELSE f.t + 1800000 END AS requested,
         CASE WHEN k % 2 = 0 THEN 'back' ELSE 'lay' END AS side, d.decision_id AS expected
-        FROM feed f LEFT JOIN (SELECT market_id, decision_id FROM base WHERE v0 = 0) d USING (market_id) WHERE event_type = 'click') o) o"""
+        FROM feed f LEFT JOIN (SELECT market_id, decision_id, t FROM base WHERE v0 = 0) d USING (market_id) WHERE event_type = 'click') o) o"""
 CTES["adm"] = """SELECT *, CASE WHEN decision_id IS NULL THEN 'MARKET_NOT_INITIALIZED' WHEN s1 = 'PAUSED' THEN 'ORDER_REJECTED_PAUSED'
         WHEN s1 = 'RECOVERY' THEN 'ORDER_REJECTED_RECOVERY' WHEN s1 = 'WIDENED' THEN 'ORDER_STALE_WIDENED_REQUOTE_REQUIRED'
         WHEN expected <> decision_id OR v1 <> 1 THEN 'ORDER_STALE_STATE_VERSION'
@@ -506,6 +507,15 @@ FINAL: dict[str, str] = {
         WHERE v % 10 = 1 OR v % 20 = 10""",
     "evidence_rows": "SELECT decision_id, event_id, kind, source_id AS source_message_id, CASE WHEN kind = 'score.observed' THEN 1 END AS score_stat_key FROM base",
     "missing_evidence": "SELECT decision_id, event_id AS missing_event_id FROM base WHERE t % 10 = 0",
+    "envelope_audit": """SELECT event_id, ['source priority', 'idempotency key,event id', 'fixture mismatch'][n % 40 + 1] AS violations FROM keyed WHERE n % 40 < 3""",
+    "event_shape_audit": """SELECT event_id, CASE WHEN is_odds THEN 'odds shape' ELSE 'score shape' END AS violations FROM keyed
+        WHERE n % 30 = CASE WHEN is_odds THEN 0 ELSE 1 END""",
+    "receipt_audit": "SELECT receipt_id, 'evidence repeats,payload hash' AS violations FROM rec WHERE t % 20 = 0",
+    "order_labels": """SELECT ikey AS idempotency_key, rhash AS request_hash, 'inserted' AS append_status, 1 AS requests FROM ords
+        UNION ALL SELECT ikey, rhash, 'duplicate', 1 FROM ords WHERE v % 4 = 1
+        UNION ALL SELECT ikey, sha256('{"expectedDecisionId":"' || expected || '","expectedStateVersion":1,"fixtureId":"' || fixture_id
+    || '","idempotencyKey":"' || ikey || '","marketId":"' || market_id || '","namespace":"live","outcomeId":"' || outcome_id || '","payloadVersion":1,"price":' || v
+    || ',"quoteObservedAtMs":' || quoted || ',"requestedAtMs":' || (requested + 1) || ',"side":"' || side || '","stakeMicros":' || (v * 10000 + 1) || '}'), 'conflict', 1 FROM ords WHERE v % 4 = 0""",
     "decision_receipts": "SELECT receipt_id, decision_id, phash AS payload_hash, t AS created_at_ms, 'pending' AS status FROM rec",
     "pending_queue": "SELECT receipt_id, t AS updated_at_ms FROM rec ORDER BY t, receipt_id LIMIT 50",
     "proof_coordinates": """SELECT decision_id, CASE WHEN kind = 'odds.observed' THEN 'odds' WHEN sequence >= 1 THEN 'score' ELSE 'unavailable' END AS proof_kind,

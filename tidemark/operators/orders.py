@@ -84,9 +84,12 @@ def order_ids(requests: DataFrame) -> DataFrame:
 
 
 def label_orders(identified: DataFrame, arrival: str = "requested_at_ms") -> DataFrame:
-    """Label requests `inserted`, `duplicate` or `conflict` per (namespace, idempotency key)."""
+    """Label requests `inserted`, `duplicate` or `conflict` per (namespace, idempotency key).
+
+    Of equal requests that arrive at the same time one is inserted.
+    """
     keys = ["namespace", "idempotency_key"]
-    ranked = identified.withColumn("__rank", F.struct(arrival, "order_id"))
+    ranked = identified.withColumn("__rank", F.struct(arrival, "order_id", F.monotonically_increasing_id().alias("row")))
     first = ranked.groupBy(*keys).agg(
         F.min_by("request_hash", "__rank").alias("__hash"), F.min("__rank").alias("__first"), F.count(F.lit(1)).alias("__n")
     )

@@ -9,7 +9,7 @@ import uuid
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.config import EvaluationConfig, FeedLabels, MarketSelection, ReplayConfig
@@ -340,12 +340,18 @@ def odds_issue_counts(t: FeedTables) -> DataFrame:
     return issues.groupBy("issue").agg(F.count(F.lit(1)).alias("records"))
 
 
+def _number() -> Column:
+    """The row number of an event in the feed, the last part of its source id."""
+    return F.element_at(F.split("source_id", ":"), -1).cast("long")
+
+
 def envelope_audit(t: FeedTables) -> DataFrame:
+    mod = _number() % 40
     bent = t.events.withColumns(
         {
-            "source_priority": F.when(F.crc32("source_id") % 40 == 0, F.lit(31)).otherwise(F.col("source_priority")),
-            "idempotency_key": F.when(F.crc32("source_id") % 40 == 1, F.lit("event|bad")).otherwise(F.col("idempotency_key")),
-            "fixture_id": F.when(F.crc32("source_id") % 40 == 2, F.lit("999")).otherwise(F.col("fixture_id")),
+            "source_priority": F.when(mod == 0, F.lit(31)).otherwise(F.col("source_priority")),
+            "idempotency_key": F.when(mod == 1, F.lit("event|bad")).otherwise(F.col("idempotency_key")),
+            "fixture_id": F.when(mod == 2, F.lit("999")).otherwise(F.col("fixture_id")),
         }
     )
     return norm.envelope_violations(bent).select("event_id", F.array_join("violations", ",").alias("violations"))
@@ -361,8 +367,8 @@ def raw_event_audit(t: FeedTables) -> DataFrame:
 
 
 def event_shape_audit(t: FeedTables) -> DataFrame:
-    odds = F.col("odds").withField("bookmaker.name", F.when(F.crc32("source_id") % 30 == 0, F.lit("")).otherwise(F.col("odds.bookmaker.name")))
-    score = F.col("score").withField("home_score", F.when(F.crc32("source_id") % 30 == 1, F.lit(-1).cast("long")).otherwise(F.col("score.home_score")))
+    odds = F.col("odds").withField("bookmaker.name", F.when(_number() % 30 == 0, F.lit("")).otherwise(F.col("odds.bookmaker.name")))
+    score = F.col("score").withField("home_score", F.when(_number() % 30 == 1, F.lit(-1).cast("long")).otherwise(F.col("score.home_score")))
     bent = t.events.withColumns({"odds": F.when(F.col("odds").isNotNull(), odds), "score": F.when(F.col("score").isNotNull(), score)})
     return norm.event_violations(bent).select("event_id", F.array_join("violations", ",").alias("violations"))
 
@@ -660,7 +666,7 @@ def decision_receipts(t: FeedTables) -> DataFrame:
 
 
 def receipt_audit(t: FeedTables) -> DataFrame:
-    doubled = F.when(F.crc32("decision_id") % 20 == 0, F.concat("evidence", "evidence")).otherwise(F.col("evidence"))
+    doubled = F.when(F.col("created_at_ms") % 20 == 0, F.concat("evidence", "evidence")).otherwise(F.col("evidence"))
     return receipts.receipt_violations(t.receipts.withColumn("evidence", doubled)).select(
         "receipt_id", F.array_join("violations", ",").alias("violations")
     )

@@ -330,18 +330,28 @@ def raw_fixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def order_requests(spark: SparkSession, sf_dir: str, decisions: DataFrame) -> DataFrame:
-    """Order requests from click rows; each quotes its market's first decision."""
-    first = decisions.groupBy("market_id").agg(F.min_by("decision_id", "expected_state_version").alias("expected_decision_id"))
-    clicks = base(spark, sf_dir).filter("event_type = 'click'").select(
-        "fixture_id",
+    """Order requests from click rows; each quotes its market's first decision.
+
+    By k % 10: 0 asks right after that decision with a fresh quote, 1 right before it.
+    """
+    first = decisions.groupBy("market_id").agg(
+        F.min_by("decision_id", "expected_state_version").alias("expected_decision_id"), F.min("logical_timestamp_ms").alias("first_ms")
+    )
+    mod, first_ms = F.col("k") % 10, F.col("first_ms")
+    requested = F.when(mod == 0, first_ms + 1).when(mod == 1, first_ms - 1)
+    quoted = F.when(mod == 0, first_ms).when(mod == 1, first_ms - 1)
+    clicks = base(spark, sf_dir).filter("event_type = 'click'").join(first, "market_id", "left")
+    return clicks.select(
         "market_id",
+        "fixture_id",
         F.concat(F.lit("order-"), F.col("n").cast("string")).alias("idempotency_key"),
         F.lit("live").alias("namespace"),
         _pick(F.col("k") % 3, "home", "draw", "away").alias("outcome_id"),
         F.col("v").alias("price"),
-        (F.col("t") - F.col("k") * 60_000).alias("quote_observed_at_ms"),
-        (F.col("t") + 1_800_000).alias("requested_at_ms"),
+        F.coalesce(quoted, F.col("t") - F.col("k") * 60_000).alias("quote_observed_at_ms"),
+        F.coalesce(requested, F.col("t") + 1_800_000).alias("requested_at_ms"),
         F.when(F.col("k") % 2 == 0, F.lit("back")).otherwise(F.lit("lay")).alias("side"),
         (F.col("v") * 10_000 + 1).alias("stake_micros"),
+        "expected_decision_id",
+        F.lit(1).cast("long").alias("expected_state_version"),
     )
-    return clicks.join(first, "market_id", "left").withColumn("expected_state_version", F.lit(1).cast("long"))
