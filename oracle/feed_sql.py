@@ -590,6 +590,9 @@ FINAL: dict[str, str] = {
         CAST(sum(d) AS BIGINT) AS total_duration_ms, max(d) AS maximum_duration_ms FROM reqs""",
     "latency_percentiles": """SELECT max(d) FILTER (r = least(c - 1, CAST(floor(c * 0.5) AS BIGINT))) AS p50, max(d) FILTER (r = least(c - 1, CAST(floor(c * 0.95) AS BIGINT))) AS p95,
         max(d) AS maximum FROM (SELECT d, row_number() OVER (ORDER BY d) - 1 AS r, count(*) OVER () AS c FROM reqs)""",
+    "chunked_hashes": """SELECT fixture_id, CAST(sum(n) AS BIGINT) AS event_count, sha256('[' || string_agg(h, ',' ORDER BY day) || ']') AS event_sequence_hash FROM (
+        SELECT fixture_id, t // 86400000 AS day, count(*) AS n, sha256('[' || string_agg('"' || event_id || '"', ',' ORDER BY t, sequence, source_id) || ']') AS h
+        FROM keyed GROUP BY 1, 2) GROUP BY 1""",
     "sequence_hashes": """SELECT fixture_id, count(*) AS event_count, sha256('[' || string_agg('"' || event_id || '"', ',' ORDER BY t, sequence, source_id) || ']') AS event_sequence_hash FROM keyed GROUP BY 1""",
     "consensus_at_time": f"SELECT market_id, {_SNAP} FROM n_ids",
     "core_markets": """SELECT fixture_id, market_id, r AS selection_rank, CAST(r = 1 AS INTEGER) AS selected FROM (SELECT e.fixture_id, s.market_id,

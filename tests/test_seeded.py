@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import hashlib
 import json
 
@@ -50,6 +52,16 @@ def test_event_and_market_ids(events):
     assert rows["seed-score-1"].event_id == short("evt_", key)
 
 
+def test_chunked_hash_is_built_on_the_sequential_one(events):
+    plain = provenance.sequence_hash(events).head()
+    whole = provenance.chunked_hash(events, chunk_ms=10**15).head()
+    assert whole.event_count == plain.event_count
+    assert whole.event_sequence_hash == hashlib.sha256(f"[{plain.event_sequence_hash}]".encode()).hexdigest()
+    fine = provenance.chunked_hash(events, chunk_ms=1_000).head()
+    assert fine.event_count == plain.event_count and fine.input_hash != whole.input_hash
+    assert provenance.chunked_hash(events.repartition(5), chunk_ms=10**15).head() == whole
+
+
 def test_sequence_hash(events):
     row = provenance.sequence_hash(events).head()
     assert (row.fixture_id, row.event_count) == (FIXTURE, 8)

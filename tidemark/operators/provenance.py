@@ -133,12 +133,42 @@ def fact_json(labels: FeedLabels = FeedLabels()) -> str:
     )
 
 
+# label of the two-level digest; it enters the identity of manifests that use it
+CHUNKED = "chunked-sha256-v1"
+
+
+def chunked_hash(events: DataFrame, labels: FeedLabels = FeedLabels(), chunk_ms: int = 300_000) -> DataFrame:
+    """Per fixture: event count, and two-level hashes of the ordered ids and of the ordered facts.
+
+    The events of a time chunk are hashed in order, then the hashes of the chunks.  No task
+    sees more of a fixture than a chunk's events, or one short row a chunk.
+    """
+    rendered = events.select(
+        "fixture_id",
+        chunk_of(F.col("source_timestamp_ms"), chunk_ms).alias("chunk"),
+        F.struct(event_order().alias("ord"), F.expr(cj.text("event_id")).alias("id"), F.sha2(F.expr(fact_json(labels)), 256).alias("fact")).alias("e"),
+    )
+
+    def listed(column: str, field: str):
+        return F.sha2(F.concat(F.lit("["), F.array_join(F.transform(column, lambda x: x[field]), ","), F.lit("]")), 256)
+
+    chunks = rendered.groupBy("fixture_id", "chunk").agg(F.array_sort(F.collect_list("e")).alias("es"))
+    hashed = chunks.select("fixture_id", F.struct("chunk", F.size("es").alias("n"), listed("es", "id").alias("id"), listed("es", "fact").alias("fact")).alias("c"))
+    fixtures = hashed.groupBy("fixture_id").agg(F.array_sort(F.collect_list("c")).alias("cs"))
+    return fixtures.select(
+        "fixture_id",
+        F.aggregate("cs", F.lit(0).cast("bigint"), lambda n, c: n + c["n"]).alias("event_count"),
+        listed("cs", "id").alias("event_sequence_hash"),
+        listed("cs", "fact").alias("input_hash"),
+    )
+
+
 def sequence_hash(events: DataFrame, labels: FeedLabels = FeedLabels()) -> DataFrame:
     """Per fixture: event count, hash of the ordered ids, hash of the ordered facts.
 
-    The hash of a list is sequential by definition, so one task digests one fixture, but it
-    streams sorted rows in constant memory and nothing is collected.  Rendering the JSON,
-    the expensive part, runs before the shuffle on all tasks.
+    The parity form of `chunked_hash`: the hash of a list is sequential by definition, so one
+    task digests one fixture; it streams sorted rows in constant memory and nothing is
+    collected.  Rendering the JSON, the expensive part, runs before the shuffle on all tasks.
     """
     rendered = events.select(
         "fixture_id", event_order().alias("ord"), F.expr(cj.text("event_id")).alias("id_json"), F.expr(fact_json(labels)).alias("fact_json")
@@ -148,10 +178,22 @@ def sequence_hash(events: DataFrame, labels: FeedLabels = FeedLabels()) -> DataF
     return arranged.select("fixture_id", "id_json", "fact_json").mapInPandas(digests.list_digests, schema)
 
 
-def manifests(events: DataFrame, fixtures: DataFrame, config: ReplayConfig, labels: FeedLabels = FeedLabels()) -> DataFrame:
+def _hashes(events: DataFrame, labels: FeedLabels, form: str) -> DataFrame:
+    if form not in ("chunked", "sequential"):
+        raise ValueError("form is 'chunked' or 'sequential'")
+    return (chunked_hash if form == "chunked" else sequence_hash)(events, labels)
+
+
+def manifests(
+    events: DataFrame, fixtures: DataFrame, config: ReplayConfig, labels: FeedLabels = FeedLabels(), form: str = "chunked"
+) -> DataFrame:
     """Manifest per fixture.  ``fixtures``: fixture_id, competition_id, scheduled_at_ms, source_start_ms,
-    source_end_ms and intervals_json (canonical JSON of the planned buckets, ``[]`` for none)."""
-    hashed = fixtures.join(sequence_hash(events, labels), "fixture_id")
+    source_end_ms and intervals_json (canonical JSON of the planned buckets, ``[]`` for none).
+
+    ``form``: the two-level ``chunked`` hashes, or ``sequential`` ones for ids that agree with
+    deployments that hash the plain list.
+    """
+    hashed = fixtures.join(_hashes(events, labels, form), "fixture_id")
     simulated = config.data_mode == "seeded-simulation"
     path = "'null'" if simulated else cj.text(f"concat({cj.literal(config.score_path_prefix)}, fixture_id)")
     strategy = cj.literal(canonical_text(config.strategy))
@@ -175,6 +217,7 @@ def manifests(events: DataFrame, fixtures: DataFrame, config: ReplayConfig, labe
                     "scheduledAtMs": cj.scalar("scheduled_at_ms"),
                 }
             ),
+            **({"hashForm": cj.text(cj.literal(CHUNKED))} if form == "chunked" else {}),
             "inputHash": cj.plain("input_hash"),
             "manifestVersion": "'1'",
             "source": cj.obj(
@@ -204,9 +247,11 @@ def manifests(events: DataFrame, fixtures: DataFrame, config: ReplayConfig, labe
     )
 
 
-def manifest_violations(events: DataFrame, manifest_rows: DataFrame, labels: FeedLabels = FeedLabels()) -> DataFrame:
-    """Fixtures whose events no longer match their manifest."""
-    actual = sequence_hash(events, labels).select(
+def manifest_violations(
+    events: DataFrame, manifest_rows: DataFrame, labels: FeedLabels = FeedLabels(), form: str = "chunked"
+) -> DataFrame:
+    """Fixtures whose events no longer match their manifest of the same ``form``."""
+    actual = _hashes(events, labels, form).select(
         "fixture_id",
         F.col("event_count").alias("actual_count"),
         F.col("event_sequence_hash").alias("actual_sequence"),

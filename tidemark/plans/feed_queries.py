@@ -831,7 +831,11 @@ def report_summaries(t: FeedTables) -> DataFrame:
 
 
 def replay_hashes(t: FeedTables) -> DataFrame:
-    return provenance.sequence_hash(t.events)
+    return provenance.chunked_hash(t.events)
+
+
+def chunked_hashes(t: FeedTables) -> DataFrame:
+    return provenance.chunked_hash(t.events, chunk_ms=86_400_000).drop("input_hash")
 
 
 def sequence_hashes(t: FeedTables) -> DataFrame:
@@ -994,7 +998,7 @@ NAMED: tuple[Callable[[FeedTables], DataFrame], ...] = (
     protective_signals, signal_baselines, first_moves, convergences, market_lifecycles, state_transitions,
     state_transition_summary, control_windows, false_pauses, price_error_proxy, probe_order_rows, evaluation_facts,
     evaluation_timeline, evaluation_reports, report_audit, report_summaries,
-    replay_hashes, sequence_hashes, replay_manifests, manifest_audit, dispatch_order, run_log_audit, reconciled_runs, append_counts,
+    replay_hashes, chunked_hashes, sequence_hashes, replay_manifests, manifest_audit, dispatch_order, run_log_audit, reconciled_runs, append_counts,
     overview, fixtures_view, markets_view, fixture_detail, timeline_view, decisions_view, receipts_view, orders_view, runs_view,
     event_page, market_maxima,
     purged_records, feed_health, tracked_fixtures, bucketed_feed_health, request_metrics, latency_percentiles,
