@@ -90,7 +90,7 @@ def significant(sample: DataFrame, most: int, z: float) -> list[bytes]:
 
 def fit_nonnegative_pu(
     rows: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int, positive: np.ndarray, prior: float,
-    rounds: int = 1_000, rate: float = 0.1, l2: float = 1e-4,
+    rounds: int = 3_000, rate: float = 0.1, l2: float = 1e-6,
 ) -> tuple[np.ndarray, float]:
     """Weights and intercept; (rows, cols) are the ones of a sparse 0/1 matrix of all unlabelled rows."""
     w, b = np.zeros(n_cols), float(np.log(prior / (1 - prior)))
