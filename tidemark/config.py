@@ -207,7 +207,7 @@ class ReplayConfig:
     ordering_version: str = "event-order-v1"
     strategy_version: str = RISK_POLICY_VERSION
     strategy: dict = field(default_factory=dict)
-    score_path_prefix: str = "/api/scores/historical/"
+    score_path_prefix: str = "scores/"
 
     @property
     def strategy_hash(self) -> str:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.config import camel, canonical_text
+from tidemark.config import canonical_text
 from tidemark.functions import canonical as cj
 
 
@@ -57,10 +57,19 @@ def event_conflicts(normalized: DataFrame) -> DataFrame:
     return key_conflicts(normalized.filter("event_key IS NOT NULL"), "event_key", "raw_key")
 
 
-_DECISION_TEXT = (
-    "decision_id", "action", "fixture_id", "market_id", "trigger_event_id", "previous_state", "next_state", "policy_version",
-    "policy_configuration_hash", "input_feature_hash",
-)
+# --- fixed values: names in the canonical decision payload ------------------------------
+_DECISION_TEXT = {
+    "action": "action",
+    "decisionId": "decision_id",
+    "fixtureId": "fixture_id",
+    "inputFeatureHash": "input_feature_hash",
+    "marketId": "market_id",
+    "nextState": "next_state",
+    "policyConfigurationHash": "policy_configuration_hash",
+    "policyVersion": "policy_version",
+    "previousState": "previous_state",
+    "triggerEventId": "trigger_event_id",
+}
 _METRIC_JSON = {
     "activeShockRemainingMs": "active_shock_remaining_ms",
     "freshBookmakerCount": "fresh_bookmaker_count",
@@ -76,11 +85,12 @@ _METRIC_JSON = {
     "staleBookmakerFractionPpm": "stale_bookmaker_fraction_ppm",
     "unreactedBookmakerCount": "unreacted_bookmaker_count",
 }
+# ----------------------------------------------------------------------------------------
 
 
 def decision_json(thresholds: str) -> str:
     """Canonical JSON of a decision row; ``thresholds`` is an expression giving the policy's JSON."""
-    fields = {camel(c): cj.text(c) for c in _DECISION_TEXT}
+    fields = {name: cj.text(c) for name, c in _DECISION_TEXT.items()}
     fields["idempotencyKey"] = cj.text("idempotency_key")
     fields["expectedStateVersion"] = cj.scalar("expected_state_version")
     fields["logicalTimestampMs"] = cj.scalar("logical_timestamp_ms")

@@ -178,6 +178,7 @@ _ODDS_OUTCOMES = f"""transform({_NAMES}, (x, i) -> named_struct('name', {_NAME},
 
 # --- score ------------------------------------------------------------------------
 
+# fixed values: field names of the feed, here and in the lists of checks
 _DETAIL_FIELDS = (
     ("Action", "text"),
     ("Goal", "bool"),
@@ -203,6 +204,7 @@ def _member(name: str) -> str:
     return f"({_integer_of(value)})"
 
 
+# fixed values: flags of possible events in the feed
 _PARTY = (("Corner", "bool"), ("Goal", "bool"), ("Penalty", "bool"))
 _NEUTRAL = (("RedCard", "bool"), ("VAR", "bool"), ("YellowCard", "bool"))
 _STAT_OK = " OR ".join(
@@ -398,8 +400,8 @@ def normalize(raw: DataFrame, labels: FeedLabels = FeedLabels(), now_ms: int = 0
                     WHEN v IS NULL OR size(kind_issues) > 0 THEN '{QUARANTINE_CODES[2]}' END"""
             ),
             "quarantine_issues": F.expr(
-                f"""CASE WHEN NOT {supported} THEN array(concat('Unsupported payload version: ', ver))
-                    WHEN NOT {kinds} THEN array(concat('Unknown payload kind: ', payload_kind))
+                f"""CASE WHEN NOT {supported} THEN array(concat('payload_version: not supported: ', ver))
+                    WHEN NOT {kinds} THEN array(concat('payload_kind: not known: ', payload_kind))
                     WHEN v IS NULL THEN array('payload: expected object')
                     WHEN size(kind_issues) > 0 THEN kind_issues END"""
             ),

@@ -39,6 +39,7 @@ FEATURE_FIELDS = (
     "stale_ppm",
     "unreacted_count",
 )
+# fixed values: names of the features in the hashed payload, in the order of FEATURE_FIELDS
 _FEATURE_JSON = (
     "consensusStatus",
     "freshBookmakerCount",
