@@ -358,13 +358,18 @@ def consensus_trace(events: DataFrame, config: ConsensusConfig) -> DataFrame:
     return observations.unionByName(repeated)
 
 
-def consensus_at(quotes: DataFrame, at_ms: int, config: ConsensusConfig) -> DataFrame:
+def consensus_at(quotes: DataFrame, at_ms: int, config: ConsensusConfig, ignore_later: bool = False) -> DataFrame:
     """Point-in-time consensus of every market over the latest quote per bookmaker at ``at_ms``.
 
-    Later quotes take no part; a market whose every quote is later has no row.  Only the
-    latest quotes are normalized.
+    A bookmaker that quoted only later is reported as `future_quote`, or left out with
+    ``ignore_later``; then a market whose every quote is later has no row.  Only the chosen
+    quotes are normalized.
     """
-    known = latest_by_bookmaker(quotes.filter(F.col("observed_at_ms") <= at_ms))
+    on_time = F.col("observed_at_ms") <= at_ms
+    asked = quotes.filter(on_time) if ignore_later else quotes
+    columns = [c for c in quotes.columns if c not in ("market_id", "bookmaker_id")]
+    newest = F.max_by(F.struct(*columns), F.struct(on_time, "observed_at_ms", "event_id")).alias("q")
+    known = asked.groupBy("market_id", "bookmaker_id").agg(newest).select("market_id", "bookmaker_id", "q.*")
     latest = normalize_vectors(known).select("market_id", *_latest_columns())
     grouped = latest.groupBy("market_id").agg(F.collect_list(_quote_struct()).alias("latest"))
     return finish_snapshots(assemble_snapshots(grouped.withColumn("t", F.lit(at_ms).cast("long")), config), config)

@@ -107,7 +107,7 @@ class FeedTables:
 
     @cached_property
     def snapshot(self) -> DataFrame:
-        return con.consensus_at(self.quotes, MID_MS, feed.CONSENSUS)
+        return con.consensus_at(self.quotes, MID_MS, feed.CONSENSUS, ignore_later=True)
 
     @cached_property
     def signals(self) -> DataFrame:
