@@ -118,7 +118,7 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & fine & F.exists(vector, lambda x: x != 0)
 
 
-def index(vectors: DataFrame, k: int = 5, shard_rows: int = 4096, degree: int = 24, beam: int = 48, relax: float = 1.2) -> DataFrame:
+def index(vectors: DataFrame, k: int = 5, shard_rows: int = 4096, degree: int = 32, beam: int = 64, relax: float = 1.2) -> DataFrame:
     """The staged graphs of ``vectors`` (vec_id, embedding): shard, node, ids, embedding, near, entry.
 
     Every usable vector is indexed.  Vectors of another length lie in shards of their own.
@@ -167,7 +167,7 @@ def _searched(k: int, beam: int):
     return searched
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = 128, block: int = 4096) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = 256, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every usable row of ``queries``.
 
     Queries go to every shard of their length in blocks of about ``block``, so a task holds one
