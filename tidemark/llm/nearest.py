@@ -167,7 +167,7 @@ def _searched(k: int, beam: int):
     return searched
 
 
-def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = 256, block: int = 4096) -> DataFrame:
+def search(graphs: DataFrame, queries: DataFrame, k: int = 5, beam: int = 160, block: int = 4096) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found for every usable row of ``queries``.
 
     Queries go to every shard of their length in blocks of about ``block``, so a task holds one
