@@ -32,6 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe noembed noframes xmp".split())
 UNSEEN = frozenset("head script style title textarea noscript template iframe noembed noframes svg math canvas object audio video select option button map datalist".split())
+IN_HEAD = frozenset("base bgsound link meta title style script noscript template noframes basefont".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark nobr q rp rt ruby s samp "
     "small span strike strong sub sup time tt u var wbr".split()
@@ -57,6 +58,7 @@ _TAG = re.compile(
     r"|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>",
     re.S,
 )
+_NEXT = {n: re.compile(rf"<(/?){n}\b", re.I) for n in ("button", "select")}
 _SAID = re.compile(r"\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _TOKEN = re.compile(r"[A-Za-z]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -89,6 +91,7 @@ def parse(html: str | None) -> Page:
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block, inline ones too
     held: list[str] = []
     hidden, in_link, at, text = 0, 0, 0, html or ""
+    loose = ""  # the open button or select without an end tag of its own
 
     def flush() -> None:
         if held:
@@ -98,6 +101,8 @@ def parse(html: str | None) -> Page:
                 page.runs.append((stack[-1][1], run))
 
     def put(part: str) -> None:
+        if part and stack[-1][0] == "head" and not part.isspace():
+            close(len(stack) - 1)
         if part and not hidden:
             held.append(part)
             if in_link and not part.isspace():
@@ -143,6 +148,15 @@ def parse(html: str | None) -> Page:
                 elif not any(n not in INLINE for n, _ in stack[k + 1 :]):
                     close(k)
             continue
+        # Optional end tags: a head ends where something else begins, as do options and controls that nothing closes.
+        if stack[-1][0] == "head" and name not in IN_HEAD:
+            close(len(stack) - 1)
+        if name not in INLINE and name not in VOID and name not in RAW and (k := find(("option",), ("select", "datalist"))):
+            close(k)
+        if loose and (name in ("input", "textarea", "button", "select") or not (name in INLINE or name in VOID or name in RAW or name in ("option", "optgroup"))):
+            if k := find((loose,), ()):
+                close(k)
+            loose = ""
         if name in VOID:
             if name in ("br", "hr", "img"):
                 put(" " if name != "img" else "")
@@ -157,8 +171,11 @@ def parse(html: str | None) -> Page:
             close(k)
         elif name in CLOSED_BY_ITSELF and (k := find(CLOSED_BY_ITSELF[name], OUTER[name])):
             close(k)
-        if name == "html":
+        if name == "html" or (name == "head" and len(stack) > 1):
             continue
+        if name in _NEXT:
+            end = _NEXT[name].search(text, at)
+            loose = "" if end and end.group(1) else name
         block = stack[-1][1]
         if name not in INLINE:
             flush()
