@@ -90,13 +90,14 @@ def rates_after(posterior: np.ndarray, steps: np.ndarray) -> np.ndarray:
     return r
 
 
-def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, rounds: int = 40, tolerance: float = 1e-4):
+def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, rounds: int = 40, tolerance: float = 1e-4, traces: tuple[str, ...] = ()):
     """The steps (one coefficient a domain each) and the totals they reach.
 
     ``members``: tokens and p_<domain> of all documents.  The target of a domain is its weight
     times ``budget`` times all tokens.  Each residual is divided by the domain's own tokens, so
     small domains converge like large ones; a domain without tokens cannot be reached and is
-    left out.
+    left out.  The target of a domain in ``traces`` is no more than what it holds at rate
+    one; the other domains get the rest by their weights.
     """
     names = [f"p_{d}" for d in DOMAINS]
     share = np.array([weights[d] for d in DOMAINS], dtype=np.float64)
@@ -117,6 +118,9 @@ def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, ro
         totals = np.array([row[c] for c in names])
         if available is None:
             available, target = totals, share * budget * row["tokens"]
+            trace = np.array([d in traces for d in DOMAINS])
+            spare = np.where(trace, np.maximum(target - available, 0.0), 0.0)
+            target = target - spare + np.where(trace, 0.0, share) / max(share[~trace].sum(), 1e-12) * spare.sum()
         reach = available > 1e-9
         error = np.where(reach, (totals - target) / np.where(reach, available, 1.0), 0.0)
         if number == rounds or np.abs(totals - target)[reach].max(initial=0.0) <= tolerance * max(row["tokens"], 1.0):
@@ -127,6 +131,7 @@ def solve(members: DataFrame, weights: dict[str, float], budget: float = 1.0, ro
 
 # Low-quality and toxic text may stay as a trace; clean text fills the rest.
 WEIGHTS = {"clean": 0.96, "low_quality": 0.03, "toxic": 0.01}
+TRACES = ("low_quality", "toxic")
 
 
 def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, **fitting) -> DataFrame:
@@ -140,10 +145,15 @@ def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | N
     members = staged(
         documents.select("doc_id", F.xxhash64("doc_id", "text").alias("draw"), model.column().alias("m")).select("doc_id", "draw", "m.*")
     )
-    steps, _, _ = solve(members, weights or WEIGHTS, budget)
+    steps, _, _ = _solved(members, weights, budget)
     return members.withColumn("rate", _rate(steps)).withColumn("copies", _copies()).drop("draw")
 
 
+def _solved(members: DataFrame, weights: dict[str, float] | None, budget: float):
+    """``solve``; with the weights of this module scarce traces are not multiplied at the cost of clean text."""
+    return solve(members, weights or WEIGHTS, budget, traces=() if weights else TRACES)
+
+
 def _rate(steps: np.ndarray) -> Column:
     def rate(*columns: pd.Series) -> pd.Series:
         p = np.column_stack([c.to_numpy() for c in columns]) if len(columns[0]) else np.zeros((0, len(DOMAINS)))
@@ -158,10 +168,19 @@ def _copies() -> Column:
 
 
 def sampled(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, **fitting) -> DataFrame:
-    """The documents drawn at least once, whole rows with ``rate`` and ``copies``."""
+    """The documents drawn at least once, whole rows with ``rate`` and ``copies``.
+
+    With the weights of this module and a budget of one or more, every document that is most
+    likely clean stays: it has one copy at least, also where its posterior is mixed and its rate
+    below one.
+    """
     model = fit_domains(documents, labels, **fitting)
     members = staged(documents.select(model.column().alias("m")).select("m.*"))
-    steps, _, _ = solve(members, weights or WEIGHTS, budget)
+    steps, _, _ = _solved(members, weights, budget)
     out = documents.withColumn("draw", F.xxhash64("doc_id", "text")).withColumn("m", model.column())
-    out = out.select(*documents.columns, "draw", "m.*").withColumn("rate", _rate(steps)).withColumn("copies", _copies())
+    out = out.select(*documents.columns, "draw", "m.*").withColumn("rate", _rate(steps))
+    out = out.withColumn("copies", _copies())
+    if weights is None and budget >= 1:
+        clean = F.col("p_clean") >= F.greatest("p_low_quality", "p_toxic")
+        out = out.withColumn("copies", F.when(clean, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
     return out.where("copies > 0").select(*documents.columns, "rate", "copies")
