@@ -76,5 +76,47 @@ FROM documents LEFT JOIN listed USING (doc_id)
 """
 
 
+OP11 = r"""
+WITH doc AS (
+    SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+        regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), marked AS (
+    SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic
+    FROM labels GROUP BY doc_id
+), masks AS (
+    SELECT part, (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END)
+        + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+        + (CASE WHEN 100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 2 * length(t) THEN 4 ELSE 0 END)
+        + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+        + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask,
+        coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+    FROM doc LEFT JOIN marked USING (doc_id)
+), letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS name, unnest([1, 2, 4, 8, 16]) AS bit),
+orders AS (
+    SELECT [a.name, b.name, c.name, d.name, e.name] AS names, [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits
+    FROM letters a, letters b, letters c, letters d, letters e
+    WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31
+        AND len(list_distinct([a.bit, b.bit, c.bit, d.bit, e.bit])) = 5
+), steps AS (
+    SELECT array_to_string(names, '') AS filter_order, CAST(k AS INTEGER) AS step, bits[k] AS bit,
+        coalesce(list_sum(bits[1 : k - 1]), 0)::INTEGER AS earlier
+    FROM orders, unnest([1, 2, 3, 4, 5]) AS u(k)
+), counted AS (
+    SELECT part, filter_order, step, bit,
+        count(*) FILTER (mask & (earlier | bit) = 0) AS kept,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit > 0) AS removed,
+        count(*) FILTER (mask & earlier > 0 AND mask & bit > 0) AS redundant,
+        count(*) FILTER (mask = bit) AS unique_fails,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit > 0 AND good) AS good_lost,
+        count(*) FILTER (mask & earlier = 0 AND mask & bit > 0 AND toxic) AS toxic_lost
+    FROM masks, steps GROUP BY part, filter_order, step, bit
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+    CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley
+FROM counted
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op7_secret_scan": _op7(), "op9_benchmark_contamination": OP9}
+    return {"op7_secret_scan": _op7(), "op9_benchmark_contamination": OP9, "op11_filter_audit": OP11}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.llm import (
     decontaminate,
+    filter_audit,
     html_text,
     mixing,
     nearest,
@@ -98,6 +99,10 @@ def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.search(nearest.index(vectors), vectors.where("vec_id % 50 = 0"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
@@ -110,4 +115,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_personal_data": op8_personal_data,
         "op9_benchmark_contamination": op9_benchmark_contamination,
         "op10_nearest_neighbours": op10_nearest_neighbours,
+        "op11_filter_audit": op11_filter_audit,
     }
