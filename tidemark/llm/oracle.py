@@ -118,5 +118,56 @@ FROM counted
 """
 
 
+OP12 = """
+WITH given AS (
+    SELECT conv_id, coalesce(role, '') || sha256(coalesce(text, '')) AS key, strlen(coalesce(text, '')) AS size,
+        row_number() OVER (
+            PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(coalesce(text, ''))
+        ) AS k
+    FROM conversations WHERE conv_id IS NOT NULL
+), bytes AS (
+    SELECT conv_id, list_concat([4294967295], flatten(list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+        lambda c: [CAST(ascii(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))) AS items
+    FROM given GROUP BY conv_id
+), conv AS (
+    SELECT conv_id, xor(list_reduce(items, lambda c, x:
+        xor(xor(c, x) >> 1, CASE WHEN xor(c, x) & 1 = 1 THEN 3988292384 ELSE 0 END)), 4294967295) % 9 AS h
+    FROM bytes
+), joined AS (
+    SELECT conv.conv_id, 0 AS part, k, key, size FROM conv JOIN given ON given.conv_id = conv.conv_id - conv.conv_id % 5 AND k <= h
+    UNION ALL
+    SELECT conv.conv_id, 1, k, key, size FROM conv JOIN given ON given.conv_id = conv.conv_id AND k > h
+), said AS (
+    SELECT conv_id, size, row_number() OVER (PARTITION BY conv_id ORDER BY part, k) AS depth,
+        sha256(string_agg(key, '/') OVER (PARTITION BY conv_id ORDER BY part, k)) AS path
+    FROM joined
+), member AS (SELECT conv_id, depth, path, size FROM said UNION ALL SELECT conv_id, 0, '', 0 FROM conv),
+node AS (
+    SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * min(size) AS saved FROM member GROUP BY ALL
+), linked AS (
+    SELECT node.*, above.path AS above FROM node
+    LEFT JOIN member AS above ON above.conv_id = node.conv_id AND above.depth = node.depth - 1
+), children AS (SELECT above AS path, count(*) AS n_children FROM linked GROUP BY above),
+below AS (
+    SELECT member.path, count(*) FILTER (n_children IS NULL) AS n_leaves, sum(saved) AS saved_tokens
+    FROM node LEFT JOIN children USING (path) JOIN member ON member.conv_id = node.conv_id AND member.depth <= node.depth
+    GROUP BY member.path
+), ending AS (
+    SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends_sha256
+    FROM (SELECT conv_id, arg_max(path, depth) AS path FROM member GROUP BY conv_id) GROUP BY path
+)
+SELECT linked.conv_id, linked.depth, up.conv_id AS parent_conv_id, linked.n_convs, coalesce(n_children, 0) AS n_children,
+    n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, coalesce(ends_sha256, sha256('')) AS ends_sha256
+FROM linked LEFT JOIN node AS up ON up.path = linked.above
+LEFT JOIN children ON children.path = linked.path
+JOIN below ON below.path = linked.path LEFT JOIN ending ON ending.path = linked.path
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op7_secret_scan": _op7(), "op9_benchmark_contamination": OP9, "op11_filter_audit": OP11}
+    return {
+        "op7_secret_scan": _op7(),
+        "op9_benchmark_contamination": OP9,
+        "op11_filter_audit": OP11,
+        "op12_prefix_trie": OP12,
+    }

@@ -14,6 +14,7 @@ from tidemark.llm import (
     mixing,
     nearest,
     pii,
+    prefix_trie,
     pseudo_likelihood,
     quality,
     secret_scan,
@@ -103,6 +104,10 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
@@ -116,4 +121,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_benchmark_contamination": op9_benchmark_contamination,
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_filter_audit": op11_filter_audit,
+        "op12_prefix_trie": op12_prefix_trie,
     }
