@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import (
+    byte_bpe,
     decontaminate,
     filter_audit,
     html_text,
@@ -108,6 +109,19 @@ def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(prefix_trie.rebuilt(table(spark, sf_dir, "conversations")))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    found = byte_bpe.byte_bpe(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
+    return found.select(
+        "doc_id",
+        (F.octet_length("token_ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("token_ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_soft_mixing": op1_soft_mixing,
@@ -122,4 +136,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_nearest_neighbours": op10_nearest_neighbours,
         "op11_filter_audit": op11_filter_audit,
         "op12_prefix_trie": op12_prefix_trie,
+        "op13_byte_bpe": op13_byte_bpe,
     }
