@@ -8,6 +8,7 @@ segments with a known entry state, so the segments of one market fold in paralle
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import asdict
 
 from pyspark import cloudpickle
@@ -353,16 +354,23 @@ def decide(
     arranged = flat.repartition("seg_key").sortWithinPartitions("seg_key", "ord")
     schema = T.StructType(arranged.schema.fields + T.StructType.fromDDL(automaton.STATE_DDL).fields)
     folded = arranged.mapInArrow(automaton.fold_partition, schema)
-    return _decision_rows(folded, policy_version)
+    return decision_rows(folded, policy_version)
 
 
-def fold_inputs(inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status: str = "unavailable") -> DataFrame:
-    """Stateless half of the fold for the streaming processor, one row per input and policy."""
+def fold_inputs(
+    inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status: str = "unavailable", carry: Sequence[str] = ()
+) -> DataFrame:
+    """Stateless half of the fold for the streaming processors, one row per input and policy.
+
+    ``pause_reasons`` and ``widen_reasons`` lack only the hold that the fold itself keeps.
+    ``carry`` names further input columns to keep.
+    """
     variants = F.array(*[policy_struct(policy, label) for label, policy in policies.items()])
     rows = inputs.withColumns({"policy": F.explode(variants), "proof_status": F.lit(proof_status)})
     s, p = F.col("signal"), F.col("policy")
     pause, widen = market_reasons(F.col("features"), p, F.col("proof_status"))
     is_pause = F.coalesce(s["protective_action"] == "pause", F.lit(False))
+    own = lambda action: F.array_compact(F.array(F.when(s["protective_action"] == action, s["reason_code"])))
     return rows.select(
         "market_id",
         p["policy_id"].alias("policy_id"),
@@ -376,11 +384,22 @@ def fold_inputs(inputs: DataFrame, policies: dict[str, RiskPolicy], proof_status
         (F.size(pause) > 0).alias("market_pause"),
         ((F.size(widen) > 0) | F.coalesce(s["protective_action"] == "widen", F.lit(False))).alias("widen"),
         recovery_healthy(F.col("features"), p, F.col("proof_status")).alias("healthy"),
+        "fixture_id",
+        "kind",
+        "chunk",
+        "signal",
+        "features",
+        "proof_status",
+        F.concat(own("pause"), pause).alias("pause_reasons"),
+        F.concat(own("widen"), widen).alias("widen_reasons"),
+        p["configuration_hash"].alias("policy_configuration_hash"),
+        *carry,
         *[p[n].alias(n) for n in ("critical_shock_hold_ms", "reversal_shock_hold_ms", *automaton.FOLD_LIMITS)],
     )
 
 
-def _decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
+def decision_rows(folded: DataFrame, policy_version: str) -> DataFrame:
+    """Folded inputs as decisions: ordered reason codes, metrics, feature hash and ids."""
     s, f = F.col("signal"), F.col("features")
     normal = F.struct(*[F.lit(v).alias(n) for v, n in zip(NORMAL, SIGNAL_FIELDS)])
     is_score = F.col("kind") == "score.observed"

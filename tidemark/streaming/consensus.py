@@ -109,7 +109,7 @@ SNAPSHOT_DDL = (
     "status STRING, t BIGINT, base_outcomes ARRAY<STRUCT<outcome_id: STRING, name: STRING, probability_micros: BIGINT, "
     "dispersion_micros: BIGINT>>"
 )
-_BODY_DDL = (
+BODY_DDL = (
     SNAPSHOT_DDL + ", fresh_bookmaker_count INT, valid_bookmaker_count INT, stale_bookmaker_count INT, total_bookmaker_count INT, "
     "stale_ppm BIGINT, freshest_age_ms BIGINT, oldest_fresh_age_ms BIGINT, "
     "diagnostics ARRAY<STRUCT<code: STRING, bookmaker_id: STRING, event_id: STRING>>, quote_event_ids ARRAY<STRING>"
@@ -131,7 +131,7 @@ def consensus_stream(events: DataFrame, config: ConsensusConfig) -> DataFrame:
         timeMode="None",
     )
     opened = chained.select(
-        "market_id", "event_id", "superseded", F.from_json("snapshot", _BODY_DDL).alias("s"),
+        "market_id", "event_id", "superseded", F.from_json("snapshot", BODY_DDL).alias("s"),
         F.from_json("previous", SNAPSHOT_DDL).alias("previous"),
     ).select("market_id", "event_id", "superseded", "s.*", "previous")
     return finish_snapshots(opened, config, "previous").drop("previous")
