@@ -58,6 +58,8 @@ def test_merges_against_a_plain_list():
         for _ in range(40):
             piece = bytes(rng.choice(b"abcdef") for _ in range(rng.randrange(1, 40)))
             assert own.merged(piece) == plain(own.ranks, piece)
+        pieces = [bytes(rng.choice(b"abcdef") for _ in range(rng.randrange(2, 33))) for _ in range(60)]
+        assert [array("I", ids).tolist() for ids in own.merged_rows(pieces, 32)] == [plain(own.ranks, p) for p in pieces]
     with pytest.raises(ValueError, match="single byte"):
         Encoder(base64.b64encode(b"ab") + b" 0", PATTERN)
 

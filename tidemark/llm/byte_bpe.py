@@ -3,7 +3,8 @@
 The tree's leaf at a byte position holds the rank of merging the token that starts there with its
 right neighbour; its root is the least rank, the leftmost of equal ones.  A merge takes the root,
 joins the two tokens and updates three leaves, those of the token, of its left neighbour and
-of the one that is gone, each on its way up: n bytes cost n log n, however long the piece.
+of the one that is gone, each on its way up: n bytes cost n log n, however long the piece.  Short
+pieces, nearly all of a text, get their trees as rows of one numpy array and merge side by side.
 Vocabulary and pattern are parameters; nothing is trained here.
 """
 
@@ -12,8 +13,10 @@ from __future__ import annotations
 import base64
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
+from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -23,7 +26,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _NEVER = 1 << 62
 _CACHED = 250_000  # short pieces in either half of a worker's cache
-_SHORT = 64
+_SHORT = 64  # bytes of a piece that merges in an array
+_GROUP = 1 << 20  # characters whose new pieces merge together
 _CODED = "token_ids binary, decoded binary"
 
 
@@ -43,6 +47,16 @@ class Encoder:
 
         self.ranks = ranks_of(lines)
         self.longest = max(map(len, self.ranks))
+        get = self.ranks.get
+        splits = [
+            ((left << 32) | right, rank)
+            for token, rank in self.ranks.items()
+            for k in range(1, len(token))
+            if (left := get(token[:k])) is not None and (right := get(token[k:])) is not None
+        ]
+        table = np.array(sorted(splits), dtype=np.int64).reshape(-1, 2)
+        self.pairs, self.joined = np.append(table[:, 0], _NEVER), np.append(table[:, 1], _NEVER)
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int64)
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.cache: dict[str, bytes] = {}
@@ -100,33 +114,115 @@ class Encoder:
             at = after[at]
         return ids
 
-    def piece(self, piece: str) -> bytes:
-        """The packed ids of one piece; a piece that is a token is that token."""
-        raw = piece.encode("utf-8", "replace")
-        rank = self.ranks.get(raw)
-        packed = packed_ids([rank] if rank is not None else self.merged(raw))
-        if len(piece) <= _SHORT:
-            self.cache[piece] = packed
-            if len(self.cache) >= _CACHED:
-                self.cache, self.earlier = {}, self.cache
-        return packed
-
-    def known(self, piece: str) -> bytes:
-        """The packed ids of a piece that the newer half of the cache does not hold."""
-        packed = self.earlier.get(piece)
-        if packed is None:
-            return self.piece(piece)
-        self.cache[piece] = packed
-        return packed
+    def _pair(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of merging tokens ``left`` and ``right``."""
+        key = (left << 32) | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.joined[at], _NEVER)
+
+    def merged_rows(self, pieces: list[bytes], width: int) -> list[bytes]:
+        """The packed ids of pieces of 2 to ``width`` bytes, a power of two; a row of ``tree`` each."""
+        length = np.array([len(p) for p in pieces])
+        places = np.arange(width)
+        text = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(-1, width)
+        token = np.where(places < length[:, None], self.bytes[text], -1)
+        after = np.tile(places + 1, (len(pieces), 1))
+        before = np.tile(places - 1, (len(pieces), 1))
+        tree = np.full((len(pieces), 2 * width), _NEVER, dtype=np.int64)
+        row, at = np.nonzero(places[1:] < length[:, None])
+        rank = self._pair(token[row, at], token[row, at + 1])
+        tree[row, width + at] = np.where(rank < _NEVER, rank * width + at, _NEVER)
+        level = width
+        while level > 1:
+            level //= 2
+            tree[:, level : 2 * level] = np.minimum(tree[:, 2 * level : 4 * level : 2], tree[:, 2 * level + 1 : 4 * level : 2])
+        row = np.flatnonzero(tree[:, 1] < _NEVER)
+        while len(row):
+            least = tree[row, 1]
+            at = least % width
+            gone = after[row, at]
+            end = after[row, gone]
+            token[row, at], token[row, gone] = least // width, -1
+            after[row, at] = end
+            more = end < length[row]
+            before[row[more], end[more]] = at[more]
+            tree[row, width + gone] = _NEVER
+            tree[row[~more], width + at[~more]] = _NEVER
+            left = before[row, at]
+            has = left >= 0
+            # the token itself where it has a right neighbour, and its left neighbour
+            which = np.concatenate([row[more], row[has]])
+            where = np.concatenate([at[more], left[has]])
+            right = np.concatenate([end[more], at[has]])
+            rank = self._pair(token[which, where], token[which, right])
+            tree[which, width + where] = np.where(rank < _NEVER, rank * width + where, _NEVER)
+            which = np.concatenate([row, row, row[has]])
+            up = np.concatenate([at, gone, left[has]]) + width
+            for _ in range(width.bit_length() - 1):
+                up >>= 1
+                tree[which, up] = np.minimum(tree[which, 2 * up], tree[which, 2 * up + 1])
+            row = row[tree[row, 1] < _NEVER]
+        live = token >= 0
+        packed = token[live].astype("<u4").tobytes()
+        ends = (4 * np.cumsum(live.sum(axis=1))).tolist()
+        return [packed[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+
+    def learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The packed ids of new pieces; a piece that is a token is that token."""
+        found, classes = {}, {}
+        for piece in pieces:
+            raw = piece.encode("utf-8", "replace")
+            rank = self.ranks.get(raw)
+            if rank is not None:
+                found[piece] = packed_ids([rank])
+            elif len(raw) > _SHORT:
+                found[piece] = packed_ids(self.merged(raw))
+            else:
+                classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append((piece, raw))
+        for width, members in classes.items():
+            names, raws = zip(*members, strict=True)
+            found.update(zip(names, self.merged_rows(list(raws), width), strict=True))
+        return found
+
+    def _packed(self, texts: list[list[str]]) -> list[bytes]:
+        """The packed ids of texts that are cut into pieces."""
+        cache, earlier = self.cache, self.earlier
+        known, new = {}, set()
+        for piece in set().union(*texts):
+            ids = cache.get(piece) or earlier.get(piece)
+            if ids is None:
+                new.add(piece)
+            else:
+                known[piece] = ids
+        known |= self.learn(new)
+        cache.update((p, ids) for p, ids in known.items() if len(p) <= _SHORT)
+        if len(cache) >= _CACHED:
+            self.cache, self.earlier = {}, cache
+        return [b"".join(map(known.__getitem__, pieces)) for pieces in texts]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of every text as little-endian unsigned 32-bit integers."""
+        out: list[bytes] = []
+        group: list[list[str]] = []
+        held = 0
+        for text in texts:
+            text = text or ""
+            if held + len(text) > _GROUP:
+                out += self._packed(group)
+                group, held = [], 0
+            if len(text) <= _GROUP:
+                group.append(self.pattern.findall(text))
+                held += len(text)
+            else:
+                found = self.pattern.finditer(text)
+                parts = []
+                while pieces := [m.group() for m in islice(found, 100_000)]:
+                    parts += self._packed([pieces])
+                out.append(b"".join(parts))
+        return out + self._packed(group)
 
     def encode(self, text: str | None) -> bytes:
-        """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        long = len(text) > 1 << 20
-        pieces: Iterable[str] = (m.group() for m in self.pattern.finditer(text)) if long else self.pattern.findall(text)
-        known = self.known
-        return b"".join([self.cache.get(p) or known(p) for p in pieces])
+        return self.encode_all([text])[0]
 
     def decode(self, packed: bytes | None) -> bytes:
         """The bytes that packed ids stand for."""
@@ -143,22 +239,21 @@ def packed_ids(ids: list[int]) -> bytes:
     return out.tobytes()
 
 
-def _lines(vocabulary: str) -> bytes:
+def _encoder(vocabulary: str, pattern: str) -> Encoder:
     with open(vocabulary, "rb") as file:
-        return file.read()
+        return Encoder(file.read(), pattern)
 
 
 def encoded(text: Column, vocabulary: str, pattern: str) -> Column:
     """``text`` as a struct of ``token_ids`` (packed ids) and ``decoded``, the bytes these decode to.
 
-    ``vocabulary`` is a file on the driver; its lines travel with the tasks.
+    ``vocabulary`` is a file on the driver; the tables made of it, a few MB, travel with the tasks.
     """
-    lines = _lines(vocabulary)
+    encoder = _encoder(vocabulary, pattern)
 
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(lines, pattern)
         for texts in batches:
-            ids = [encoder.encode(t) for t in texts]
+            ids = encoder.encode_all(texts.tolist())
             yield pd.DataFrame({"token_ids": ids, "decoded": [encoder.decode(i) for i in ids]})
 
     return F.pandas_udf(coded, _CODED)(text)
@@ -166,10 +261,9 @@ def encoded(text: Column, vocabulary: str, pattern: str) -> Column:
 
 def decoded(token_ids: Column, vocabulary: str, pattern: str) -> Column:
     """The text of packed ids; bytes that are no UTF-8 become the replacement character."""
-    lines = _lines(vocabulary)
+    encoder = _encoder(vocabulary, pattern)
 
     def texts(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(lines, pattern)
         for batch in batches:
             yield pd.Series([encoder.decode(i).decode("utf-8", "replace") for i in batch], dtype=object)
 
