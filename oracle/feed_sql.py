@@ -175,6 +175,14 @@ _WIDENS = """list_filter([
 _HEALTHY = """coalesce(status = 'ready' AND fresh_books >= 1 AND oldest <= 79000000 AND ppm <= 650000
         AND coalesce(vel, 0) <= 12 AND coalesce(mad, 0) <= 55000, false)"""
 CTES["judged"] = f"SELECT *, {_PAUSES} AS pr, {_WIDENS} AS wr, {_HEALTHY} AS healthy FROM inp"
+_snapshots("SELECT event_id AS trig, market_id, t AS tt FROM inp WHERE kind = 'score.observed'", "e_")
+CTES["e_snap"] = f"""SELECT h.*, CASE WHEN h.valid_books >= {MIN_BOOKS} THEN 'ready' ELSE 'insufficient' END AS status,
+    (2 * h.stale_books * 1000000 + h.total_books) // (2 * h.total_books) AS ppm, s.trig AS prev_trig, s.tt AS prev_t
+    FROM e_head h ASOF LEFT JOIN t_snap s ON s.market_id = h.market_id AND h.tt >= s.tt"""
+CTES["e_out"] = CTES["e_out"].replace("LEFT JOIN e_out0 b", "LEFT JOIN t_out0 b")
+CTES["einp"] = """SELECT i.* REPLACE (e.status AS status, e.fresh_books AS fresh_books, e.oldest AS oldest, e.ppm AS ppm, e.vel AS vel, e.mad AS mad)
+    FROM inp i JOIN (SELECT * FROM e_feat UNION ALL SELECT * FROM t_feat) e ON e.trig = i.event_id"""
+CTES["ejudged"] = f"SELECT *, {_PAUSES} AS pr, {_WIDENS} AS wr, {_HEALTHY} AS healthy FROM einp"
 CTES["pol"] = " UNION ALL ".join(
     f"SELECT '{n}' AS policy_id, {6_912_000 if n == 'short_hold' else 13_824_000} AS hold, {4 if n == 'slow_reopen' else 2} AS need, "
     f"sha256('{j}') AS chash" for n, j in POLICY_JSON.items()
@@ -231,6 +239,8 @@ def _reasoned(name: str) -> str:
 
 
 CTES["decr"] = _reasoned("dec")
+_fold_tables("ejudged", "aged")
+CTES["agedr"] = _reasoned("aged")
 CTES["base"] = "SELECT * FROM decr WHERE policy_id = 'base'"
 CTES["half"] = f"SELECT * FROM base WHERE t < {MID_MS}"
 CTES["halfstate"] = "SELECT market_id, arg_max(struct_pack(s1, c1, n1, h1, v0, t), v0) AS z FROM half GROUP BY market_id"
@@ -406,6 +416,9 @@ FINAL: dict[str, str] = {
     "threshold_reasons": f"""SELECT trig AS event_id, array_to_string({_PAUSES}, ',') AS pause_reasons, array_to_string({_WIDENS}, ',') AS widen_reasons,
         CAST({_HEALTHY} AS INTEGER) AS healthy FROM t_feat""",
     "attributed_events": "SELECT event_id, market_id, kind, oldest AS oldest_fresh_age_ms FROM inp",
+    "event_time_features": """SELECT event_id, market_id, kind, status AS consensus_status, fresh_books AS fresh_bookmaker_count, vel AS max_abs_velocity,
+        mad AS max_dispersion, oldest AS oldest_fresh_age_ms, ppm AS stale_ppm FROM einp""",
+    "event_time_decisions": f"SELECT {_DEC} FROM agedr WHERE policy_id = 'base'",
     "risk_decisions": f"SELECT {_DEC} FROM base",
     "resumed_decisions": f"SELECT {_DEC} FROM resr WHERE policy_id = 'base'",
     "policy_sweep_decisions": "SELECT policy_id, market_id, s0 AS previous_state, s1 AS next_state, count(*) AS decisions FROM dec GROUP BY ALL",

@@ -269,11 +269,13 @@ def finish_snapshots(df: DataFrame, config: ConsensusConfig, previous: str | Non
     return full.withColumn("consensus_id", F.expr(cj.short_id("cns_", identity))).drop("prev_t", "prev", "base_outcomes")
 
 
-def _current_quotes(quotes: DataFrame, config: ConsensusConfig) -> DataFrame:
+def _current_quotes(quotes: DataFrame, config: ConsensusConfig, probes: DataFrame | None = None) -> DataFrame:
     """For every quote (trigger) the current quote of each bookmaker of its market.
 
     Work is keyed by (market, chunk): the last quote of each bookmaker before the chunk
-    is carried in, so no task ever holds the whole history of a market.
+    is carried in, so no task ever holds the whole history of a market.  With ``probes``
+    (market_id, event_id, fixture_id, ord, t) these are the triggers instead, and only chunks that
+    hold one are spread over bookmakers.
     """
     chunked = quotes.withColumn("chunk", chunk_of(F.col("observed_at_ms"), config.chunk_ms))
     # the one shuffle of the quotes: every later step is keyed by (market, chunk)
@@ -293,6 +295,11 @@ def _current_quotes(quotes: DataFrame, config: ConsensusConfig) -> DataFrame:
     newest = F.max_by("quote", F.struct("quote.observed_at_ms", "quote.event_id")).alias("chunk_quote")
     per_chunk = q.groupBy("market_id", "bookmaker_id", "chunk").agg(newest)
     chunks = per_chunk.select("market_id", "chunk").distinct()
+    if probes is not None:
+        asked = probes.withColumn("chunk", chunk_of(F.col("t"), config.chunk_ms))
+        chunks = chunks.unionByName(asked.select("market_id", "chunk")).distinct()
+        wanted = asked.select("market_id", "chunk").distinct()
+        q = q.join(wanted, ["market_id", "chunk"], "left_semi").unionByName(asked, allowMissingColumns=True)
     books = per_chunk.select("market_id", "bookmaker_id").distinct()
     before = Window.partitionBy("market_id", "bookmaker_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     carried = (
@@ -305,11 +312,15 @@ def _current_quotes(quotes: DataFrame, config: ConsensusConfig) -> DataFrame:
             F.last("chunk_quote", ignorenulls=True).over(before).alias("carry"),
         )
     )
+    if probes is not None:
+        carried = carried.join(wanted, ["market_id", "chunk"], "left_semi")
     grid = q.join(carried, ["market_id", "chunk"]).withColumn(
         "own", F.when(F.col("bookmaker_id") == F.col("grid_bookmaker"), F.col("quote"))
     )
     so_far = Window.partitionBy("market_id", "chunk", "grid_bookmaker").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     current = grid.withColumn("current", F.greatest(F.max("own").over(so_far), F.col("carry")))
+    if probes is not None:
+        current = current.filter("bookmaker_id IS NULL")
     return current.groupBy("market_id", "chunk", "event_id").agg(
         F.first("fixture_id").alias("fixture_id"),
         F.first("ord").alias("ord"),
@@ -358,6 +369,33 @@ def consensus_trace(events: DataFrame, config: ConsensusConfig) -> DataFrame:
     return observations.unionByName(repeated)
 
 
+def probed_consensus(
+    quotes: DataFrame, trace: DataFrame, probes: DataFrame, config: ConsensusConfig
+) -> DataFrame:
+    """The consensus of a market at the moments of other events: a snapshot per probe.
+
+    ``probes``: (market_id, event_id, fixture_id, ord, t), unique per (market, event).  Each sees the
+    current quotes of all earlier events, aged to its own time; deltas are against the last
+    observation of ``trace`` (the result of `consensus_trace`) before it.
+    """
+    seen = assemble_snapshots(_current_quotes(quotes, config, probes), config).drop("superseded")
+    last = F.struct(
+        "status",
+        F.col("snapshot_t").alias("t"),
+        F.transform(
+            "outcomes", lambda o: F.struct(*[o[n].alias(n) for n in ("outcome_id", "name", "probability_micros", "dispersion_micros")])
+        ).alias("base_outcomes"),
+    )
+    marks = trace.filter("NOT superseded").select("market_id", "chunk", "ord", last.alias("seen"))
+    asked = seen.select("market_id", "chunk", "ord", "event_id").withColumn("seen", F.lit(None).cast(marks.schema["seen"].dataType))
+    before = running(
+        marks.withColumn("event_id", F.lit(None).cast("string")).unionByName(asked),
+        ["market_id"], "ord", "chunk", [Running("previous", "last", F.col("seen"), inclusive=False)],
+    ).filter("event_id IS NOT NULL")
+    chained = seen.join(before.select("market_id", "event_id", "previous"), ["market_id", "event_id"])
+    return finish_snapshots(chained, config, "previous").drop("previous")
+
+
 def consensus_at(quotes: DataFrame, at_ms: int, config: ConsensusConfig, ignore_later: bool = False) -> DataFrame:
     """Point-in-time consensus of every market over the latest quote per bookmaker at ``at_ms``.
 

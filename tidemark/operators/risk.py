@@ -22,6 +22,7 @@ from tidemark.functions.scans import Running, chunk_of, running
 from tidemark.functions.staging import stage
 from tidemark.operators import automaton
 from tidemark.operators.classify import NORMAL, SIGNAL_FIELDS, score_signal
+from tidemark.operators.consensus import probed_consensus, quote_vectors
 from tidemark.schemas import event_order
 
 # --- fixed values -------------------------------------------------------------------
@@ -150,14 +151,19 @@ def recovery_healthy(f: Column, p: Column, proof: Column) -> Column:
 
 
 def attribute(
-    events: DataFrame, trace: DataFrame, config: ConsensusConfig, fanout: str = "last_market"
+    events: DataFrame, trace: DataFrame, config: ConsensusConfig, fanout: str = "last_market", feature_time: str = "snapshot"
 ) -> DataFrame:
     """Give every event a market and the features it is judged by.
 
     An odds event belongs to its own market; any other event to the market of the most
     recent observation of its fixture, and is skipped while there is none.  With
     ``fanout='all_markets'`` such events go to every market of the fixture observed so far.
+
+    An event that observes nothing itself is judged by the last snapshot as it was, or with
+    ``feature_time='event'`` by the market's quotes as old as they are at the event's own time.
     """
+    if feature_time not in ("snapshot", "event"):
+        raise ValueError(f"unknown feature time {feature_time!r}")
     observed = trace.select("event_id", F.col("market_id").alias("obs_market"), snapshot_features().alias("obs_features"))
     signal = F.expr(f"CASE WHEN kind = 'score.observed' THEN {score_signal()} END")
     base = events.select(
@@ -188,9 +194,17 @@ def attribute(
         )
     else:
         raise ValueError(f"unknown fanout {fanout!r}")
-    return placed.select(
-        "market_id", "event_id", "fixture_id", "kind", "t", "ord", "chunk", "signal", F.col("latest.f").alias("features")
+    columns = ["market_id", "event_id", "fixture_id", "kind", "t", "ord", "chunk", "signal"]
+    if feature_time == "snapshot":
+        return placed.select(*columns, F.col("latest.f").alias("features"))
+    placed = stage(placed.select(*columns, "obs_market", F.col("latest.market_id").alias("seen_market"), F.col("latest.f").alias("kept")))
+    probe = F.col("seen_market").alias("market_id")
+    probes = placed.filter("obs_market IS NULL").select(probe, "event_id", "fixture_id", "ord", "t").distinct()
+    aged = probed_consensus(quote_vectors(events), trace, probes, config).select(
+        F.col("market_id").alias("seen_market"), "event_id", snapshot_features().alias("aged")
     )
+    rows = placed.join(aged, ["seen_market", "event_id"], "left")
+    return rows.select(*columns, F.coalesce("aged", "kept").alias("features"))
 
 
 def namespace_market(namespace: str, market: str) -> str:
@@ -548,5 +562,7 @@ def illegal_transitions(decisions: DataFrame) -> DataFrame:
     return decisions.filter(~F.coalesce(legal, F.lit(False)))
 
 
-def risk_inputs(events: DataFrame, trace: DataFrame, config: ConsensusConfig, fanout: str = "last_market") -> DataFrame:
-    return stage(attribute(events, trace, config, fanout))
+def risk_inputs(
+    events: DataFrame, trace: DataFrame, config: ConsensusConfig, fanout: str = "last_market", feature_time: str = "snapshot"
+) -> DataFrame:
+    return stage(attribute(events, trace, config, fanout, feature_time))

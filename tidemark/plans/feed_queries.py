@@ -63,6 +63,10 @@ class FeedTables:
     def inputs(self) -> DataFrame:
         return risk.risk_inputs(self.events, self.trace, feed.CONSENSUS)
 
+    @cached_property
+    def aged_inputs(self) -> DataFrame:
+        return risk.risk_inputs(self.events, self.trace, feed.CONSENSUS, feature_time="event")
+
     @cached_property
     def sweep_decisions(self) -> DataFrame:
         return stage(risk.decide(self.inputs, POLICIES))
@@ -535,6 +539,16 @@ def attributed_events(t: FeedTables) -> DataFrame:
     return t.inputs.select("event_id", "market_id", "kind", F.col("features.oldest_fresh_age_ms").alias("oldest_fresh_age_ms"))
 
 
+def event_time_features(t: FeedTables) -> DataFrame:
+    return t.aged_inputs.select("event_id", "market_id", "kind", *[F.col(f"features.{c}").alias(c) for c in (
+        "consensus_status", "fresh_bookmaker_count", "max_abs_velocity", "max_dispersion", "oldest_fresh_age_ms", "stale_ppm"
+    )])
+
+
+def event_time_decisions(t: FeedTables) -> DataFrame:
+    return _decision_columns(risk.decide(t.aged_inputs, {"base": feed.POLICY}))
+
+
 def _decision_columns(df: DataFrame) -> DataFrame:
     return df.select(
         "policy_id", "decision_id", "market_id", F.col("trigger_event_id").alias("event_id"), "action", "previous_state", "next_state",
@@ -985,7 +999,7 @@ def latency_percentiles(t: FeedTables) -> DataFrame:
 NAMED: tuple[Callable[[FeedTables], DataFrame], ...] = (
     consensus_trace, consensus_outcomes, consensus_diagnostics, consensus_at_time, normalized_vectors, latest_quotes,
     quote_freshness, reaction_latencies, core_markets, score_classes, snapshot_risk_features, threshold_reasons,
-    attributed_events, risk_decisions, decision_payloads, policy_sweep_decisions, fanned_out_decisions, resumed_decisions,
+    attributed_events, event_time_features, event_time_decisions, risk_decisions, decision_payloads, policy_sweep_decisions, fanned_out_decisions, resumed_decisions,
     restart_states, late_inputs, transition_audit, namespaced_markets,
     feed_messages, bucket_coordinates, planned_buckets, source_range, hydration_events, hydration_counts, append_conflicts,
     normalized_odds, normalized_scores, normalized_fixtures, quarantine, raw_identity, odds_issue_counts, envelope_audit,
