@@ -2,24 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.config import FeedLabels
 
 
-def purge_expired(raw: DataFrame, now_ms: int, labels: FeedLabels = FeedLabels()) -> DataFrame:
-    """Drop the payload of expired historical records that keep a hash; identity stays.
-
-    A row-local rewrite: run it per partition and overwrite the partition.
-    """
-    expired = (
+def expired_records(now_ms: int, labels: FeedLabels = FeedLabels()) -> Column:
+    """True for historical records with a hash whose payload is to go by ``now_ms``."""
+    return (
         (F.col("source") == labels.historical)
         & F.col("payload_retained")
         & F.col("raw_payload_hash").isNotNull()
         & (F.col("retention_expires_at_ms") <= now_ms)
     )
-    gone = F.coalesce(expired, F.lit(False))
+
+
+def purge_expired(raw: DataFrame, now_ms: int, labels: FeedLabels = FeedLabels()) -> DataFrame:
+    """Drop the payload of expired historical records that keep a hash; identity stays.
+
+    A row-local rewrite; `purge_table` applies it to the folders of a stored table.
+    """
+    gone = F.coalesce(expired_records(now_ms, labels), F.lit(False))
     return raw.withColumns(
         {
             "purged": gone,
