@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import normalize as norm
+from tidemark.sources import raw as raw_source
 from tidemark.sources import tables
 from tests.test_appends import normalized, odds
 
@@ -108,3 +109,32 @@ def test_a_purge_that_is_cut_off_loses_nothing(spark, tmp_path, moment):
     state = _state(spark, path)
     assert state.keys() == ids and all(gone == (day < 12) for gone, _, day in state.values())
     assert len(spark.read.parquet(path).collect()) == len(ids)
+
+
+def test_backfill_opens_only_planned_buckets(spark, tmp_path):
+    path = str(tmp_path / "odds")
+    hours = [(f"{k % 3}", k, odds(f"m{k}", ts=10 * DAY + k * 3_600_000, fixture=k % 3), 10 * DAY + k * 3_600_000) for k in range(72)]
+    records = spark.createDataFrame(hours, "fixture_id string, arrival bigint, payload string, t bigint")
+    raw_source.write_backfill(records, path, F.col("t"))
+    chosen = spark.createDataFrame(
+        [("1", 10 * DAY + 3_600_000, 10 * DAY + 8 * 3_600_000), ("2", 12 * DAY, 12 * DAY + 5 * 3_600_000), ("0", 5, 4)],
+        "fixture_id string, source_start_ms bigint, source_end_ms bigint",
+    )
+    found = raw_source.read_backfill(spark, path, chosen)
+    # the planned buckets, of whatever fixture: hours 1 to 8 of the first day, 0 to 5 of the third
+    assert sorted(r["arrival"] for r in found.collect()) == [*range(1, 9), *range(48, 54)]
+    assert "dynamicpruning" in found._jdf.queryExecution().optimizedPlan().toString()
+    scans = found._jdf.queryExecution().executedPlan()
+    leaves = scans.finalPhysicalPlan().collectLeaves() if "finalPhysicalPlan" in dir(scans) else scans.collectLeaves()
+    files = [leaves.apply(k).metrics().get("numFiles") for k in range(leaves.size())]
+    assert sum(f.get().value() for f in files if f.isDefined()) == 14 and len(_files(path)) == 72
+    events, _, summary = raw_source.hydrate(records.limit(0).drop("t"), found, chosen)
+    assert sorted(r["source_timestamp_ms"] for r in events.collect()) == [10 * DAY + k * 3_600_000 for k in (1, 4, 7, 50, 53)]
+    assert {r["selected_fixture"]: r["refused"] for r in summary.collect()} == {"1": False, "2": False, "0": True}
+    endless = chosen.withColumns({"source_start_ms": F.lit(0).cast("long"), "source_end_ms": F.lit(10**15).cast("long")})
+    assert raw_source.read_backfill(spark, path, endless).count() == 72
+    assert raw_source.read_backfill(spark, path, chosen.limit(0)).count() == 0
+    assert raw_source.read_backfill(spark, path, chosen, most_buckets=1).count() == 14
+    sparse = str(tmp_path / "sparse")
+    raw_source.write_backfill(records, sparse, F.col("t"), folders=("epoch_day",))
+    assert len(_files(sparse)) == 3 and raw_source.read_backfill(spark, sparse, chosen).count() == 14

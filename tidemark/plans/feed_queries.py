@@ -266,12 +266,14 @@ def _hydrate(t: FeedTables):
     raw = feed.raw_feed(t.spark, t.sf_dir).withColumn("fixture_id", F.get_json_object("payload", "$.FixtureId"))
     raw = raw.withColumn("fixture_id", F.coalesce("fixture_id", F.get_json_object("payload", "$.fixtureId")))
     scores = raw.filter("payload_kind = 'score'")
-    odds = raw.filter("payload_kind = 'odds'").withColumns(raw_source.bucket_cols(F.col("received_at_ms")))
+    odds = raw.filter("payload_kind = 'odds'").select("fixture_id", "arrival", "payload", "received_at_ms")
     # records of fixture 1 filed under fixture 2, a selection from the epoch on, and a reversed one
     moved = lambda df: df.withColumn("fixture_id", F.when(F.col("fixture_id") == "1", F.lit("2")).otherwise(F.col("fixture_id")))
     start = F.when(F.col("fixture_id") == "3", F.lit(0)).when(F.col("fixture_id") == "4", F.lit(MID_MS + 1)).otherwise(F.col("source_start_ms"))
     selections = t.selections.filter("fixture_id <> '1'").withColumn("source_start_ms", start)
-    return raw_source.hydrate(moved(scores), moved(odds), selections, LABELS, NOW_MS)
+    path = f"{ensure_checkpoint_dir(t.spark)}/backfill-{uuid.uuid4().hex}"
+    raw_source.write_backfill(moved(odds), path, F.col("received_at_ms"), folders=("epoch_day",))  # a sparse feed
+    return raw_source.hydrate(moved(scores), raw_source.read_backfill(t.spark, path, selections), selections, LABELS, NOW_MS)
 
 
 def hydration_events(t: FeedTables) -> DataFrame:
@@ -288,7 +290,7 @@ def append_conflicts(t: FeedTables) -> DataFrame:
     """Records that re-use a key with another payload, as two appends set them aside."""
     path = f"{ensure_checkpoint_dir(t.spark)}/appends-{uuid.uuid4().hex}"
     for part in ("arrival % 3 = 0", "arrival % 3 <> 0"):
-        stored.write_raw(t.normalized.filter(part), path)
+        stored.write_raw(t.normalized.filter(part), path, layout=stored.Layout(key_buckets=1))
     return t.spark.read.parquet(f"{path}_conflicts").select("idempotency_key", "source_id", "raw_payload_hash", "status")
 
 

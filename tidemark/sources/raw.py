@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,30 +109,85 @@ def in_source_range(raw: DataFrame, start: Column, end: Column) -> DataFrame:
     return timed.filter(F.col("source_time_ms").isNull() | F.col("source_time_ms").between(start, end))
 
 
+BUCKETS = ("epoch_day", "hour", "interval")
+
+
+def write_backfill(records: DataFrame, path: str, time_ms: Column, folders: Sequence[str] = BUCKETS) -> None:
+    """Store records in one folder per five-minute bucket of ``time_ms``.
+
+    A feed too sparse to fill such folders takes fewer levels, as ``("epoch_day",)``; the finer
+    coordinates are then columns of the files.
+    """
+    placed = records.withColumns({n: c.cast("int") for n, c in bucket_cols(time_ms).items() if n in BUCKETS})
+    placed.hint("rebalance", *folders).sortWithinPartitions(*BUCKETS).write.mode("append").partitionBy(*folders).parquet(path)
+
+
+def stored_days(spark: SparkSession, path: str) -> tuple[int, int] | None:
+    """First and last day of a store of `write_backfill`, from one listing of its folders."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    listed = root.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(root)
+    names = [status.getPath().getName() for status in listed]
+    days = [int(n.removeprefix("epoch_day=")) for n in names if n.startswith("epoch_day=")]
+    return (min(days), max(days)) if days else None
+
+
+def read_backfill(spark: SparkSession, path: str, selections: DataFrame, most_buckets: int = 1_000_000) -> DataFrame:
+    """The stored records of all buckets that some selection meets; files of other buckets are not opened.
+
+    Selections are cut to the days that are stored, so the list of buckets has at most 288 rows a stored
+    day.  Up to ``most_buckets`` it is broadcast and prunes folders at run time; beyond, the
+    days asked for are the only filter on folders and the list is joined by shuffle.
+    """
+    stored = spark.read.parquet(path)
+    days = stored_days(spark, path)
+    low, high = selections.filter("source_end_ms >= source_start_ms").agg(F.min("source_start_ms"), F.max("source_end_ms")).first()
+    if days is None or low is None:
+        return stored.limit(0)
+    first, last = max(days[0], low // DAY_MS), min(days[1], high // DAY_MS)
+    cut = selections.select(
+        "fixture_id",
+        F.greatest("source_start_ms", F.lit(first * DAY_MS)).alias("source_start_ms"),
+        F.least("source_end_ms", F.lit((last + 1) * DAY_MS - 1)).alias("source_end_ms"),
+    )
+    # one number a bucket: run-time pruning looks at each key of a join on its own
+    number = (F.col("epoch_day").cast("long") * 24 + F.col("hour")) * (HOUR_MS // BUCKET_MS) + F.col("interval")
+    plan = plan_selection_buckets(cut).filter("valid").select(F.col("epoch_day").cast("int").alias("wanted_day"), number.alias("wanted_bucket")).distinct()
+    if (last - first + 1) * (DAY_MS // BUCKET_MS) <= most_buckets:
+        plan = F.broadcast(plan)
+    same = (F.col("epoch_day") == F.col("wanted_day")) & (number == F.col("wanted_bucket"))
+    return stored.filter(F.col("epoch_day").between(first, last)).join(plan, same, "left_semi")
+
+
 def hydrate(
     scores: DataFrame, odds: DataFrame, selections: DataFrame, labels: FeedLabels = FeedLabels(), hydrated_at_ms: int = 0
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Historical backfill of many fixtures: (events, quarantine, summary).
 
     ``scores`` and ``odds`` carry `fixture_id` and `payload` (and `arrival`); odds stored by
-    bucket also carry `epoch_day`, `hour`, `interval`, by which buckets outside a selection's
-    range are skipped.  Ranges may be of any length.  A reversed selection is `refused`: its
+    bucket (`read_backfill`) also carry `epoch_day`, `hour`, `interval`: they meet the selections of their
+    fixture day by day, and buckets outside a selection's range are skipped.  Ranges may be of any length.  A reversed selection is `refused`: its
     summary row has no records.  Records of another fixture than the selected one are counted
     as `foreign` and are not returned.
     """
     valid = F.col("source_end_ms") >= F.col("source_start_ms")
     wanted = selections.select("fixture_id", "source_start_ms", "source_end_ms").filter(valid)
-    if {"epoch_day", "hour", "interval"} <= set(odds.columns):
-        start = F.col("epoch_day") * DAY_MS + F.col("hour") * HOUR_MS + F.col("interval") * BUCKET_MS
+
+    def chosen(df: DataFrame, kind: str, keys: list[str], ranges: DataFrame, *inside: Column) -> DataFrame:
+        rows = df.join(ranges, keys)
+        for condition in inside:
+            rows = rows.filter(condition)
+        return rows.select("fixture_id", "arrival", "payload", F.lit(kind).alias("payload_kind"), "source_start_ms", "source_end_ms")
+
+    if set(BUCKETS) <= set(odds.columns):
+        # a fixture with very many odds is met day by day, not in one group
+        day = F.explode(F.sequence(div(F.col("source_start_ms"), DAY_MS), div(F.col("source_end_ms"), DAY_MS)))
+        start = F.col("epoch_day").cast("long") * DAY_MS + F.col("hour") * HOUR_MS + F.col("interval") * BUCKET_MS
         inside = (start <= F.col("source_end_ms")) & (start + BUCKET_MS > F.col("source_start_ms"))
-        odds = odds.join(wanted, "fixture_id").filter(inside).drop("source_start_ms", "source_end_ms")
-    parts = [
-        df.select("fixture_id", "arrival", "payload", F.lit(kind).alias("payload_kind"))
-        for df, kind in ((scores, "score"), (odds, "odds"))
-    ]
-    selected = in_source_range(
-        parts[0].unionByName(parts[1]).join(wanted, "fixture_id"), F.col("source_start_ms"), F.col("source_end_ms")
-    )
+        quoted = chosen(odds, "odds", ["fixture_id", "epoch_day"], wanted.withColumn("epoch_day", day), inside)
+    else:
+        quoted = chosen(odds, "odds", ["fixture_id"], wanted)
+    both = chosen(scores, "score", ["fixture_id"], wanted).unionByName(quoted)
+    selected = in_source_range(both, F.col("source_start_ms"), F.col("source_end_ms"))
     raw = selected.select(
         F.col("fixture_id").alias("selected_fixture"),
         "arrival",
