@@ -53,6 +53,26 @@ def test_toxicity_on_held_out_rows(labelled_corpus, odd_documents, spark):
     assert 0 < toxicity.fit(odd_documents.limit(0), spark.createDataFrame([], LABEL)).score(None) < 1
 
 
+def test_toxicity_learns_from_positive_labels_alone(labelled_corpus, spark):
+    docs, labels, truth = labelled_corpus
+    held = F.col("doc_id") % 4 == 2
+    # half of the toxic rows are confirmed; nothing else has a label, so the rest is unlabelled with toxic rows in it
+    model = toxicity.fit(docs, labels.where("toxic = 1 AND crc32(cast(doc_id AS string)) % 2 = 0").drop("quality").withColumn("quality", F.lit(None)), ~held)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.toxicity(docs, model).collect()}
+    assert model.weights and np.mean([got[k] == t for k, _, t in truth if k % 4 == 2]) > 0.95
+    everything = toxicity.fit(docs, docs.select("doc_id", F.lit(1).alias("toxic"), F.lit(0).alias("quality")))
+    assert not everything.weights and everything.score("any text") < 0.3  # no unlabelled text to learn from
+
+
+def test_prior_is_estimated_from_unlabelled_rows():
+    rng = np.random.default_rng(1)
+    positive = np.r_[np.ones(400), np.zeros(4_000)]
+    toxic = np.r_[np.ones(400), (rng.random(4_000) < 0.1)].astype(bool)
+    held = rng.random((4_400, 6)) < np.where(toxic[:, None], 0.5, 0.01)
+    rows, cols = np.nonzero(held)
+    assert 0.07 < toxicity.estimated_prior(rows, cols, 4_400, 6, positive) < 0.14
+
+
 def test_toxicity_reads_whole_texts(labelled_corpus):
     docs, labels, _ = labelled_corpus
     model = toxicity.fit(docs, labels)
