@@ -238,6 +238,15 @@ def _reasoned(name: str) -> str:
         lambda x: x IS NOT NULL) AS rs FROM {name}"""
 
 
+CTES["finp"] = """SELECT *, row_number() OVER (PARTITION BY market_id ORDER BY t, sequence, source_id) AS rn FROM (
+    SELECT k.event_id, k.t, k.sequence, k.source_id, k.fixture_id, k.kind, f.market_id, f.status, f.fresh_books, f.oldest, f.ppm, f.vel, f.mad,
+        s.prot, s.conf2, s.reason, s.kind2, s.sev
+    FROM (SELECT e.* EXCLUDE (market_id), m.market_id AS mid FROM keyed e JOIN (SELECT DISTINCT fixture_id, market_id FROM qv) m USING (fixture_id)
+        WHERE NOT e.is_odds OR e.market_id = m.market_id) k
+    ASOF JOIN t_feat f ON f.market_id = k.mid AND k.t >= f.tt
+    LEFT JOIN sig s ON s.event_id = k.event_id)"""
+CTES["fjudged"] = f"SELECT *, {_PAUSES} AS pr, {_WIDENS} AS wr, {_HEALTHY} AS healthy FROM finp"
+_fold_tables("fjudged", "fan")
 CTES["decr"] = _reasoned("dec")
 _fold_tables("ejudged", "aged")
 CTES["agedr"] = _reasoned("aged")
@@ -266,6 +275,15 @@ CTES["psig"] = """SELECT fixture_id, arg_min(struct_pack(event_id, t, kind2, con
 CTES["asig"] = f"""SELECT fixture_id, arg_max(struct_pack(event_id, t, kind2, conf2), struct_pack(t, event_id)) AS s
     FROM sig WHERE prot = 'pause' AND t < {MID_MS} GROUP BY fixture_id"""
 CTES["obs"] = "SELECT e.fixture_id, i.* FROM t_ids i JOIN qv e ON e.event_id = i.trig"
+CTES["probe"] = """SELECT *, 'ord_' || substr(sha256('{"expectedDecisionId":"' || did || '","expectedStateVersion":' || version || ',"fixtureId":"' || fixture_id
+        || '","idempotencyKey":"evaluation-paused-order","marketId":"' || market_id || '","namespace":"replay:evaluation","outcomeId":"' || outcome_id
+        || '","payloadVersion":1,"price":2400,"quoteObservedAtMs":' || moment || ',"requestedAtMs":' || moment || ',"side":"back","stakeMicros":1000000}'), 1, 40) AS order_id
+    FROM (SELECT d.fixture_id, d.policy_id, d.z.did AS did, d.z.v0 + 1 AS version, d.z.market_id AS market_id, v.outcome_id, CAST(v.p AS BIGINT) AS p, d.signal_t + 3000 AS moment
+        FROM (SELECT a.fixture_id, dec.policy_id, any_value(a.s.t) AS signal_t, arg_min(struct_pack(did := decision_id, v0 := v0, market_id := market_id), dec.t) AS z
+            FROM asig a JOIN dec ON dec.fixture_id = a.fixture_id AND dec.t >= a.s.t AND s1 = 'PAUSED' GROUP BY ALL) d
+        JOIN (SELECT a.fixture_id, arg_max(q.event_id, q.t) AS event_id FROM asig a JOIN qv q ON q.fixture_id = a.fixture_id AND q.t < a.s.t GROUP BY a.fixture_id) l
+            ON l.fixture_id = d.fixture_id
+        JOIN (SELECT event_id, min(outcome_id) AS outcome_id, arg_min(p, outcome_id) AS p FROM norm GROUP BY event_id) v ON v.event_id = l.event_id)"""
 for _name, _sig in (("pbase", "psig"), ("abase", "asig")):
     CTES[_name] = f"""SELECT o.fixture_id, any_value(g.s.t) AS signal_t,
         arg_max(struct_pack(trig, market_id, tt, status, consensus_id), struct_pack(tt, trig)) AS b
@@ -538,6 +556,18 @@ FINAL: dict[str, str] = {
     "merged_verifications": """SELECT decision_id, CASE WHEN t % 10 < 3 THEN 'error' WHEN t % 10 < 6 THEN 'verified' ELSE 'rejected' END AS status,
         CASE WHEN t % 10 < 3 THEN 1 ELSE 2 END AS attempt_count, t + CASE WHEN t % 10 < 3 THEN 1000 ELSE 2000 END AS updated_at_ms, 'material' AS proof_material_hash FROM base""",
     "verification_updates_audit": """SELECT decision_id, 2 AS update_seq, ['attempt moved backwards','time moved backwards','conflicting material'][t % 10 + 1] AS violations FROM base WHERE t % 10 < 3""",
+    "verification_audit": """SELECT decision_id, array_to_string(vs, ',') AS violations FROM (SELECT decision_id, list_filter([
+            CASE WHEN u % 4 = 0 THEN 'completed_at_ms required' END, CASE WHEN failed AND u % 5 = 0 THEN 'error_code required' END,
+            CASE WHEN NOT failed AND u % 3 = 0 THEN 'simulation_slot required' END], lambda x: x IS NOT NULL) AS vs
+        FROM (SELECT decision_id, t % 10 < 3 AS failed, t + CASE WHEN t % 10 < 3 THEN 1000 ELSE 2000 END AS u FROM base)) WHERE len(vs) > 0""",
+    "manifest_audit": f"""SELECT fixture_id, 'event count,sequence hash,input hash' AS violations FROM keyed WHERE CAST(fixture_id AS INTEGER) % 3 = 0
+        GROUP BY fixture_id HAVING max(t) >= {MID_MS}""",
+    "fanned_out_decisions": """SELECT market_id, s1 AS next_state, count(*) AS decisions, max(v0) AS last_version FROM fan WHERE policy_id = 'base' GROUP BY ALL""",
+    "probe_order_rows": """SELECT fixture_id, order_id, version AS expected_state_version, market_id, outcome_id, moment AS requested_at_ms,
+        p AS requested_probability_micros FROM probe WHERE policy_id = 'base'""",
+    "price_error_proxy": """SELECT r.fixture_id, r.policy_id, count(*) AS rejected_orders, count(o.p) AS evaluated_orders, max(abs(o.p - r.p)) AS max_error_micros,
+        CAST((2 * sum(abs(o.p - r.p)) + count(o.p)) // (2 * count(o.p)) AS BIGINT) AS mean_error_micros
+        FROM probe r LEFT JOIN conv c ON c.fixture_id = r.fixture_id LEFT JOIN t_out0 o ON o.trig = c.c.id AND o.outcome_id = r.outcome_id GROUP BY ALL""",
     "proof_outcomes": """SELECT CASE WHEN t % 10 < 3 THEN 'error' WHEN t % 10 < 6 THEN 'verified' ELSE 'rejected' END AS status, count(*) AS receipts FROM base GROUP BY 1""",
     "proof_material_audit": """SELECT n AS material_id, array_to_string(list_filter([CASE WHEN k % 20 = 0 THEN 'fixture differs from batch summary' END,
         CASE WHEN k % 20 = 0 THEN 'negative fixture' END, CASE WHEN k < 3 OR k > 98 THEN 'time outside batch summary' END], lambda x: x IS NOT NULL), ',') AS violations
@@ -631,5 +661,5 @@ FINAL: dict[str, str] = {
 
 
 def oracles() -> dict[str, str]:
-    """SQL text per query; queries without an entry are tested against brute force instead."""
+    """SQL text per query; the others give hashes over whole histories or nested reports, which pytest checks."""
     return {name: _sql(body) for name, body in FINAL.items()}
