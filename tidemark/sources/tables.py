@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.config import FeedLabels
 from tidemark.functions.integers import div
+from tidemark.functions.staging import stage
 from tidemark.operators.dedup import label_arrivals
 from tidemark.operators.normalize import accepted_events, raw_records
 from tidemark.operators.ops import expired_records, purge_expired
@@ -212,8 +213,9 @@ def save_reports(reports: DataFrame, path: str) -> DataFrame:
         .when(F.col("stored") == F.col("report_json"), F.lit("duplicate"))
         .otherwise(F.lit("conflict"))
         .alias("append_status"),
-    ).persist()
-    labelled.count()
+    )
+    # the append below changes the table that the statuses were read from
+    labelled = stage(labelled)
     labelled.filter("append_status = 'inserted'").dropDuplicates(["evaluation_hash"]).select(
         "evaluation_hash", "report_json"
     ).write.mode("append").parquet(path)
