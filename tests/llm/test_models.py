@@ -73,6 +73,13 @@ def test_prior_is_estimated_from_unlabelled_rows():
     assert 0.07 < toxicity.estimated_prior(rows, cols, 4_400, 6, positive) < 0.14
 
 
+def test_calibration_raises_scores_to_the_prior_and_never_lowers_them():
+    positive, f = np.r_[np.ones(50), np.zeros(950)], np.r_[np.full(100, 3.0), np.full(900, -4.0)]
+    assert toxicity.calibrated(f, positive, 0.01)[1] < 1e-6  # the mean posterior is above the prior already
+    scale, shift = toxicity.calibrated(f, positive, 0.06)
+    assert scale == 2.0 and 0 < shift <= 1.0
+
+
 def test_toxicity_reads_whole_texts(labelled_corpus):
     docs, labels, _ = labelled_corpus
     model = toxicity.fit(docs, labels)

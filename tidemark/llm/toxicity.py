@@ -27,6 +27,7 @@ from tidemark.llm.common import LETTERS, labelled, sigmoid, staged, utf8
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _BEGINNINGS = (4, 5, 6, 7, 8, 9)  # bytes
+_HEAD = min(_BEGINNINGS)
 
 
 def features(text: str | None) -> set[bytes]:
@@ -43,14 +44,19 @@ class ToxicityModel:
     weights: dict[bytes, float]
     intercept: float
 
+    def __post_init__(self) -> None:
+        # only words that start like a feature can hold one
+        heads = {f[:-1][:_HEAD] if f.endswith(b" ") else f[:_HEAD] for f in self.weights}
+        object.__setattr__(self, "heads", frozenset(heads))
+
     def score(self, text: str | None) -> float:
-        weights = self.weights
-        words = set(utf8(text).translate(LETTERS).split())
+        weights, heads = self.weights, self.heads
+        near = [w for w in set(utf8(text).translate(LETTERS).split()) if w[:_HEAD] in heads]
         total = self.intercept
-        for w in words:
+        for w in near:
             total += weights.get(w + b" ", 0.0)
         for n in _BEGINNINGS:
-            for b in {w[:n] for w in words if len(w) > n}:
+            for b in {w[:n] for w in near if len(w) > n}:
                 total += weights.get(b, 0.0)
         return float(1.0 / (1.0 + np.exp(-min(max(total, -30.0), 30.0))))
 
@@ -128,6 +134,20 @@ def fit_nonnegative_pu(
     return w, b
 
 
+def calibrated(f: np.ndarray, positive: np.ndarray, prior: float, scale: float = 2.0, most: float = 1.0) -> tuple[float, float]:
+    """Scale and shift that turn margins into posteriors of the unlabelled text.
+
+    The non-negative correction leaves clean text a score where the prior is a little too high.  Margins
+    are sharpened by ``scale``, then raised, by ``most`` at the most, to where the corrected risk
+    ``-prior * E+[g] + Eu[log(1 + exp(g))]`` is least: where the mean posterior of unlabelled rows is the prior.
+    """
+    low, high, other = 0.0, most, scale * f[positive == 0]
+    for _ in range(40):
+        shift = (low + high) / 2
+        low, high = (low, shift) if sigmoid(other + shift).mean() > prior else (shift, high)
+    return scale, (low + high) / 2
+
+
 def estimated_prior(rows: np.ndarray, cols: np.ndarray, n_rows: int, n_cols: int, positive: np.ndarray, seed: int = 5) -> float:
     """The positive share of the unlabelled rows, by the best bin of a first classifier.
 
@@ -168,16 +188,15 @@ def _sketch(texts: pd.Series) -> pd.Series:
 
 
 def _sample(documents: DataFrame, labels: DataFrame, keep: Column, most: int) -> DataFrame:
-    """text and target: at most ``most`` confirmed rows (1), and as many different texts of all other documents (0), both by hash."""
+    """text and target: at most ``most`` confirmed rows (1), and about as many different texts of all other documents (0), both by hash."""
     toxic = labels.where("toxic = 1")
     confirmed = labelled(documents, toxic, F.col("toxic"), keep, most).select("text", "target")
     fold = documents.where(F.coalesce(keep, F.lit(False)))
-    # a bound on the hash lets a little more than ``most`` rows through, whatever the size of the table
-    share = min(1.0, 1.2 * most / max(fold.count(), 1))
+    # a bound on the hash lets about ``most`` rows through, whatever the size of the table
+    share = min(1.0, most / max(fold.count(), 1))
     drawn = F.xxhash64("text")
     near = fold.where(F.pmod(drawn, F.lit(1_000_000)) < int(np.ceil(share * 1_000_000)))
     others = near.join(toxic.select("doc_id").distinct(), "doc_id", "left_anti").select("text").distinct()
-    others = others.orderBy(F.xxhash64(drawn), "text").limit(most)
     both = confirmed.unionAll(others.select("text", F.lit(0).alias("target")))
     # of near copies, which agree in everything, one is enough evidence
     return both.withColumn("sketch", F.pandas_udf(_sketch, "bigint")("text")).dropDuplicates(["target", "sketch"]).drop("sketch")
@@ -190,7 +209,7 @@ def fit(
     """Train on the confirmed toxic rows and a sample of all other documents that satisfy ``keep``.
 
     Labels other than toxic = 1 are not looked at.  ``max_rows`` bounds both samples together, taken by a
-    hash; ``max_features`` bounds the model.  These are bounds on what the classifier is fitted on; scoring
+    hash (the second one in expectation); ``max_features`` bounds the model.  These are bounds on what the classifier is fitted on; scoring
     covers every text.  ``prior`` is the toxic share of the other documents; None estimates it.
     Without toxic examples, or with nothing else, the model returns a small score for every text.
     """
@@ -213,7 +232,8 @@ def fit(
     cols = np.concatenate([np.asarray(h, dtype=np.int64) for h in got["held"]])
     prior = estimated_prior(rows, cols, n, len(chosen), positive) if prior is None else prior
     w, b = fit_nonnegative_pu(rows, cols, n, len(chosen), positive, prior, unlabelled=1 - positive)
-    return ToxicityModel(dict(zip(chosen, w.tolist(), strict=True)), float(b))
+    scale, shift = calibrated(b + np.bincount(rows, weights=w[cols], minlength=n), positive, prior)
+    return ToxicityModel(dict(zip(chosen, (scale * w).tolist(), strict=True)), float(scale * b + shift))
 
 
 def toxicity(documents: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
