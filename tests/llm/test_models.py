@@ -112,7 +112,8 @@ def test_quality_cotraining(labelled_corpus, odd_documents, spark):
 
 def test_mixing_reaches_its_targets(labelled_corpus, odd_documents, spark):
     docs, labels, truth = labelled_corpus
-    rows = mixing.mixed(docs, labels, {"clean": 0.7, "low_quality": 0.2, "toxic": 0.1}, budget=0.8).collect()
+    rows = mixing.mixed(docs, labels, {"clean": 0.7, "low_quality": 0.2, "toxic": 0.1}, budget=0.8, traces=()).collect()
+    assert {r["off_target"] for r in rows} == {""}
     total = sum(r["tokens"] for r in rows)
     for domain, share in (("clean", 0.7), ("low_quality", 0.2), ("toxic", 0.1)):
         reached = sum(r["rate"] * r["tokens"] * r[f"p_{domain}"] for r in rows)
@@ -124,6 +125,11 @@ def test_mixing_reaches_its_targets(labelled_corpus, odd_documents, spark):
     odd = mixing.mixed(odd_documents, labels).collect()
     assert len(odd) == 8 and sum(r["tokens"] == 0 for r in odd) == 3
     assert mixing.mixed(odd_documents.limit(0), spark.createDataFrame([], LABEL)).count() == 0
+    plain = mixing.mixed(docs, labels).first()
+    shares = {d: plain[f"reached_{d}"] for d in mixing.DOMAINS}
+    assert plain["off_target"] == ",".join(d for d in mixing.DOMAINS if abs(shares[d] - mixing.WEIGHTS[d]) > 0.001)
+    clashing = docs.withColumn("tokens", F.lit("own")).withColumn("draw", F.lit(1)).withColumn("rate", F.lit(9.0))
+    assert {r["tokens"] for r in mixing.sampled(clashing, labels).collect()} == {"own"}
     drawn = mixing.sampled(docs, labels).collect()
     assert all(r["copies"] > 0 for r in drawn) and set(docs.columns) < set(drawn[0].asDict())
 

@@ -8,7 +8,7 @@ import numpy as np
 
 import corpus_pipeline
 from tests.llm.test_scans import base_secrets, contaminated
-from tests.llm.test_simhash import fingerprint, groups
+from tests.llm.test_simhash import near_groups
 from tidemark.llm import mixing, quality
 from tidemark.llm.common import staged, table
 
@@ -35,7 +35,7 @@ def test_run_equals_the_stages_in_plain_python(spark):
     rows = [r for r, s in zip(rows, model.scores(a, b)[2], strict=True) if s >= 0.3]
     assert 0.5 * docs.count() < len(rows) < docs.count()
 
-    lead = groups([fingerprint(r[1]) for r in rows], 3)
+    lead = near_groups([r[1] for r in rows])
     before = len(rows)
     rows = [r for k, r in enumerate(rows) if lead[k] == k]
     assert len(rows) < before

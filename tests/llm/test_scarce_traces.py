@@ -22,5 +22,5 @@ def test_clean_documents_stay_when_traces_are_scarce(spark, documents):
 def test_scarce_traces_are_not_multiplied(spark):
     rows = [(10, 1.0, 0.0, 0.0)] * 990 + [(10, 0.0, 1.0, 0.0)] * 5 + [(10, 0.0, 0.0, 1.0)] * 5
     members = spark.createDataFrame(rows, "tokens bigint, p_clean double, p_low_quality double, p_toxic double")
-    steps, totals, target = mixing._solved(members, None, 1.0)
+    steps, totals, target = mixing.solve(members, mixing.WEIGHTS, 1.0, traces=mixing.TRACES)
     assert np.allclose(mixing.rates_after(np.eye(3), steps), 1, atol=1e-3) and target["toxic"] == 50

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import random
+import re
 
+import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from tidemark.llm import simhash
 
@@ -86,3 +89,52 @@ def test_odd_rows(spark, odd_documents):
     kept = sorted((r["doc_id"] or 0) for r in simhash.deduplicated(odd_documents).collect())
     assert kept == [0, 1, 3, 4, 5]
     assert simhash.near_duplicates(odd_documents.limit(0)).count() == 0
+
+
+def words_set(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m.group().lower(), text or ""))
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def near_groups(texts, similarity=0.8):
+    """Smallest position of each text's group: links by the Jaccard similarity of five-word shingles."""
+    lead = list(range(len(texts)))
+
+    def top(k):
+        while lead[k] != k:
+            k = lead[k]
+        return k
+
+    sets = [words_set(t) for t in texts]
+    for b in range(len(texts)):
+        for a in range(b):
+            union = len(sets[a] | sets[b])
+            if union == 0 or len(sets[a] & sets[b]) >= similarity * union:
+                low, high = sorted((top(a), top(b)))
+                lead[high] = low
+    return [top(k) for k in range(len(texts))]
+
+
+def test_near_copies_of_edited_texts(spark, documents):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):
+        words = [f"w{rng.randrange(5000)}" for _ in range(rng.randrange(60, 400))]
+        texts.append(" ".join(words))
+        for share in (0.004, 0.01, 0.015, 0.1, 0.3):
+            texts.append(" ".join("x" if rng.random() < share else w for w in words))
+    want, docs = near_groups(texts), documents(texts)
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(docs).collect()}
+    pairs = [(a, b) for a in range(len(texts)) for b in range(a) if want[a] == want[b]]
+    assert len(pairs) > 100 and np.mean([got[a] == got[b] for a, b in pairs]) > 0.95
+    assert all(want[a] == want[b] for a in range(len(texts)) for b in range(a) if got[a] == got[b])
+
+
+def test_rows_that_share_an_id_are_told_apart(spark):
+    words = [" ".join(f"{name}{k}" for k in range(50)) for name in "abc"]
+    rows = [(1, words[0], "p"), (1, words[1], "p"), (2, words[2], "p"), (3, words[1].upper(), "p"), (2, words[2], "p"), (None, words[0], "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, root string")
+    out = simhash.deduplicated(docs.withColumn("digest", F.lit("d")).withColumn("words", F.lit(1)))
+    assert out.columns == ["doc_id", "text", "root", "digest", "words"]
+    got = sorted((r["doc_id"] or 0, r["text"]) for r in out.collect())
+    assert got == [(0, words[0]), (1, words[0]), (1, words[1]), (2, words[2])]

@@ -134,24 +134,36 @@ WEIGHTS = {"clean": 0.96, "low_quality": 0.03, "toxic": 0.01}
 TRACES = ("low_quality", "toxic")
 
 
-def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, **fitting) -> DataFrame:
+def mixed(
+    documents: DataFrame, labels: DataFrame, weights: dict[str, float] = WEIGHTS, budget: float = 1.0, traces: tuple[str, ...] = TRACES, **fitting
+) -> DataFrame:
     """doc_id, tokens, p_<domain>, rate (expected copies) and copies (drawn by a hash) of every document.
 
     ``copies`` is the rate rounded up with the probability of its fraction, by a hash of doc_id
-    and text, so a rerun draws alike.  Empty and null texts have no tokens, hence no influence;
-    their rate follows from their posterior.  Repeated rows get equal rates and copies.
+    and text, so a rerun draws alike.  reached_<domain> is the share of ``budget`` times all
+    tokens that the rates reach, and off_target names the domains more than 0.001 away from
+    their weight: no rates may reach them, or ``traces`` holds them down.
+
+    Null and empty texts have no tokens, hence no influence; their rate follows from their
+    posterior.  Very long texts count whole.  Repeated rows get equal rates and copies.  An empty
+    table gives an empty result.  Other columns are not read.
     """
     model = fit_domains(documents, labels, **fitting)
     members = staged(
         documents.select("doc_id", F.xxhash64("doc_id", "text").alias("draw"), model.column().alias("m")).select("doc_id", "draw", "m.*")
     )
-    steps, _, _ = _solved(members, weights, budget)
-    return members.withColumn("rate", _rate(steps)).withColumn("copies", _copies()).drop("draw")
+    steps, totals, _ = solve(members, weights, budget, traces=traces)
+    tokens = budget * sum(totals_at_rate_one(members).values())
+    reached = {d: totals[d] / tokens if tokens else 0.0 for d in DOMAINS}
+    off = [d for d in DOMAINS if tokens and abs(reached[d] - weights[d] / sum(weights.values())) > 0.001]
+    out = members.withColumn("rate", _rate(steps)).withColumn("copies", _copies()).drop("draw")
+    out = out.withColumns({f"reached_{d}": F.lit(float(reached[d])) for d in DOMAINS})
+    return out.withColumn("off_target", F.lit(",".join(off)))
 
 
-def _solved(members: DataFrame, weights: dict[str, float] | None, budget: float):
-    """``solve``; with the weights of this module scarce traces are not multiplied at the cost of clean text."""
-    return solve(members, weights or WEIGHTS, budget, traces=() if weights else TRACES)
+def totals_at_rate_one(members: DataFrame) -> dict[str, float]:
+    row = members.agg(*[F.coalesce(F.sum(F.col("tokens") * F.col(f"p_{d}")), F.lit(0.0)).alias(d) for d in DOMAINS]).first()
+    return row.asDict()
 
 
 def _rate(steps: np.ndarray) -> Column:
@@ -167,20 +179,31 @@ def _copies() -> Column:
     return (F.floor("rate") + (chance < F.col("rate") - F.floor("rate")).cast("int")).cast("bigint")
 
 
-def sampled(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, budget: float = 1.0, **fitting) -> DataFrame:
+def sampled(
+    documents: DataFrame,
+    labels: DataFrame,
+    weights: dict[str, float] = WEIGHTS,
+    budget: float = 1.0,
+    traces: tuple[str, ...] = TRACES,
+    keep_clean: bool = True,
+    **fitting,
+) -> DataFrame:
     """The documents drawn at least once, whole rows with ``rate`` and ``copies``.
 
-    With the weights of this module and a budget of one or more, every document that is most
-    likely clean stays: it has one copy at least, also where its posterior is mixed and its rate
-    below one.
+    With ``keep_clean`` every document that is most likely clean stays: it has one copy at
+    least, also where its posterior is mixed and its rate below one.  Null and empty texts are
+    rows like any other; very long texts count whole; repeated rows are drawn alike; an empty
+    table gives an empty result.  Given columns stay, save two named ``rate`` and ``copies``,
+    which are replaced.
     """
     model = fit_domains(documents, labels, **fitting)
-    members = staged(documents.select(model.column().alias("m")).select("m.*"))
-    steps, _, _ = _solved(members, weights, budget)
-    out = documents.withColumn("draw", F.xxhash64("doc_id", "text")).withColumn("m", model.column())
-    out = out.select(*documents.columns, "draw", "m.*").withColumn("rate", _rate(steps))
-    out = out.withColumn("copies", _copies())
-    if weights is None and budget >= 1:
+    whole = documents.select(*[c for c in documents.columns if c not in ("rate", "copies")])
+    members = staged(
+        whole.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("draw"), model.column().alias("m")).select("row", "draw", "m.*")
+    )
+    steps, _, _ = solve(members, weights, budget, traces=traces)
+    out = members.withColumn("rate", _rate(steps)).withColumn("copies", _copies())
+    if keep_clean:
         clean = F.col("p_clean") >= F.greatest("p_low_quality", "p_toxic")
         out = out.withColumn("copies", F.when(clean, F.greatest("copies", F.lit(1))).otherwise(F.col("copies")))
-    return out.where("copies > 0").select(*documents.columns, "rate", "copies")
+    return out.where("copies > 0").select("row.*", "rate", "copies")

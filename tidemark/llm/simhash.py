@@ -9,7 +9,10 @@ only that one probes, which halves the probes.  Copies share a fingerprint and a
 
 from __future__ import annotations
 
+import hashlib
 import sys
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pandas as pd
@@ -119,10 +122,114 @@ def near_duplicates(documents: DataFrame, distance: int = 3) -> DataFrame:
     return docs.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def deduplicated(documents: DataFrame, distance: int = 3) -> DataFrame:
-    """One document of each component: the one with the smallest id, once if its row is repeated.
+# Wide fingerprints of near_copies: LANES words of 64 bits, cut into SEGMENTS parts of 24 bits.
+LANES, SEGMENTS = 6, 16
+_MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(64)], dtype=np.uint64)
 
-    Rows without id can't be told apart and all stay.
+
+def _scrambled(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def shingle_set(words: list[bytes], width: int) -> np.ndarray:
+    """The distinct 64-bit hashes of ``words``' shingles, sorted; fewer words are one shingle."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    each = np.fromiter(map(xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+    n, size = max(1, len(words) - width + 1), min(width, len(words))
+    total = np.full(n, size, dtype=np.uint64)
+    for k in range(size):
+        total += _scrambled(each[k : k + n] * _MIX[k])
+    return np.unique(_scrambled(total))
+
+
+def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
+    """SEGMENTS numbers of 24 bits: a bit is set if more than half of the shingles' mixed hashes have it."""
+    ones = np.zeros(64 * LANES, dtype=np.int64)
+    for at in range(0, len(shingles), _BLOCK // 16):
+        part = shingles[at : at + _BLOCK // 16]
+        mixed = np.stack([_scrambled(part ^ _MIX[16 + k]) for k in range(LANES)], axis=1)
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        # sums of up to 255 rows fit into a byte
+        bits = np.concatenate([bits, np.zeros((-len(bits) % 255, bits.shape[1]), dtype=np.uint8)])
+        ones += bits.reshape(-1, 255, bits.shape[1]).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+    packed = np.packbits(ones * 2 > len(shingles), bitorder="little").reshape(SEGMENTS, 3).astype(np.int64)
+    return packed @ np.array([1, 1 << 8, 1 << 16])
+
+
+def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 84) -> DataFrame:
+    """doc_id, digest (MD5 of the text) and root of every row with an id; rows of one root are near copies.
+
+    Two texts are linked if the sets of their shingles of ``width`` words (A-Z lower-cased, ASCII
+    white space) have a Jaccard similarity of ``similarity`` or more; roots follow chains of links.
+    Texts of equal words are one node.  Pairs come from the Hamming balls of radius one around
+    the segments of 384-bit fingerprints, are verified on the whole fingerprint (at most
+    ``distance`` bits: four standard deviations above the mean at similarity 0.8) and then on
+    the shingle sets of their whole texts.  Null, empty and blank texts are one node.
+    """
+
+    @F.pandas_udf("words binary, n bigint, segments array<int>")
+    def described(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for text in texts:
+            words = utf8(text).lower().split()
+            sets = shingle_set(words, width)
+            out.append((hashlib.md5(b" ".join(words)).digest(), len(sets), wide_fingerprint(sets).tolist()))
+        return pd.DataFrame(out, columns=["words", "n", "segments"])
+
+    @F.pandas_udf("array<bigint>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(utf8(t).lower().split(), width).view(np.int64) for t in texts], dtype=object)
+
+    texts = documents.where("doc_id is not null").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    texts = texts.withColumn("digest", F.md5("text"))
+    rows = staged(texts.select("doc_id", "digest", described("text").alias("d")).select("doc_id", "digest", "d.*"))
+    nodes = rows.groupBy("words").agg(
+        F.min(F.struct("doc_id", "digest")).alias("lead"), F.first("n").alias("n"), F.first("segments").alias("segments")
+    )
+    nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))
+
+    long = nodes.where("n > 0").select("id", F.posexplode("segments").alias("k", "bits"))
+    part = F.col("k") * (1 << 24)
+    entries = long.select(F.col("id").alias("b"), (part + F.col("bits")).alias("key"))
+    flips = F.filter(F.array(F.lit(0), *[F.lit(1 << k) for k in range(24)]), lambda bit: F.col("bits").bitwiseAND(bit) == 0)
+    ball = F.explode(F.transform(flips, lambda bit: part + F.col("bits") + bit))
+    met = long.select(F.col("id").alias("a"), ball.alias("key")).join(entries, "key").where("a <> b")
+    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    print_a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
+    print_b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("segments").alias("s_b"))
+    differ = reduce(add, [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SEGMENTS)])
+    # the larger set is no more than 1 / similarity times the smaller one
+    sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+    pairs = staged(met.join(print_a, "a").join(print_b, "b").where(sizes & (differ <= distance)).select("a", "b", "n_a", "n_b"))
+
+    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+    asked = asked.join(nodes, "id").select("id", "lead.*")
+    sets = texts.join(asked, ["doc_id", "digest"]).dropDuplicates(["id"])
+    sets = staged(sets.select("id", shingles("text").alias("held")))
+    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("h_a")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("held").alias("h_b")), "b")
+    shared = F.size(F.array_intersect("h_a", "h_b"))
+    linked = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
+    linked = linked.where(F.col("shared") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
+    roots = components(linked.select("a", "b"))
+    named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("root", "id").alias("root"))
+    return rows.join(named, "words").select("doc_id", "digest", "root")
+
+
+def deduplicated(documents: DataFrame, similarity: float = 0.8, width: int = 5) -> DataFrame:
+    """One document of each group of ``near_copies``: the one with the smallest id, then the smallest digest of its text.
+
+    Rows that share an id are told apart by their texts; a repeated row stays once.  Rows without
+    id can't be told apart and all stay.  Very long texts are compared whole.  An empty table gives
+    an empty result; all given columns stay, whatever their names.
     """
-    kept = near_duplicates(documents, distance).where("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).unionByName(documents.where("doc_id is null"))
+    found = near_copies(documents, similarity, width)
+    kept = found.groupBy("root").agg(F.min(F.struct("doc_id", "digest")).alias("lead")).select("lead.*")
+    whole = documents.select(F.struct("*").alias("row"), "doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("digest"))
+    lead = whole.where("doc_id is not null").join(kept, ["doc_id", "digest"], "left_semi").dropDuplicates(["doc_id", "digest"])
+    return lead.select("row.*").unionByName(documents.where("doc_id is null"))
