@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import pytest
 
@@ -172,3 +173,26 @@ def test_spans_across_window_edges_are_found_once(documents):
         assert covered == set(range(a, b))
     text = "1" * 700
     assert len(pii.stretches(text)) == 1 and pii.found_spans(model, [text, ""])[1] == []
+
+
+def test_many_matches_in_one_text_take_linear_time(spark, documents):
+    text = " ".join(f"token={k:08d}x" for k in range(100_000))
+    docs = documents([text, "plain", None]).repartition(1)
+    began = time.monotonic()
+    out = {r["doc_id"]: r for r in secret_scan.redacted(docs).collect()}
+    assert out[0]["text"] == " ".join(["[secret]"] * 100_000) and out[1]["text"] == "plain" and out[2]["text"] is None
+    row = secret_scan.secrets(docs).where("doc_id = 0").first()
+    spans = [(s["start"], s["end"]) for s in row["secrets"] if s["kind"] == "assign"]
+    assert spans == [(m.start(), m.end()) for m in re.finditer("token=[0-9]{8}x", text)]
+    assert time.monotonic() - began < 60
+
+
+def test_secrets_beside_columns_of_any_name(spark, documents):
+    docs = documents(SECRETS)
+    named = docs.selectExpr("*", "'r' as rules", "7 as row_key", "'s' as secrets", "1 as hit", "'c' as clean", "'w' as `row`")
+    out = secret_scan.redacted(named)
+    assert out.columns == named.columns and {r["rules"] for r in out.collect()} == {"r"}
+    assert {r["row"] for r in out.collect()} == {"w"} and {r["clean"] for r in out.collect()} == {"c"}
+    plain = {r["doc_id"]: r["text"] for r in secret_scan.redacted(docs).collect()}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == plain
+    assert [c for c in secret_scan.secrets(named).columns if c != "secrets"] == [c for c in named.columns if c != "secrets"]

@@ -8,6 +8,7 @@ verified with the expression itself.  Rules without a mandatory trigram scan eve
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
 from re import _constants as syntax
@@ -106,31 +107,54 @@ def _spans(text: Column, rule: Rule) -> Column:
         tested,
         lambda s, t: F.struct(s["gap"].alias("gap"), s["n"].alias("n"), F.length(t).alias("tested")),
     )
-    spans = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
-    walk = F.aggregate(
-        steps,
-        F.struct(F.lit(0).cast("bigint").alias("at"), spans.alias("spans")),
-        lambda s, m: F.struct(
-            (s["at"] + m["gap"] + m["n"]).alias("at"),
-            F.when(
-                m["tested"] >= rule.least,
-                F.concat(
-                    s["spans"],
-                    F.array(
-                        F.struct(
-                            F.lit(rule.kind).alias("kind"),
-                            (s["at"] + m["gap"]).alias("start"),
-                            (s["at"] + m["gap"] + m["n"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(s["spans"])
-            .alias("spans"),
+    none = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
+
+    def walk(block: Column, start: Column) -> Column:
+        def step(s: Column, m: Column) -> Column:
+            first = s["at"] + m["gap"]
+            span = F.struct(F.lit(rule.kind).alias("kind"), first.alias("start"), (first + m["n"]).alias("end"))
+            longer = F.when(m["tested"] >= rule.least, F.concat(s["spans"], F.array(span))).otherwise(s["spans"])
+            return F.struct((first + m["n"]).alias("at"), longer.alias("spans"))
+
+        return F.aggregate(block, F.struct(start.alias("at"), none.alias("spans")), step, lambda s: s["spans"])
+
+    def placed(blocks: Column) -> Column:
+        width = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda n, m: n + m["gap"] + m["n"]))
+        starts = _running(width, lambda at, n: at + n)
+        return F.flatten(F.zip_with(blocks, starts, walk))
+
+    return F.when(F.size(found) > 0, _let(_blocks(steps), placed)).otherwise(none)
+
+
+# Spans and masked texts are built in blocks of this many matches: an array that grows by one is
+# copied at each step, which over all matches of a text takes time in their square.
+_BLOCK = 256
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, also where lambdas refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blocks(items: Column) -> Column:
+    """``items`` (one at least) cut into arrays of _BLOCK."""
+    return _let(
+        items,
+        lambda held: F.transform(
+            F.sequence(F.lit(0), F.floor((F.size(held) - 1) / _BLOCK).cast("int")),
+            lambda k: F.slice(held, k * _BLOCK + 1, F.lit(_BLOCK)),
         ),
-        lambda s: s["spans"],
     )
-    return F.when(F.size(found) > 0, walk).otherwise(spans)
+
+
+def _running(values: Column, use: Callable[[Column, Column], Column]) -> Column:
+    """The state before each of ``values``, from zero on."""
+    return F.aggregate(
+        values,
+        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("seen")),
+        lambda s, v: F.struct(use(s["at"], v).alias("at"), F.concat(s["seen"], F.array(s["at"])).alias("seen")),
+        lambda s: s["seen"],
+    )
 
 
 def postings(texts: DataFrame, grams: list[str]) -> DataFrame:
@@ -158,21 +182,23 @@ def secrets(documents: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
     """``documents`` with ``secrets``: all matches as (kind, start, end), by start, then by rule order.
 
     Null and empty texts have none.  Rows are told apart by a hash of doc_id and text: rows
-    without id and repeated rows are scanned like any other.  Other column names are free, save
-    ``secrets``, ``row_key`` and ``rules``.
+    without id and repeated rows are scanned like any other.  Very long texts are scanned whole.
+    An empty table gives an empty result.  Other columns stay, whatever their names; one named
+    ``secrets`` is replaced.
     """
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
-    docs = documents.withColumn("row_key", F.xxhash64("doc_id", "text"))
+    key, tested = free_name(documents, "row_key"), free_name(documents, "rules")
+    docs = documents.withColumn(key, F.xxhash64("doc_id", "text"))
     if queries:
         grams = sorted({g for q in queries.values() for a in q for g in a})
-        index = staged(postings(docs.select("row_key", "text"), grams))
-        docs = docs.join(candidates(index, queries), "row_key", "left")
+        index = staged(postings(docs.select(F.col(key).alias("row_key"), "text"), grams))
+        docs = docs.join(candidates(index, queries).toDF(key, tested), key, "left")
     else:
-        docs = docs.withColumn("rules", F.lit(None).cast("array<string>"))
+        docs = docs.withColumn(tested, F.lit(None).cast("array<string>"))
     text = F.coalesce("text", F.lit(""))
     empty = F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")
     found = [
-        F.when(F.array_contains("rules", r.kind), _spans(text, r)).otherwise(empty) if r.kind in queries else _spans(text, r)
+        F.when(F.array_contains(tested, r.kind), _spans(text, r)).otherwise(empty) if r.kind in queries else _spans(text, r)
         for r in rules
     ]
     order = F.create_map(*[x for k, r in enumerate(rules) for x in (F.lit(r.kind), F.lit(k))])
@@ -184,7 +210,15 @@ def secrets(documents: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA) -> Dat
         F.array_sort(ranked),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")),
     )
-    return docs.withColumn("secrets", spans).drop("row_key", "rules")
+    return docs.withColumn("secrets", spans).drop(key, tested)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind it until no column of ``df`` is called so."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def listed(spans: Column) -> Column:
@@ -195,23 +229,41 @@ def listed(spans: Column) -> Column:
 def redacted(documents: DataFrame, rules: tuple[Rule, ...] = BASE + EXTRA, mark: str = "[secret]") -> DataFrame:
     """``documents`` with ``mark`` in place of every secret in ``text``; n_chars, if there, follows.
 
-    Matches of several rules that overlap become one mark; texts without secrets stay as they are.
+    Matches of several rules that overlap become one mark; texts without secrets stay as they are,
+    null and empty ones too.  Very long texts are masked whole, repeated rows alike; an empty table
+    gives an empty result.  Other columns stay, whatever their names.
     """
-    out = secrets(documents, rules)
+    held, name = free_name(documents, "secrets"), free_name(documents, "clean")
+    out = secrets(documents.withColumnRenamed("secrets", held), rules)
     text = F.col("text")
-    walk = F.aggregate(
-        "secrets",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out")),
-        lambda s, m: F.struct(
-            F.greatest(s["at"], m["end"]).alias("at"),
-            F.when(m["start"] < s["at"], s["out"])
-            .otherwise(F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), (m["start"] - s["at"]).cast("int")), F.lit(mark)))
-            .alias("out"),
-        ),
-        lambda s: F.concat(s["out"], F.substring(text, (s["at"] + 1).cast("int"), F.length(text))),
-    )
-    clean = F.when(F.size("secrets") > 0, walk).otherwise(text)
+
+    def masked(block: Column, start: Column) -> Column:
+        """The text from ``start`` to the end of the block's last match."""
+        end = F.aggregate(block, start, lambda at, m: F.greatest(at, m["end"]))
+        part = F.substring(text, (start + 1).cast("int"), (end - start).cast("int"))
+
+        def step(piece: Column) -> Callable[[Column, Column], Column]:
+            def go(s: Column, m: Column) -> Column:
+                before = F.substring(piece, (s["at"] - start + 1).cast("int"), (m["start"] - s["at"]).cast("int"))
+                longer = F.when(m["start"] < s["at"], s["out"]).otherwise(F.concat(s["out"], F.array(F.concat(before, F.lit(mark)))))
+                return F.struct(F.greatest(s["at"], m["end"]).alias("at"), longer.alias("out"))
+
+            return go
+
+        first = F.struct(start.alias("at"), F.array().cast("array<string>").alias("out"))
+        return _let(part, lambda piece: F.aggregate(block, first, step(piece), lambda s: F.array_join(s["out"], "")))
+
+    def joined(blocks: Column) -> Column:
+        ends = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0).cast("bigint"), lambda at, m: F.greatest(at, m["end"])))
+        starts = _running(ends, F.greatest)
+        tail = F.substring(text, (F.array_max(ends) + 1).cast("int"), F.length(text))
+        return F.concat(F.array_join(F.zip_with(blocks, starts, masked), ""), tail)
+
+    hit = F.size("secrets") > 0
+    clean = F.when(hit, _let(_blocks(F.col("secrets")), joined)).otherwise(text)
+    out = out.withColumn(name, clean)
+    columns = {"text": F.col(name)}
     if "n_chars" in documents.columns:
         kind = documents.schema["n_chars"].dataType
-        out = out.withColumn("n_chars", F.when(F.size("secrets") > 0, F.length(clean).cast(kind)).otherwise(F.col("n_chars")))
-    return out.withColumn("text", clean).select(*documents.columns)
+        columns["n_chars"] = F.when(hit, F.length(name).cast(kind)).otherwise(F.col("n_chars"))
+    return out.select(*[columns.get(c, F.col(f"`{held if c == 'secrets' else c}`")).alias(c) for c in documents.columns])
