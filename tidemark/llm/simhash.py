@@ -124,6 +124,8 @@ def near_duplicates(documents: DataFrame, distance: int = 3) -> DataFrame:
 
 # Wide fingerprints of near_copies: LANES words of 64 bits, cut into SEGMENTS parts of 24 bits.
 LANES, SEGMENTS = 6, 16
+# Of their first 64 bits near copies at similarity 0.8 differ in 9.7, with a standard deviation of 2.9.
+HEAD_BITS = 20
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(64)], dtype=np.uint64)
 
 
@@ -167,9 +169,9 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, d
     Two texts are linked if the sets of their shingles of ``width`` words (A-Z lower-cased, ASCII
     white space) have a Jaccard similarity of ``similarity`` or more; roots follow chains of links.
     Texts of equal words are one node.  Pairs come from the Hamming balls of radius one around
-    the segments of 384-bit fingerprints, are verified on the whole fingerprint (at most
+    the segments of 384-bit fingerprints, are verified on its first 64 bits, on the whole fingerprint (at most
     ``distance`` bits: four standard deviations above the mean at similarity 0.8) and then on
-    the shingle sets of their whole texts.  Null, empty and blank texts are one node.
+    the shingle sets of their whole texts; of texts that are already together no more pairs are made.  Null, empty and blank texts are one node.
     """
 
     @F.pandas_udf("words binary, n bigint, segments array<int>")
@@ -193,30 +195,48 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, d
     )
     nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))
 
-    long = nodes.where("n > 0").select("id", F.posexplode("segments").alias("k", "bits"))
+    def verified(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of nodes whose whole texts are similar enough."""
+        print_a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
+        print_b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("segments").alias("s_b"))
+        differ = reduce(add, [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SEGMENTS)])
+        # the larger set is no more than 1 / similarity times the smaller one
+        sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
+        near = pairs.join(print_a, "a").join(print_b, "b").where(sizes & (differ <= distance))
+        near = staged(near.select("a", "b", "n_a", "n_b"))
+        asked = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
+        asked = asked.join(nodes, "id").select("id", "lead.*")
+        sets = texts.join(asked, ["doc_id", "digest"]).dropDuplicates(["id"])
+        sets = staged(sets.select("id", shingles("text").alias("held")))
+        both = near.join(sets.select(F.col("id").alias("a"), F.col("held").alias("h_a")), "a")
+        both = both.join(sets.select(F.col("id").alias("b"), F.col("held").alias("h_b")), "b")
+        shared = F.size(F.array_intersect("h_a", "h_b"))
+        linked = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
+        linked = linked.where(F.col("shared") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
+        return linked.select("a", "b")
+
+    # First each node with the smallest one of each of its buckets: large groups grow together by
+    # a few links a node.  Then the balls, where only nodes that are not together yet make a pair.
     part = F.col("k") * (1 << 24)
-    entries = long.select(F.col("id").alias("b"), (part + F.col("bits")).alias("key"))
+    keyed = nodes.where("n > 0").select("id", F.posexplode("segments").alias("k", "bits"))
+    keyed = keyed.withColumn("key", part + F.col("bits"))
+    least = keyed.groupBy("key").agg(F.min("id").alias("b"))
+    stars = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    first = staged(verified(stars))
+
+    s = F.col("segments")
+    head = F.shiftleft(s[0].cast("bigint"), 40).bitwiseOR(F.shiftleft(s[1].cast("bigint"), 16)).bitwiseOR(s[2].cast("bigint").bitwiseAND(0xFFFF))
+    placed = nodes.where("n > 0").join(components(first).withColumnRenamed("node", "id"), "id", "left")
+    placed = staged(placed.select("id", F.coalesce("root", "id").alias("root"), head.alias("head"), "segments"))
+    long = placed.select("id", "root", "head", F.posexplode("segments").alias("k", "bits"))
+    entries = long.select(F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("head").alias("head_b"), (part + F.col("bits")).alias("key"))
     flips = F.filter(F.array(F.lit(0), *[F.lit(1 << k) for k in range(24)]), lambda bit: F.col("bits").bitwiseAND(bit) == 0)
     ball = F.explode(F.transform(flips, lambda bit: part + F.col("bits") + bit))
-    met = long.select(F.col("id").alias("a"), ball.alias("key")).join(entries, "key").where("a <> b")
+    probes = long.select(F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("head").alias("head_a"), ball.alias("key")).alias("p")
+    apart = (F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= HEAD_BITS)
+    met = probes.join(entries.alias("e"), (F.col("p.key") == F.col("e.key")) & apart)
     met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    print_a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
-    print_b = nodes.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("segments").alias("s_b"))
-    differ = reduce(add, [F.bit_count(F.col("s_a")[k].bitwiseXOR(F.col("s_b")[k])) for k in range(SEGMENTS)])
-    # the larger set is no more than 1 / similarity times the smaller one
-    sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
-    pairs = staged(met.join(print_a, "a").join(print_b, "b").where(sizes & (differ <= distance)).select("a", "b", "n_a", "n_b"))
-
-    asked = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    asked = asked.join(nodes, "id").select("id", "lead.*")
-    sets = texts.join(asked, ["doc_id", "digest"]).dropDuplicates(["id"])
-    sets = staged(sets.select("id", shingles("text").alias("held")))
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("held").alias("h_a")), "a")
-    both = both.join(sets.select(F.col("id").alias("b"), F.col("held").alias("h_b")), "b")
-    shared = F.size(F.array_intersect("h_a", "h_b"))
-    linked = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
-    linked = linked.where(F.col("shared") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
-    roots = components(linked.select("a", "b"))
+    roots = components(first.union(verified(met)))
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("root", "id").alias("root"))
     return rows.join(named, "words").select("doc_id", "digest", "root")
 
