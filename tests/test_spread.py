@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions.staging import spread
+from tidemark.operators import normalize as norm
 from tidemark.sources import sample_feed as feed
 
 ROWS = 20_000
@@ -43,3 +44,11 @@ def test_fixture_records_are_dealt_to_all_cores(spark, many_splits, tmp_path):
     rows = spark.range(ROWS).selectExpr("id AS o_orderkey", "id % 50 AS o_custkey", "timestamp'1995-01-01 00:00:00' AS o_orderdate")
     pq.write_table(pa.Table.from_pandas(rows.toPandas()), str(tmp_path / "orders.parquet"), coerce_timestamps="us")
     assert _largest(feed.raw_fixtures(spark, str(tmp_path))) < ROWS // 4
+
+
+def test_parsed_fields_are_left_behind_once_used(spark):
+    parsed = norm.odds_issues(spark.createDataFrame([("{}",)], "payload string"))
+    assert parsed.columns == ["payload", "issues"]
+    bound = norm._with_fields(spark.createDataFrame([("{}",)], "payload string").withColumn("v", F.try_parse_json("payload")))
+    kept = norm._narrow(bound, norm._integer("Ts"), norm._string("MessageId"))
+    assert kept.columns == ["payload", "v", norm._json("MessageId"), norm._integer("Ts")]
