@@ -138,3 +138,45 @@ def test_rows_that_share_an_id_are_told_apart(spark):
     assert out.columns == ["doc_id", "text", "root", "digest", "words"]
     got = sorted((r["doc_id"] or 0, r["text"]) for r in out.collect())
     assert got == [(0, words[0]), (1, words[0]), (1, words[1]), (2, words[2])]
+
+
+def edited(base, rng, most):
+    """``base`` with up to ``most`` words replaced by words of their own."""
+    words = list(base)
+    for k in rng.sample(range(len(words)), rng.randint(0, most)):
+        words[k] = f"x{rng.randrange(10**9)}"
+    return " ".join(words)
+
+
+def test_crowds_equal_brute_force(documents):
+    rng = random.Random(6)
+    texts = [None, "", "a", "A", "a b"]
+    for n in (6, 30, 120, 400):
+        base = [f"w{rng.randrange(5000)}" for _ in range(n)]
+        texts += [edited(base, rng, n // 20 + 1) for _ in range(30)]
+        texts.append(" ".join(base[: n - n // 10]))
+    want = near_groups(texts)
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(documents(texts), crowd=0).collect()}
+    assert 5 < len(set(want)) < 0.7 * len(texts)
+    assert {(a, b) for a in got for b in got if got[a] == got[b]} == {
+        (a, b) for a in range(len(want)) for b in range(len(want)) if want[a] == want[b]
+    }
+
+
+def test_pairs_do_not_grow_with_the_square_of_a_group(documents, monkeypatch):
+    rng = random.Random(7)
+    base = [f"w{k}" for k in range(150)]
+    texts, kept, pairs = [edited(base, rng, 8) for _ in range(500)], simhash.staged, []
+
+    def counted(df):
+        out = kept(df)
+        if out.columns[:2] == ["a", "b"]:
+            pairs.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "staged", counted)
+    got = {r["doc_id"]: r["root"] for r in simhash.near_copies(documents(texts)).collect()}
+    want = near_groups(texts)
+    assert np.mean([got[a] == got[b] for a in range(500) for b in range(a) if want[a] == want[b]]) > 0.95
+    assert all(want[a] == want[b] for a in range(500) for b in range(a) if got[a] == got[b])
+    assert 0 < sum(pairs) < 16 * len(texts)

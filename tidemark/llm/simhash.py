@@ -17,7 +17,7 @@ from operator import add
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -126,6 +126,9 @@ def near_duplicates(documents: DataFrame, distance: int = 3) -> DataFrame:
 LANES, SEGMENTS = 6, 16
 # Of their first 64 bits near copies at similarity 0.8 differ in 9.7, with a standard deviation of 2.9.
 HEAD_BITS = 20
+# Nodes that probe a bucket of more entries are compared by their rarest shingles instead.
+CROWD = 16
+_SLACK = 1e-6  # of bounds computed in floating point
 _MIX = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) % 2**64 for k in range(64)], dtype=np.uint64)
 
 
@@ -163,7 +166,64 @@ def wide_fingerprint(shingles: np.ndarray) -> np.ndarray:
     return packed @ np.array([1, 1 << 8, 1 << 16])
 
 
-def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 84) -> DataFrame:
+def compared(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) whose sets (id, held) have a Jaccard similarity of ``similarity`` or more."""
+    both = pairs.select("a", "b").join(sets.select(F.col("id").alias("a"), F.col("held").alias("h_a")), "a")
+    both = both.join(sets.select(F.col("id").alias("b"), F.col("held").alias("h_b")), "b")
+    shared, total = F.size(F.array_intersect("h_a", "h_b")), F.size("h_a") + F.size("h_b")
+    linked = both.select("a", "b", shared.alias("shared"), total.alias("total"))
+    return linked.where(F.col("shared") >= F.lit(similarity) * (F.col("total") - F.col("shared"))).select("a", "b")
+
+
+def prefixes(sets: DataFrame, similarity: float) -> DataFrame:
+    """token, id, n and at: the rarest shingles of each of ``sets`` (id, held), one of which every similar set has among its own.
+
+    Sets list their shingles in one order: by the number of sets that hold them, then by value; ``at``
+    is a shingle's place there.  If the first shingle that two sets share is at places i and j, they share
+    min(n - i, m - j) at most, so those too far down are left out, and those that no other set holds.
+    A row's n - at must also be enough for the smallest set that has the shingle in this part.
+    """
+    long = sets.select("id", F.size("held").alias("n"), F.explode("held").alias("token"))
+    counts = long.groupBy("token").agg(F.count("*").alias("held_by"))
+    place = F.row_number().over(Window.partitionBy("id").orderBy("held_by", "token")) - 1
+    ranked = long.join(counts, "token").withColumn("at", place).where("held_by > 1")
+    some = staged(ranked.where(F.col("n") - F.col("at") >= F.lit(similarity) * F.col("n") - _SLACK).select("token", "id", "n", "at"))
+    smallest = some.groupBy("token").agg(F.min("n").alias("m"))
+    enough = F.col("n") - F.col("at") >= F.lit(similarity / (1 + similarity)) * (F.col("n") + F.col("m")) - _SLACK
+    return some.join(smallest, "token").where(enough).drop("m")
+
+
+def crowd_links(sets: DataFrame, similarity: float, links: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All pairs (a, b) of ``sets`` (id, held) that are similar, but for those together already; and (node, root).
+
+    ``links`` are the pairs known before.  First every set is compared with the one of each of its
+    ``prefixes`` that has the fewest rarer shingles, the least edited of a group of near copies; then those
+    that share a shingle and still have different roots.
+    """
+    tokens = staged(prefixes(sets, similarity))
+
+    def mixed(roots: DataFrame) -> DataFrame:
+        rows = tokens.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        lead = rows.groupBy("token").agg(
+            F.min(F.struct("at", "id", "root")).alias("lead"), (F.min("root") != F.max("root")).alias("apart")
+        )
+        return rows.join(lead.where("apart"), "token")
+
+    stars = mixed(components(links)).where("root <> lead.root").select(F.col("id").alias("a"), F.col("lead.id").alias("b"))
+    hubs = staged(compared(staged(stars.distinct()), sets, similarity))
+    roots = staged(components(links.union(hubs)))
+    rows = staged(mixed(roots).select("token", "id", "n", "at", "root"))
+    one, two = (rows.select("token", *[F.col(c).alias(f"{c}_{k}") for c in ("id", "n", "at", "root")]) for k in "ab")
+    needed = F.lit(similarity / (1 + similarity)) * (F.col("n_a") + F.col("n_b")) - _SLACK
+    enough = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b")) >= needed
+    met = one.join(two, "token").where((F.col("id_a") < F.col("id_b")) & (F.col("root_a") != F.col("root_b")) & enough)
+    met = staged(met.select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct())
+    return hubs.union(compared(met, sets, similarity)), roots
+
+
+def near_copies(
+    documents: DataFrame, similarity: float = 0.8, width: int = 5, distance: int = 84, crowd: int = CROWD
+) -> DataFrame:
     """doc_id, digest (MD5 of the text) and root of every row with an id; rows of one root are near copies.
 
     Two texts are linked if the sets of their shingles of ``width`` words (A-Z lower-cased, ASCII
@@ -171,7 +231,9 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, d
     Texts of equal words are one node.  Pairs come from the Hamming balls of radius one around
     the segments of 384-bit fingerprints, are verified on its first 64 bits, on the whole fingerprint (at most
     ``distance`` bits: four standard deviations above the mean at similarity 0.8) and then on
-    the shingle sets of their whole texts; of texts that are already together no more pairs are made.  Null, empty and blank texts are one node.
+    the shingle sets of their whole texts; of texts that are already together no more pairs are made.
+    Nodes whose balls touch a bucket of more than ``crowd`` entries get all their links among each other
+    from ``crowd_links``, and no pairs.  Null, empty and blank texts are one node.
     """
 
     @F.pandas_udf("words binary, n bigint, segments array<int>")
@@ -195,6 +257,12 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, d
     )
     nodes = staged(nodes.withColumn("id", F.monotonically_increasing_id()))
 
+    def shingled(ids: DataFrame) -> DataFrame:
+        """id and held, the shingles of the nodes ``ids``."""
+        asked = ids.join(nodes, "id").select("id", "lead.*")
+        sets = texts.join(asked, ["doc_id", "digest"]).dropDuplicates(["id"])
+        return staged(sets.select("id", shingles("text").alias("held")))
+
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) of nodes whose whole texts are similar enough."""
         print_a = nodes.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("segments").alias("s_a"))
@@ -203,40 +271,42 @@ def near_copies(documents: DataFrame, similarity: float = 0.8, width: int = 5, d
         # the larger set is no more than 1 / similarity times the smaller one
         sizes = F.least("n_a", "n_b") >= F.lit(similarity) * F.greatest("n_a", "n_b")
         near = pairs.join(print_a, "a").join(print_b, "b").where(sizes & (differ <= distance))
-        near = staged(near.select("a", "b", "n_a", "n_b"))
+        near = staged(near.select("a", "b"))
         asked = near.select(F.col("a").alias("id")).union(near.select(F.col("b").alias("id"))).distinct()
-        asked = asked.join(nodes, "id").select("id", "lead.*")
-        sets = texts.join(asked, ["doc_id", "digest"]).dropDuplicates(["id"])
-        sets = staged(sets.select("id", shingles("text").alias("held")))
-        both = near.join(sets.select(F.col("id").alias("a"), F.col("held").alias("h_a")), "a")
-        both = both.join(sets.select(F.col("id").alias("b"), F.col("held").alias("h_b")), "b")
-        shared = F.size(F.array_intersect("h_a", "h_b"))
-        linked = both.select("a", "b", "n_a", "n_b", shared.alias("shared"))
-        linked = linked.where(F.col("shared") >= F.lit(similarity) * (F.col("n_a") + F.col("n_b") - F.col("shared")))
-        return linked.select("a", "b")
+        return compared(near, shingled(asked), similarity)
 
     # First each node with the smallest one of each of its buckets: large groups grow together by
-    # a few links a node.  Then the balls, where only nodes that are not together yet make a pair.
+    # a few links a node.  Then the crowds, and then the balls, where only nodes that are not together yet make a pair.
     part = F.col("k") * (1 << 24)
     keyed = nodes.where("n > 0").select("id", F.posexplode("segments").alias("k", "bits"))
     keyed = keyed.withColumn("key", part + F.col("bits"))
-    least = keyed.groupBy("key").agg(F.min("id").alias("b"))
-    stars = keyed.join(least, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
+    buckets = keyed.groupBy("key").agg(F.min("id").alias("b"), F.count("*").alias("entries"))
+    stars = keyed.join(buckets, "key").where("id <> b").select(F.col("id").alias("a"), "b").distinct()
     first = staged(verified(stars))
 
-    s = F.col("segments")
-    head = F.shiftleft(s[0].cast("bigint"), 40).bitwiseOR(F.shiftleft(s[1].cast("bigint"), 16)).bitwiseOR(s[2].cast("bigint").bitwiseAND(0xFFFF))
-    placed = nodes.where("n > 0").join(components(first).withColumnRenamed("node", "id"), "id", "left")
-    placed = staged(placed.select("id", F.coalesce("root", "id").alias("root"), head.alias("head"), "segments"))
-    long = placed.select("id", "root", "head", F.posexplode("segments").alias("k", "bits"))
-    entries = long.select(F.col("id").alias("b"), F.col("root").alias("root_b"), F.col("head").alias("head_b"), (part + F.col("bits")).alias("key"))
     flips = F.filter(F.array(F.lit(0), *[F.lit(1 << k) for k in range(24)]), lambda bit: F.col("bits").bitwiseAND(bit) == 0)
     ball = F.explode(F.transform(flips, lambda bit: part + F.col("bits") + bit))
-    probes = long.select(F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("head").alias("head_a"), ball.alias("key")).alias("p")
+    crowded = staged(buckets.where(F.col("entries") > crowd).select("key"))
+    dense = staged(keyed.select("id", ball.alias("key")).join(crowded, "key").select("id").distinct())
+    if dense.isEmpty():
+        links, roots = first, components(first)
+    else:
+        found, roots = crowd_links(shingled(dense), similarity, first)
+        links = staged(first.union(found))
+
+    s = F.col("segments")
+    head = F.shiftleft(s[0].cast("bigint"), 40).bitwiseOR(F.shiftleft(s[1].cast("bigint"), 16)).bitwiseOR(s[2].cast("bigint").bitwiseAND(0xFFFF))
+    placed = nodes.where("n > 0").join(roots.withColumnRenamed("node", "id"), "id", "left")
+    placed = placed.join(dense.withColumn("dense", F.lit(True)), "id", "left")
+    placed = staged(placed.select("id", F.coalesce("root", "id").alias("root"), head.alias("head"), F.coalesce("dense", F.lit(False)).alias("dense"), "segments"))
+    long = placed.select("id", "root", "head", "dense", F.posexplode("segments").alias("k", "bits"))
+    entries = long.select(*[F.col(c).alias(f"{c}_b") for c in ("id", "root", "head", "dense")], (part + F.col("bits")).alias("key"))
+    probes = long.select(*[F.col(c).alias(f"{c}_a") for c in ("id", "root", "head", "dense")], ball.alias("key")).alias("p")
     apart = (F.col("root_a") != F.col("root_b")) & (F.bit_count(F.col("head_a").bitwiseXOR(F.col("head_b"))) <= HEAD_BITS)
+    apart &= ~(F.col("dense_a") & F.col("dense_b"))
     met = probes.join(entries.alias("e"), (F.col("p.key") == F.col("e.key")) & apart)
-    met = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    roots = components(first.union(verified(met)))
+    met = met.select(F.least("id_a", "id_b").alias("a"), F.greatest("id_a", "id_b").alias("b")).distinct()
+    roots = components(links.union(verified(met)))
     named = nodes.join(roots.withColumnRenamed("node", "id"), "id", "left").select("words", F.coalesce("root", "id").alias("root"))
     return rows.join(named, "words").select("doc_id", "digest", "root")
 
